@@ -33,19 +33,28 @@ def bind(value: Column, body) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """All tokens in order, lower-cased one by one; null has none."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.transform(found, F.lower)
+    """All tokens in order, lower-cased; null has none.
+
+    Lower-casing the whole text first is several times cheaper than token by token, and the same unless the
+    text holds one of the two letters whose lower case depends on, or changes, what stands around them.
+    """
+    text = F.coalesce(text, F.lit(""))
+
+    def found(source: Column) -> Column:
+        return F.regexp_extract_all(source, F.lit(TOKEN_PATTERN), F.lit(0))
+
+    special = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u03a3"))
+    return F.when(special, F.transform(found(text), F.lower)).otherwise(found(F.lower(text)))
 
 
 def term_index(token: Column) -> Column:
     """The first 32 bits of the token's MD5, folded into the term space."""
-    head = F.conv(F.substring(F.md5(F.encode(token, "UTF-8")), 1, 8), 16, 10)
+    head = F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10)
     return (head.cast("bigint") % F.lit(HASH_SPACE)).cast("int")
 
 
 def term_weight(tf: Column, length: Column) -> Column:
-    return F.round(tf / length * (1 + F.log1p(tf)), 6)
+    return F.floor(tf / length * (1 + F.log1p(tf)) * 1e6 + 0.5) / 1e6
 
 
 def sparse_terms(text: Column) -> Column:
@@ -56,35 +65,26 @@ def sparse_terms(text: Column) -> Column:
     has two empty arrays.
     """
 
-    def weigh(ordered: Column) -> Column:
+    def from_sorted(ordered: Column) -> Column:
         length = F.size(ordered)
-        marks = F.transform(
-            ordered,
-            lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i),
+        starts = F.filter(
+            # ``sequence(0, -1)`` would count down, so an empty list is kept away from it.
+            F.when(length > 0, F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)))).otherwise(F.array().cast("array<int>")),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
         )
-        runs = F.filter(marks, lambda m: m.isNotNull())
-
-        def to_terms(starts: Column) -> Column:
-            def term(start: Column, j: Column) -> Column:
-                stop = F.coalesce(F.get(starts, j + 1), length)
-                tf = (stop - start).cast("double")
-                return F.struct(
-                    F.get(ordered, start).alias("index"),
-                    term_weight(tf, length).alias("value"),
-                )
-
-            return F.transform(starts, term)
-
-        return bind(runs, to_terms)
-
-    terms = bind(F.array_sort(F.transform(tokens(text), term_index)), weigh)
-    return bind(
-        terms,
-        lambda t: F.struct(
-            F.coalesce(t.getField("index"), F.array().cast("array<int>")).alias("indices"),
-            F.coalesce(t.getField("value"), F.array().cast("array<double>")).alias("values"),
-        ),
-    )
+
+        def from_runs(first: Column) -> Column:
+            ends = F.concat(F.slice(first, F.lit(2), F.size(first)), F.array(length))
+            counts = F.zip_with(first, ends, lambda a, b: b - a)
+            counts = F.when(length > 0, counts).otherwise(F.array().cast("array<int>"))
+            return F.struct(
+                F.transform(first, lambda p: F.get(ordered, p)).alias("indices"),
+                F.transform(counts, lambda tf: term_weight(tf.cast("double"), length)).alias("values"),
+            )
+
+        return bind(starts, from_runs)
+
+    return bind(F.sort_array(F.transform(tokens(text), term_index)), from_sorted)
 
 
 def sparse_or_null(text: Column) -> Column:

@@ -58,7 +58,7 @@ class HashEmbedder:
             places = [self._place(token.lower()) for token in re.findall(r"\w+", text)]
             if places:
                 at, sign = zip(*places)
-                np.add.at(out[i], at, sign)
+                np.add.at(out[i], list(at), sign)
         return out
 
 

@@ -85,7 +85,7 @@ class SparseBlock:
         if not len(self.terms):
             return np.full(shape, np.nan).T
         lists = as_array(batch.column("indices"))
-        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+        row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
         index = lists.flatten().to_numpy(zero_copy_only=False)
         value = as_array(batch.column("values")).flatten().to_numpy(zero_copy_only=False)
         total = np.zeros(shape[0] * shape[1])

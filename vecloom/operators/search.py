@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vecloom.functions.text import is_blank, sparse_or_null
+from vecloom.functions.text import bind, is_blank, sparse_or_null
 from vecloom.functions.vectors import METRICS, metric_name, score as pair_score
 from vecloom.operators.filters import apply_filter
 from vecloom.operators.scoring import DenseBlock, SparseBlock, best_of
@@ -96,9 +96,9 @@ def term_statistics(points: DataFrame, terms: DataFrame | None = None, using: st
     counts are written once (they are the size of the vocabulary) because they are read twice.
     """
     ensure_checkpoints(points.sparkSession)
-    vectors = points.select(F.col(f"{using}.indices").alias("indices")).filter(F.size("indices") > 0)
     # The extra index -1 marks every vector once, so one pass gives both numbers.
-    marked = vectors.select(F.explode(F.concat(F.array(F.lit(-1)), F.col("indices"))).alias("index"))
+    marks = bind(F.col(f"{using}.indices"), lambda i: F.when(F.size(i) > 0, F.concat(F.array(F.lit(-1)), i)))
+    marked = points.select(F.explode(marks).alias("index"))
     if terms is not None:
         always = points.sparkSession.range(1).select(F.lit(-1).alias("index"))
         marked = marked.join(terms.select(F.col("index").cast("int")).unionByName(always), "index", "left_semi")
@@ -149,7 +149,9 @@ def sparse_search(
     ``statistics`` (see ``term_statistics``), or by statistics counted here over all points.
     """
     check_limit(k)
-    wanted = queries.filter(F.size("sparse.indices") > 0).select("query_id", "sparse")
+    # Empty vectors score nothing by themselves.  A filter on them would be pushed below the expression that
+    # makes them and compute it twice.
+    wanted = queries.select("query_id", "sparse")
     if idf:
         if statistics is None:
             terms = wanted.select(F.explode("sparse.indices").alias("index")).distinct()
@@ -161,8 +163,8 @@ def sparse_search(
     rows = apply_filter(points, filter).select(
         F.col("id").cast("string").alias("id"), F.col(using).getField("indices").alias("indices"),
         F.col(using).getField("values").cast("array<double>").alias("values"),
-    ).filter(F.size("indices") > 0)
-    return _top_k(wanted, rows, k, F.size("indices"), SparseBlock, True, broadcast_numbers)
+    )
+    return _top_k(wanted, rows, k, F.coalesce(F.size("indices"), F.lit(0)), SparseBlock, True, broadcast_numbers)
 
 
 # --- placement of the work ------------------------------------------------------------------------------
@@ -345,24 +347,27 @@ def search_requests(
     """
     check_limit(max_limit)
     limits = requests.select("query_id", "mode", F.col("limit").cast("bigint").alias("limit"))
-
-    def within(hits: DataFrame) -> DataFrame:
-        return hits.join(limits, "query_id").filter(F.col("rank") <= F.col("limit"))
-
-    dense = within(
-        dense_search(requests.filter(F.col("mode").isin("dense", "hybrid")), points, max_limit, filter=filter, metric=metric)
+    dense = dense_search(
+        requests.filter(F.col("mode").isin("dense", "hybrid")), points, max_limit, filter=filter, metric=metric
+    )
+    sparse = sparse_search(
+        requests.filter(F.col("mode").isin("sparse", "hybrid")), points, max_limit,
+        filter=filter, idf=idf, statistics=statistics,
+    )
+    hits = dense.unionByName(sparse).join(limits, "query_id").filter(F.col("rank") <= F.col("limit"))
+    hybrid = F.col("mode") == "hybrid"
+    merged = hits.groupBy("query_id", "mode", "limit", "id").agg(
+        F.round(F.sum(F.lit(1.0) / (F.col("rank") + F.lit(rrf_k))), 9).alias("_fused"),
+        # A request of one branch has one row per id.
+        F.max("score").alias("_score"), F.min("rank").alias("_rank"),
     )
-    sparse = within(
-        sparse_search(
-            requests.filter(F.col("mode").isin("sparse", "hybrid")), points, max_limit,
-            filter=filter, idf=idf, statistics=statistics,
-        )
+    by = [F.when(hybrid, -F.col("_fused")).otherwise(F.col("_rank").cast("double")), F.col("id")]
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(*by)).cast("bigint")
+    return (
+        merged.withColumn("rank", place)
+        .filter(F.col("rank") <= F.col("limit"))
+        .select("query_id", "mode", "rank", "id", F.when(hybrid, F.col("_fused")).otherwise(F.col("_score")).alias("score"))
     )
-    single = dense.filter("mode = 'dense'").unionByName(sparse.filter("mode = 'sparse'"))
-    fused = fuse(dense.filter("mode = 'hybrid'"), sparse.filter("mode = 'hybrid'"), max_limit, rrf_k)
-    fused = fused.join(limits, "query_id").filter(F.col("rank") <= F.col("limit"))
-    columns = ["query_id", "mode", "rank", "id", "score"]
-    return single.select(columns).unionByName(fused.select(columns))
 
 
 def attach_points(hits: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:

@@ -125,6 +125,16 @@ def write_all(batch: DataFrame, targets: Sequence[PointTable], ordinal: str | No
     return {target.spec.name: n for target in targets}
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan of a few small files to all cores; a scan with enough partitions is left alone.
+
+    For heavy per-row work (tokens, models) on inputs that fit one task.  Takes a plain scan: asking it for its
+    partitions runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 # --- reading --------------------------------------------------------------------------------------------
 
 
