@@ -77,9 +77,32 @@ def field(key: str, schema: T.StructType) -> tuple[Column, T.DataType] | None:
         return column, dtype
     if "payload" in schema.names and isinstance(schema["payload"].dataType, T.MapType):
         return F.col("payload").getItem(key), schema["payload"].dataType.valueType
+    for name in ("payload", "extra"):
+        kind = schema[name].dataType if name in schema.names else None
+        if isinstance(kind, (T.VariantType, T.StringType)):
+            value = F.col(name) if isinstance(kind, T.VariantType) else F.try_parse_json(F.col(name))
+            path = "$" + "".join("['" + step.replace("'", "\\'") + "']" for step in key.split("."))
+            return F.try_variant_get(value, path, "variant"), T.VariantType()
     return None
 
 
+def _typed(value: Column, sample) -> tuple[Column, Column]:
+    """A variant as the type of ``sample``, and as an array of that type; null where it is neither.
+
+    Fixed values: the type names are those Spark reports for variants.
+    """
+    kind = F.schema_of_variant(value)
+    if isinstance(sample, bool):
+        want, names = "boolean", ["BOOLEAN"]
+    elif isinstance(sample, (int, float)):
+        want, names = "double", ["BIGINT", "DOUBLE", "FLOAT", "DECIMAL"]
+    else:
+        want, names = "string", ["STRING"]
+    one = F.when(kind.rlike("^(" + "|".join(names) + ")"), F.try_variant_get(value, "$", want))
+    many = F.when(kind.rlike("^ARRAY<(" + "|".join(names) + ")"), F.try_variant_get(value, "$", f"array<{want}>"))
+    return one, many
+
+
 def _comparable(value, dtype: T.DataType) -> bool:
     if isinstance(dtype, T.BooleanType) or isinstance(value, bool):
         return isinstance(dtype, T.BooleanType) and isinstance(value, bool)
@@ -92,6 +115,13 @@ def _comparable(value, dtype: T.DataType) -> bool:
 
 def _match(column: Column, dtype: T.DataType, values: list) -> Column:
     """Any of the values; a value of another type than the field never matches."""
+    if isinstance(dtype, T.VariantType):
+        found = []
+        for value in values:
+            one, many = _typed(column, value)
+            literal = F.lit(float(value) if isinstance(value, int) and not isinstance(value, bool) else value)
+            found.append(F.coalesce(one == literal, F.array_contains(many, literal), F.lit(False)))
+        return reduce(or_, found) if found else F.lit(False)
     element = dtype.elementType if isinstance(dtype, T.ArrayType) else dtype
     usable = [v for v in values if _comparable(v, element)]
     if not usable:
@@ -109,6 +139,8 @@ def _range(column: Column, dtype: T.DataType, bounds: Mapping) -> Column:
     given = {name: value for name, value in bounds.items() if value is not None}
     if any(isinstance(v, str) for v in given.values()):
         return _datetime_range(column, dtype, given)
+    if isinstance(dtype, T.VariantType):
+        column, dtype = _typed(column, 0.0)[0], T.DoubleType()
     if not isinstance(dtype, T.NumericType):
         return F.lit(False)
     return _all([BOUNDS[name](column, F.lit(v)) for name, v in given.items()])
@@ -116,6 +148,8 @@ def _range(column: Column, dtype: T.DataType, bounds: Mapping) -> Column:
 
 def _datetime_range(column: Column, dtype: T.DataType, bounds: Mapping) -> Column:
     """One string bound makes the whole range a range of instants (session time zone is UTC)."""
+    if isinstance(dtype, T.VariantType):
+        column, dtype = _typed(column, "")[0], T.StringType()
     if isinstance(dtype, T.StringType):
         column, dtype = F.try_to_timestamp(column), T.TimestampType()
     if not isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):

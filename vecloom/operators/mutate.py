@@ -79,6 +79,13 @@ def merge_maps(old: Column, new: Column) -> Column:
     return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(F.map_concat(mine, new))
 
 
+def merge_json(old: Column, new: Column) -> Column:
+    """Payload kept as a JSON object: top-level keys of ``new`` replace those of ``old``, types are kept."""
+    kind = "map<string, variant>"
+    merged = F.to_json(merge_maps(F.from_json(old, kind), F.from_json(new, kind)))
+    return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(merged)
+
+
 def default_id(collection: str, text: Column, id_column: Column) -> Column:
     """The given id, else a hash of collection and text.
 

@@ -1,7 +1,8 @@
 """Collections at rest: one Parquet folder per physical collection, partitioned by a hash bucket of the id.
 
-An upsert reads and rewrites only the buckets its ids fall into (dynamic partition overwrite); everything
-else stays as it is.  Writing the same batch again gives the same table, so a failed job is simply re-run.
+Declared payload fields are columns, so filters on them reach the scan; everything else of the payload is one
+JSON object in ``extra``.  An upsert reads and rewrites only the buckets its ids fall into (dynamic
+partition overwrite); everything else stays as it is.  Writing the same batch again gives the same table, so a failed job is simply re-run.
 """
 
 from __future__ import annotations
@@ -9,17 +10,20 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from vecloom.functions.vectors import metric_name
 from vecloom.operators.filters import apply_filter
-from vecloom.operators.mutate import last_wins, upsert_points
+from vecloom.operators.mutate import last_wins, merge_json
 from vecloom.operators.search import check_limit
+from vecloom.session import ensure_checkpoints
 from vecloom.spec import CollectionSpec
 
 BUCKET = "bucket"
+EXTRA = "extra"
 SPARSE_TYPE = "struct<indices: array<int>, values: array<double>>"
 
 
@@ -28,12 +32,12 @@ def bucket_of(spec: CollectionSpec, key: str = "id"):
 
 
 def schema_of(spec: CollectionSpec) -> T.StructType:
-    """Id, vectors and the declared payload fields."""
+    """Id, vectors, the declared payload fields as columns, and all other payload as one JSON object."""
     fields = ["id string", f"`{spec.dense_column}` array<float>"]
     if spec.sparse_column:
         fields.append(f"`{spec.sparse_column}` {SPARSE_TYPE}")
     fields += [f"`{name}` {dtype}" for name, dtype in spec.payload_types]
-    return T._parse_datatype_string(", ".join([*fields, f"{BUCKET} int"]))
+    return T._parse_datatype_string(", ".join([*fields, f"{EXTRA} string", f"{BUCKET} int"]))
 
 
 class PointTable:
@@ -64,39 +68,64 @@ class PointTable:
         return self._read().drop(BUCKET)
 
     def _read(self) -> DataFrame:
-        # The declared schema is given, not inferred: new payload fields are declared in the spec.
+        # The declared schema is given, not inferred: no file is opened to plan a query.
         return self.spark.read.schema(schema_of(self.spec)).parquet(self.path)
 
-    def upsert(self, batch: DataFrame, ordinal: str | None = None) -> DataFrame:
-        """Write the batch; returns its rows as written (one per id)."""
-        new = last_wins(batch, ordinal) if ordinal else batch
-        new = self._shaped(new).withColumn(BUCKET, bucket_of(self.spec))
-        touched = new.select(BUCKET).distinct()
-        # At most ``spec.buckets`` rows: the scan of the target prunes to these partitions at run time.
-        old = self._read().join(F.broadcast(touched), BUCKET, "left_semi")
-        merged = upsert_points(old, new)
-        self._write(merged)
-        return new.drop(BUCKET)
-
-    def replace(self, points: DataFrame) -> None:
-        """Rewrite the buckets the given rows fall into with exactly these rows."""
-        self._write(self._shaped(points).withColumn(BUCKET, bucket_of(self.spec)))
+    def upsert(self, batch: DataFrame, ordinal: str | None = None) -> int:
+        """Put the rows of the batch in place of those with the same id; returns the rows written.
+
+        The batch is written down first: it is read more than once, and may come from a model.
+        """
+        ensure_checkpoints(self.spark)
+        return self._merge(self._numbered(last_wins(batch, ordinal) if ordinal else batch).checkpoint())
+
+    def load(self, points: DataFrame) -> None:
+        """First load of an empty table, straight from the source; ids must be unique."""
+        if not self._read().isEmpty():
+            raise ValueError(f"table {self.spec.name} is not empty")
+        self._save(self._placed(self._numbered(points)).drop("_file"))
+
+    def _merge(self, new: DataFrame) -> int:
+        # At most ``spec.buckets`` numbers; as constants they prune the scan to these partitions.
+        touched = new.groupBy(BUCKET).agg(F.count("*").alias("n")).collect()
+        if touched:
+            old = self._read().filter(F.col(BUCKET).isin([row[BUCKET] for row in touched]))
+            both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+            # Shuffled once, by what the files are cut by; the newer row of an id is picked within the task.
+            by = W.partitionBy(BUCKET, "_file", "id").orderBy(F.col("_new").desc())
+            newest = self._placed(both).withColumn("_n", F.row_number().over(by)).filter("_n = 1")
+            self._save(newest.drop("_n", "_new", "_file"))
+        return sum(row["n"] for row in touched)
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        # A bucket is written by several tasks, so that it may be larger than a task.
+        file = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(self.spec.files_per_bucket))
+        return df.withColumn("_file", file).repartition(BUCKET, "_file")
+
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        return self._shaped(df).withColumn(BUCKET, bucket_of(self.spec))
 
     def _shaped(self, df: DataFrame) -> DataFrame:
-        fields = [f for f in schema_of(self.spec) if f.name != BUCKET]
+        fields = [f for f in schema_of(self.spec) if f.name not in (BUCKET, EXTRA)]
+        named = {f.name for f in fields} | {EXTRA, BUCKET}
+        others = [c for c in df.columns if c not in named]
+        extra = F.col(EXTRA) if EXTRA in df.columns else F.lit(None).cast("string")
+        if others:
+            # Undeclared fields go into the JSON object, over fields of the same name that are there already.
+            packed = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]))
+            packed = F.when(packed != "{}", packed)
+            extra = merge_json(extra, packed) if EXTRA in df.columns else packed
         return df.select(
             *[
                 (F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in fields
-            ]
+            ],
+            extra.alias(EXTRA),
         )
 
-    def _write(self, df: DataFrame) -> None:
-        # Rows of one bucket spread over several tasks and files, so a large bucket is no large task.
-        spread = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4))
+    def _save(self, df: DataFrame) -> None:
         (
-            df.repartition(F.col(BUCKET), spread)
-            .write.mode("overwrite")
+            df.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(BUCKET)
             .parquet(self.path)
@@ -113,16 +142,11 @@ class PointTable:
 def write_all(batch: DataFrame, targets: Sequence[PointTable], ordinal: str | None = None) -> dict[str, int]:
     """Write the same rows to every target, one after the other; rows written per target.
 
-    The batch is materialised first: its ids and vectors must be the same for all.
+    The batch is materialised once: its ids and vectors are the same for all.
     """
-    from vecloom.session import ensure_checkpoints
-
     ensure_checkpoints(batch.sparkSession)
     fixed = (last_wins(batch, ordinal) if ordinal else batch).checkpoint()
-    n = fixed.count()
-    for target in targets:
-        target.upsert(fixed)
-    return {target.spec.name: n for target in targets}
+    return {target.spec.name: target._merge(target._numbered(fixed)) for target in targets}
 
 
 def spread(scan: DataFrame) -> DataFrame:

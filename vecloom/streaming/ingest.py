@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vecloom.operators.embed import Embedder
-from vecloom.operators.mutate import last_wins, prepare_chunks
+from vecloom.operators.mutate import prepare_chunks
 from vecloom.sources.tables import PointTable, write_all
 from vecloom.spec import PrefixPolicy
 
@@ -34,8 +34,7 @@ def ingest_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         points, rejected = prepare_chunks(batch, collection, embedder, policy)
         # Within a batch the last chunk of an id counts; without an order of arrival, the largest text.
-        order = ordinal or "text"
-        write_all(last_wins(points.withColumn("_order", F.col(order)), "_order"), targets)
+        write_all(points.withColumn("_order", F.col(ordinal or "text")), targets, "_order")
         if rejected_path:
             rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
 
