@@ -98,20 +98,20 @@ def current_state(events: DataFrame) -> DataFrame:
 
     origin = event.isin("bootstrap", "bootstrap_sync")
     base_row = F.struct("event_id", "event", "read_target", "write_targets", "next_target")
+    origin_target = F.coalesce("rollback_target", "read_target")
     folded = events.groupBy("logical_name").agg(
-        F.max_by("state", eid).alias("state"),
+        # The note is the one field an event without a value clears.
+        F.max_by(F.struct("state", "note", "created_at"), eid).alias("_last"),
         newest_of(base_row, event.isin(*BASES)).alias("_base"),
-        F.min_by(
-            F.coalesce("rollback_target", "read_target"),
-            F.when(origin & F.coalesce("rollback_target", "read_target").isNotNull(), eid),
-        ).alias("rollback_target"),
+        F.min_by(origin_target, F.when(origin & origin_target.isNotNull(), eid)).alias("rollback_target"),
         newest_of("task_id", F.col("task_id").isNotNull()).alias("task_id"),
-        newest_of("created_at", event == "verify").alias("last_verify_at"),
-        newest_of(F.coalesce("result", F.lit("pending")), event == "verify").alias("last_verify_result"),
+        newest_of(F.struct("created_at", F.coalesce("result", F.lit("pending")).alias("result")), event == "verify").alias("_verify"),
         newest_of("created_at", event == "cutover").alias("last_cutover_at"),
-        # The note is the one field an event without a value clears.
-        F.max_by("note", eid).alias("note"),
-        F.max_by("created_at", eid).alias("updated_at"),
+    ).withColumns(
+        {
+            "state": F.col("_last.state"), "note": F.col("_last.note"), "updated_at": F.col("_last.created_at"),
+            "last_verify_at": F.col("_verify.created_at"), "last_verify_result": F.col("_verify.result"),
+        }
     )
     targets = _base_targets(F.col("_base"), F.col("rollback_target"))
     bases = folded.select("*", F.col("_base.event_id").alias("_base_id"), *targets)

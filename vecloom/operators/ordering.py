@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.session import ensure_checkpoints
+from vecloom.session import written
 
 POSITION = "_position"
 CHUNK = "_chunk"
@@ -23,17 +23,11 @@ def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataF
     """Range-partition and sort on ``keys`` + ``order``, then number the rows.
 
     ``order`` must end in something unique, or equal rows cannot be cut apart.  The split is
-    checkpointed: both uses below must see the same chunks, and a re-run of a lost task must too.
+    written down: both uses below must see the same chunks, and a re-run of a lost task must too.
     """
-    ensure_checkpoints(df.sparkSession)
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    return (
-        df.repartitionByRange(*by)
-        .sortWithinPartitions(*by)
-        .withColumn(POSITION, F.monotonically_increasing_id())
-        .withColumn(CHUNK, F.shiftright(POSITION, 33))
-        .checkpoint()
-    )
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(POSITION, F.monotonically_increasing_id())
+    return written(placed.withColumn(CHUNK, F.shiftright(POSITION, 33)), "chunks")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "row_number") -> DataFrame:

@@ -19,7 +19,7 @@ from vecloom.functions.text import bind, is_blank, sparse_or_null
 from vecloom.functions.vectors import METRICS, metric_name, score as pair_score
 from vecloom.operators.filters import apply_filter
 from vecloom.operators.scoring import DenseBlock, SparseBlock, best_of
-from vecloom.session import ensure_checkpoints, ship_package
+from vecloom.session import ship_package, written
 from vecloom.spec import DEFAULT_LIMIT, MAX_LIMIT
 
 # A query block up to this many stored numbers is broadcast (float64: 64 MB); beyond it both sides are
@@ -95,14 +95,13 @@ def term_statistics(points: DataFrame, terms: DataFrame | None = None, using: st
     An index is counted before it is shuffled, so a term of every text costs one row per task.  The
     counts are written once (they are the size of the vocabulary) because they are read twice.
     """
-    ensure_checkpoints(points.sparkSession)
     # The extra index -1 marks every vector once, so one pass gives both numbers.
     marks = bind(F.col(f"{using}.indices"), lambda i: F.when(F.size(i) > 0, F.concat(F.array(F.lit(-1)), i)))
     marked = points.select(F.explode(marks).alias("index"))
     if terms is not None:
         always = points.sparkSession.range(1).select(F.lit(-1).alias("index"))
         marked = marked.join(terms.select(F.col("index").cast("int")).unionByName(always), "index", "left_semi")
-    counts = marked.groupBy("index").agg(F.count("*").alias("df")).checkpoint()
+    counts = written(marked.groupBy("index").agg(F.count("*").alias("df")), "terms")
     total = counts.filter("index = -1").head()
     return counts.filter("index >= 0").withColumn("n", F.lit(total["df"] if total else 0).cast("bigint"))
 

@@ -118,7 +118,8 @@ def request_log(spark, sf_dir) -> DataFrame:
     family = F.when(kind == "view", "realtime").when(kind == "click", "interactive").when(kind == "signup", "batch").when(
         kind == "error", "probe"
     ).otherwise("job")
-    return table(spark, sf_dir, "events").select(
+    log = table(spark, sf_dir, "events").withColumn("k", json_k())
+    return log.select(
         F.col("event_id").alias("request_id"),
         F.concat(family, F.lit("/"), F.col("user_id").cast("string")).alias("caller"),
         F.when(kind == "click", "count").when(kind == "signup", "").when(F.col("value") > 50, "reindex").alias("operation"),
@@ -126,9 +127,9 @@ def request_log(spark, sf_dir) -> DataFrame:
         F.col("ts"),
         F.col("ts").cast("timestamp").alias("enqueued_at"),
         F.floor(F.col("value") * 10).cast("bigint").alias("latency_ms"),
-        json_k().alias("queue_wait_ms"),
+        F.col("k").alias("queue_wait_ms"),
         ((kind == "error") | (F.col("value") > 100)).alias("failed"),
-        json_k().alias("n_texts"),
+        F.col("k").alias("n_texts"),
         F.col("user_id"), F.col("value"),
     )
 
@@ -154,23 +155,26 @@ log AS (
 
 def migration_events(spark, sf_dir) -> DataFrame:
     """Every user is a logical collection, every event a phase change; a bootstrap comes before the first."""
-    src = table(spark, sf_dir, "events")
-    k, kind = json_k(), F.col("event_type")
-    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    event = (
+    kind = F.col("event_type")
+    action = (
         F.when(kind == "view", F.when(F.col("value") > 20, "verify").otherwise("prepare"))
         .when(kind == "click", "dual_write")
         .when(kind == "signup", "backfill")
         .when(kind == "purchase", "cutover")
         .otherwise(F.when(F.col("value") > 20, "bootstrap_sync").otherwise("rollback"))
     )
+    src = spread(table(spark, sf_dir, "events"))
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    # In a step of its own, so that the JSON is read once per row and not once per use.
+    k, event = F.col("k"), F.col("event")
+    log = src.withColumns({"k": json_k(), "event": action})
     state = (
         F.when(event == "cutover", "live").when(event == "bootstrap_sync", "idle").otherwise(event)
     )
     synced = F.concat(F.lit("sync_"), k.cast("string"))
     none = F.lit(None).cast("string")
     version = F.concat(F.lit("v"), (2 + k % 3).cast("string"))
-    phases = src.select(
+    phases = log.select(
         F.col("event_id"), name.alias("logical_name"), event.alias("event"), state.alias("state"),
         F.when(event == "bootstrap_sync", synced).alias("read_target"),
         F.when(event == "bootstrap_sync", F.array(synced, F.lit("v2"))).alias("write_targets"),

@@ -20,6 +20,7 @@ from vecloom.operators.search import (
 from vecloom.operators.validate import check, query_rules
 from vecloom.plans import bindings as b
 from vecloom.plans.registry import query
+from vecloom.session import written
 from vecloom.sources import tables
 
 COSINE_SQL = (
@@ -106,7 +107,7 @@ def sparse_topk(spark, sf_dir):
 
 @query("sparse_topk_idf", f"WITH {b.DOC_TERMS_SQL}, {b.QUERY_TERMS_SQL}, {SPARSE_IDF_SCORES_SQL} {b.top_sql('s', 10)}")
 def sparse_topk_idf(spark, sf_dir):
-    return sparse_search(b.sparse_requests(spark, sf_dir), b.sparse_texts(spark, sf_dir), 10, idf=True)
+    return sparse_search(b.sparse_requests(spark, sf_dir), written(b.sparse_texts(spark, sf_dir), "terms"), 10, idf=True)
 
 
 @query(
@@ -120,7 +121,9 @@ def all_term_statistics(spark, sf_dir):
 
 
 def _sparse_points(spark, sf_dir):
-    return b.points(spark, sf_dir).withColumn("sparse", F.when(F.col("text").isNotNull(), sparse_terms(F.col("text"))))
+    """The collection as it would be stored: terms are made once, then read by statistics and scoring."""
+    terms = b.sparse_texts(spark, sf_dir).select("id", "lang", "sparse")
+    return written(terms.join(b.embedded(spark, sf_dir).select("id", "dense"), "id", "full_outer"), "points")
 
 
 def _sparse_queries(spark, sf_dir):

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the results depend on or that every job wants.  Sizes (shuffle partitions, memory) belong to
 # the cluster and are left to it.
@@ -45,7 +45,6 @@ def scratch_root(spark: SparkSession) -> str:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="vecloom-")
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -55,9 +54,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable."""
-    scratch_root(spark)
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, columnar, of known size, free of its lineage.
+
+    For results that several jobs read, or that must not change when a lost task runs again.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()

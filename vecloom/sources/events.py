@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from vecloom.operators.migration import EVENT_SCHEMA
-from vecloom.session import ensure_checkpoints
+from vecloom.session import written
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -32,12 +32,11 @@ def append_new(events: DataFrame, path: str, order: str = "logical_name") -> Dat
     For bulk loads give the ids yourself and use ``append_events``.
     """
     spark = events.sparkSession
-    ensure_checkpoints(spark)
     newest = read_events(spark, path).agg(F.max("event_id").alias("n")).head()["n"]
     start = -1 if newest is None else newest
     numbered = events.withColumn("event_id", F.row_number().over(W.orderBy(order)).cast("bigint") + F.lit(start))
     # Fixed before it is written: the table being appended to was read to number it.
-    fixed = _shaped(numbered).checkpoint()
+    fixed = written(_shaped(numbered), "events")
     fixed.write.mode("append").parquet(path)
     return fixed
 

@@ -19,7 +19,7 @@ from vecloom.functions.vectors import metric_name
 from vecloom.operators.filters import apply_filter
 from vecloom.operators.mutate import last_wins, merge_json
 from vecloom.operators.search import check_limit
-from vecloom.session import ensure_checkpoints
+from vecloom.session import written
 from vecloom.spec import CollectionSpec
 
 BUCKET = "bucket"
@@ -76,8 +76,7 @@ class PointTable:
 
         The batch is written down first: it is read more than once, and may come from a model.
         """
-        ensure_checkpoints(self.spark)
-        return self._merge(self._numbered(last_wins(batch, ordinal) if ordinal else batch).checkpoint())
+        return self._merge(written(self._numbered(last_wins(batch, ordinal) if ordinal else batch), "batch"))
 
     def load(self, points: DataFrame) -> None:
         """First load of an empty table, straight from the source; ids must be unique."""
@@ -144,8 +143,7 @@ def write_all(batch: DataFrame, targets: Sequence[PointTable], ordinal: str | No
 
     The batch is materialised once: its ids and vectors are the same for all.
     """
-    ensure_checkpoints(batch.sparkSession)
-    fixed = (last_wins(batch, ordinal) if ordinal else batch).checkpoint()
+    fixed = written(last_wins(batch, ordinal) if ordinal else batch, "batch")
     return {target.spec.name: target._merge(target._numbered(fixed)) for target in targets}
 
 

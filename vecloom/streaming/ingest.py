@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vecloom.operators.embed import Embedder
 from vecloom.operators.mutate import prepare_chunks
-from vecloom.sources.tables import PointTable, write_all
+from vecloom.sources.tables import PointTable, spread, write_all
 from vecloom.spec import PrefixPolicy
 
 
@@ -32,7 +32,8 @@ def ingest_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        points, rejected = prepare_chunks(batch, collection, embedder, policy)
+        # A micro-batch may be one small file; the model and the terms want all cores.
+        points, rejected = prepare_chunks(spread(batch), collection, embedder, policy)
         # Within a batch the last chunk of an id counts; without an order of arrival, the largest text.
         write_all(points.withColumn("_order", F.col(ordinal or "text")), targets, "_order")
         if rejected_path:
