@@ -89,18 +89,28 @@ def embed_texts(
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             at = [i for i, value in enumerate(texts) if value is not None]
-            vectors: list = [None] * len(texts)
-            for start in range(0, len(at), batch_size):
-                part = at[start : start + batch_size]
-                for i, vector in zip(part, _encode(embedder, [texts[i] for i in part], device)):
-                    vectors[i] = vector
-            column = pa.array(vectors, type=pa.list_(pa.field("element", pa.float32(), nullable=False)))
+            made = [
+                _encode(embedder, [texts[i] for i in at[start : start + batch_size]], device)
+                for start in range(0, len(at), batch_size)
+            ]
+            column = _as_lists(len(texts), at, np.concatenate(made) if made else np.empty((0, 0), dtype=np.float32))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], column], names=[*names, into])
 
     embedded = source.mapInArrow(run, out)
     return embedded.withColumn(into, normalise(F.col(into))) if unit_length else embedded
 
 
+def _as_lists(n: int, at: list[int], matrix: np.ndarray) -> pa.Array:
+    """A list column of ``n`` rows with the rows of ``matrix`` at the positions ``at`` and nulls elsewhere."""
+    held = np.zeros(n, dtype=bool)
+    held[at] = True
+    offsets = np.concatenate([[0], np.cumsum(held)]) * matrix.shape[1]
+    # A null offset makes a null list.
+    starts = pa.array(offsets.astype(np.int32), mask=np.append(~held, False))
+    kind = pa.list_(pa.field("element", pa.float32(), nullable=False))
+    return pa.ListArray.from_arrays(starts, pa.array(matrix.reshape(-1)), type=kind)
+
+
 def _encode(embedder: Embedder, texts: list[str], device: str | None) -> np.ndarray:
     try:
         return np.asarray(embedder.encode(texts), dtype=np.float32)

@@ -8,6 +8,7 @@ The result is a plain predicate, so it prunes partitions and reaches the Parquet
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
@@ -147,12 +148,19 @@ def _range(column: Column, dtype: T.DataType, bounds: Mapping) -> Column:
 
 
 def _datetime_range(column: Column, dtype: T.DataType, bounds: Mapping) -> Column:
-    """One string bound makes the whole range a range of instants (session time zone is UTC)."""
+    """One string bound makes the whole range a range of instants; a bound without a zone is UTC."""
     if isinstance(dtype, T.VariantType):
         column, dtype = _typed(column, "")[0], T.StringType()
     if isinstance(dtype, T.StringType):
         column, dtype = F.try_to_timestamp(column), T.TimestampType()
     if not isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.lit(False)
-    target = dtype if isinstance(dtype, T.TimestampNTZType) else T.TimestampType()
-    return _all([BOUNDS[name](column, F.lit(v).cast("timestamp").cast(target)) for name, v in bounds.items()])
+    zoned = not isinstance(dtype, T.TimestampNTZType)
+    return _all([BOUNDS[name](column, _instant(v, zoned)) for name, v in bounds.items()])
+
+
+def _instant(value, zoned: bool) -> Column:
+    at = value if isinstance(value, dt.datetime) else dt.datetime.fromisoformat(str(value))
+    at = at.replace(tzinfo=dt.timezone.utc) if at.tzinfo is None else at.astimezone(dt.timezone.utc)
+    # Written out with or without its zone, so that the session's time zone has no say.
+    return F.lit(at.isoformat()).cast("timestamp") if zoned else F.lit(at.replace(tzinfo=None).isoformat()).cast("timestamp_ntz")

@@ -25,6 +25,8 @@ from vecloom.spec import DEFAULT_LIMIT, MAX_LIMIT
 # A query block up to this many stored numbers is broadcast (float64: 64 MB); beyond it both sides are
 # cut into a grid.
 BROADCAST_NUMBERS = 8_000_000
+# Distinct query terms up to this many (4 bytes each) are broadcast.
+BROADCAST_TERMS = 2_000_000
 # Grid path: stored numbers of the point side of one cell.
 CELL_NUMBERS = 32_000_000
 
@@ -98,10 +100,18 @@ def term_statistics(points: DataFrame, terms: DataFrame | None = None, using: st
     # The extra index -1 marks every vector once, so one pass gives both numbers.
     marks = bind(F.col(f"{using}.indices"), lambda i: F.when(F.size(i) > 0, F.concat(F.array(F.lit(-1)), i)))
     marked = points.select(F.explode(marks).alias("index"))
-    if terms is not None:
+    if terms is None:
+        counts = marked.groupBy("index").agg(F.count("*").alias("df"))
+    else:
         always = points.sparkSession.range(1).select(F.lit(-1).alias("index"))
-        marked = marked.join(terms.select(F.col("index").cast("int")).unionByName(always), "index", "left_semi")
-    counts = written(marked.groupBy("index").agg(F.count("*").alias("df")), "terms")
+        wanted = written(terms.select(F.col("index").cast("int")).unionByName(always), "wanted")
+        if wanted.count() <= BROADCAST_TERMS:
+            marked = marked.join(F.broadcast(wanted), "index", "left_semi")
+            counts = marked.groupBy("index").agg(F.count("*").alias("df"))
+        else:
+            # Too many to send around: count everything where it lies, then pick.
+            counts = marked.groupBy("index").agg(F.count("*").alias("df")).join(wanted, "index", "left_semi")
+    counts = written(counts, "terms")
     total = counts.filter("index = -1").head()
     return counts.filter("index >= 0").withColumn("n", F.lit(total["df"] if total else 0).cast("bigint"))
 
@@ -288,9 +298,10 @@ def hybrid_search(
     sparse = sparse_search(queries, points, k, filter=pre, idf=idf, statistics=statistics, using=sparse_using)
     if filter_stage == "pre" or not filter:
         return fuse(dense, sparse, k, rrf_k)
-    hits = fuse(dense, sparse, min(2 * k, 2 * MAX_LIMIT), rrf_k).drop("rank")
+    # Ids are unique, so an inner join filters; the written hits have a known size and are broadcast if small.
+    hits = written(fuse(dense, sparse, min(2 * k, 2 * MAX_LIMIT), rrf_k).drop("rank"), "hits")
     passing = apply_filter(points, filter).select(F.col("id").cast("string").alias("id"))
-    return ranked(hits.join(passing, "id", "left_semi").select("query_id", "id", "score"), k)
+    return ranked(hits.join(passing, "id").select("query_id", "id", "score"), k)
 
 
 # --- requests -------------------------------------------------------------------------------------------
@@ -372,7 +383,11 @@ def search_requests(
 def attach_points(hits: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
     """Result projection: add payload or vector columns to the hits.
 
-    The wide columns join last, against at most k hits per query, and never travel through the top-k.
+    The wide columns never travel through the top-k.  The hits are written first: with their size known, a
+    small set of ids is broadcast and cuts the points down in the scan's own task, so the wide rows of other
+    points are not shuffled.
     """
+    hits = written(hits, "hits")
     wide = points.select(F.col("id").cast("string").alias("id"), *columns)
-    return hits.join(wide, "id", "left").select(*hits.columns, *columns)
+    found = wide.join(hits.select("id").distinct(), "id", "left_semi")
+    return hits.join(found, "id", "left").select(*hits.columns, *columns)
