@@ -75,28 +75,26 @@ def embed_texts(
 ) -> DataFrame:
     """Add ``into`` with the vector of ``text``; null texts, and rows where ``keep`` is false, get null.
 
-    One model per Python worker and task, no shuffle.  A model that fails on its device is loaded again on
-    the cpu and the batch repeated.
+    Only the texts travel to Python, in Arrow batches; one model per task, no shuffle.  A model that fails on its
+    device is loaded again on the cpu and the batch repeated.
     """
     ship_package(df.sparkSession)
-    wanted = F.col(text).isNotNull() if keep is None else F.col(text).isNotNull() & keep
-    names = df.columns
-    source = df.withColumn("_text", F.when(wanted, F.col(text)))
-    out = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.FloatType(), False))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder.load(device)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.to_pylist()
             at = [i for i, value in enumerate(texts) if value is not None]
             made = [
                 _encode(embedder, [texts[i] for i in at[start : start + batch_size]], device)
                 for start in range(0, len(at), batch_size)
             ]
-            column = _as_lists(len(texts), at, np.concatenate(made) if made else np.empty((0, 0), dtype=np.float32))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], column], names=[*names, into])
+            yield _as_lists(len(texts), at, np.concatenate(made) if made else np.empty((0, 0), dtype=np.float32))
 
-    embedded = source.mapInArrow(run, out)
+    # Marked so that the optimizer never computes it twice for two uses of the vector.
+    model = F.arrow_udf(run, T.ArrayType(T.FloatType(), False)).asNondeterministic()
+    wanted = F.col(text) if keep is None else F.when(keep, F.col(text))
+    embedded = df.withColumn(into, model(wanted))
     return embedded.withColumn(into, normalise(F.col(into))) if unit_length else embedded
 
 

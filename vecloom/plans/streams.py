@@ -80,10 +80,10 @@ def stream_state(spark, sf_dir):
     """The event log as a stream of files, folded batch by batch."""
     root = scratch_path(spark, "state")
     events = b.migration_events(spark, sf_dir)
-    # The log is written in two files' worth, so that state is carried from one batch to the next.
+    # The log comes in two parts and a few files at a time, so that state is carried from batch to batch.
     events.filter("event = 'bootstrap' or event_id < 5000").write.parquet(f"{root}/log/part=1")
     events.filter("not (event = 'bootstrap' or event_id < 5000)").write.parquet(f"{root}/log/part=2")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log/*")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/log/*")
     folded = state_stream(stream, f"{root}/compact", f"{root}/checkpoint")
     folded.awaitTermination()
     return latest_state(spark, f"{root}/compact", folded).withColumn("write_targets", joined("write_targets"))

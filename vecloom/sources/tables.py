@@ -154,7 +154,8 @@ def spread(scan: DataFrame) -> DataFrame:
     partitions runs nothing.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    # Without columns the plan to ask is the smallest one; the number of partitions is that of the files.
+    return scan.repartition(cores) if scan.select(F.lit(1)).rdd.getNumPartitions() < cores else scan
 
 
 # --- reading --------------------------------------------------------------------------------------------
