@@ -54,7 +54,7 @@ def as_lists(df):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "euclid", "manhattan"])
-@pytest.mark.parametrize("broadcast", [10**9, 60])
+@pytest.mark.parametrize("broadcast", [10**9, 2000])
 def test_dense(data, metric, broadcast):
     pts, qs, points, queries = data
     found = s.dense_search(queries, points, 12, metric=metric, vector_size=8, broadcast_numbers=broadcast)
@@ -67,7 +67,7 @@ def test_dense_small_slices(data, monkeypatch):
     pts, qs, points, queries = data
     monkeypatch.setattr(scoring, "CELLS", 100)
     monkeypatch.setattr(s, "CELL_NUMBERS", 500)
-    found = s.dense_search(queries, points, 5, vector_size=8, broadcast_numbers=60)
+    found = s.dense_search(queries, points, 5, vector_size=8, broadcast_numbers=1000)
     assert as_lists(found) == brute(pts, qs, 5, "cosine")
 
 
@@ -154,7 +154,7 @@ def brute_sparse(pts, qs, k, idf=False):
 
 
 @pytest.mark.parametrize("idf", [False, True])
-@pytest.mark.parametrize("broadcast", [10**9, 50])
+@pytest.mark.parametrize("broadcast", [10**9, 2000])
 def test_sparse(terms, idf, broadcast):
     pts, qs, points, queries = terms
     found = s.sparse_search(queries, points, 9, idf=idf, broadcast_numbers=broadcast)

@@ -25,6 +25,8 @@ from vecloom.spec import DEFAULT_LIMIT, MAX_LIMIT
 # A query block up to this many stored numbers is broadcast (float64: 64 MB); beyond it both sides are
 # cut into a grid.
 BROADCAST_NUMBERS = 8_000_000
+# A query counts for at least this many numbers: its running best list takes room whatever its own size.
+QUERY_NUMBERS = 160
 # Distinct query terms up to this many (4 bytes each) are broadcast.
 BROADCAST_TERMS = 2_000_000
 # Grid path: stored numbers of the point side of one cell.
@@ -193,7 +195,7 @@ def _top_k(queries, rows, k, width: Column, make_block, larger_is_better, broadc
     ship_package(spark)
     # Kept while it is measured and read; the grid path reads it again later and leaves it to the cache.
     queries = queries.persist()
-    numbers = queries.agg(F.sum(width.cast("bigint")).alias("n")).head()["n"] or 0
+    numbers = queries.agg(F.sum(F.greatest(width, F.lit(QUERY_NUMBERS)).cast("bigint")).alias("n")).head()["n"] or 0
     if numbers <= broadcast_numbers:
         # The size was just measured, so this table is small; it goes to every executor once and the points
         # are neither shuffled nor repeated.
