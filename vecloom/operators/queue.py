@@ -11,37 +11,30 @@ from pyspark.sql import functions as F
 
 from vecloom.operators.migration import RECENT_MAX, recent_events
 
-ITEM_SCHEMA = (
-    "id string, logical_collection string, task_config string, shards array<string>,"
-    " window struct<start: string, stop_dispatch: string, pause_at: string>, status string, task_id string,"
-    " attempts int, last_error string, created_at string, updated_at string, note string, sequence int, metadata string"
+ITEM_FIELDS = ", ".join(
+    [
+        "id: string", "logical_collection: string", "task_config: string", "shards: array<string>",
+        "window: struct<start: string, stop_dispatch: string, pause_at: string>", "status: string", "task_id: string",
+        "attempts: int", "last_error: string", "created_at: string", "updated_at: string", "note: string",
+        "sequence: int", "metadata: string",
+    ]
 )
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
     """Queue files ``{"items": [...]}``, with an explicit schema."""
-    files = spark.read.schema(f"items array<struct<{ITEM_SCHEMA_FIELDS}>>").option("multiLine", True).json(path)
+    files = spark.read.schema(f"items array<struct<{ITEM_FIELDS}>>").option("multiLine", True).json(path)
     items = files.select(F.explode("items").alias("i")).select("i.*")
     defaults = {"status": "queued", "attempts": 0, "sequence": 0}
     return items.fillna(defaults).withColumn("shards", F.coalesce("shards", F.array().cast("array<string>")))
 
 
-ITEM_SCHEMA_FIELDS = ", ".join(
-    [
-        "id: string", "logical_collection: string", "task_config: string", "shards: array<string>",
-        "window: struct<start: string, stop_dispatch: string, pause_at: string>", "status: string", "task_id: string",
-        "attempts: int", "last_error: string", "created_at: string", "updated_at: string", "note: string",
-        "sequence: int", "metadata: string",
-    ]
-)
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Stored records ``{"id", "created_at", "updated_at", "meta": {...}}``, one per line.
 
     The record's id replaces the item's; its times only fill missing ones.
     """
-    fields = ITEM_SCHEMA_FIELDS
+    fields = ITEM_FIELDS
     records = spark.read.schema(f"id string, created_at string, updated_at string, meta struct<{fields}>").json(path)
     lifted = records.select("meta.*", F.col("id").alias("_id"), F.col("created_at").alias("_c"), F.col("updated_at").alias("_u"))
     return (

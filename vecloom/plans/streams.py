@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecloom.operators import migration as m
 from vecloom.operators.embed import HashEmbedder
 from vecloom.plans import bindings as b
 from vecloom.plans.migration import joined
