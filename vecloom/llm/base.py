@@ -59,6 +59,16 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more: neither a later step nor a step that may run again."""
+    for one in tables:
+        files = one.inputFiles()
+        if files:
+            jvm = one.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(one.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

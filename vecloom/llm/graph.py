@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.llm.base import discard
 from vecloom.session import written
 
 
@@ -40,7 +41,8 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     edges = written(edges, label)
     before = _state(edges)
     while before[0]:
-        edges = written(_small(_large(edges)), label)
+        last, edges = edges, written(_small(_large(edges)), label)
+        discard(last)
         now = _state(edges)
         if now == before:
             break

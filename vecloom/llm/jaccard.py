@@ -5,8 +5,8 @@ similarity reaches the threshold, as far as it is needed to know which documents
 
 1. Tokens (shingle hashes) get one global order: tokens that a fixed-size count sketch of the whole corpus shows as
    common come last, the rest is ordered by hash.  Only the first tokens of each set, its *prefix*, take part in the
-   search; two sets over the threshold share ``SHARED`` prefix tokens at least (a set of n tokens has a prefix of
-   n - ceil(threshold * n) + SHARED).  Any order gives the same links; a good one gives fewer candidates.
+   search.  A set of n tokens has a prefix of n - ceil(threshold * n) + shared(n); two sets over the threshold share
+   at least as many prefix tokens as ``shared`` says for the smaller one.  Any order gives the same links; a good one gives fewer candidates.
 2. Similar classes are put into groups: in a few turns each class is compared, exactly, with those next to it in the
    lists of its tokens, and what links is one group.
 3. The token-group matrix has one row for each token and group whose union holds it, whatever the number of members.
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.base import LOWER, flat, list_array, mix, signed, slices, small_batches, span_hashes, word_spans
+from vecloom.llm.base import LOWER, discard, flat, list_array, mix, signed, slices, small_batches, span_hashes, word_spans
 from vecloom.llm.graph import components
 from vecloom.session import written
 
 WORDS = 5
 PERCENT = 80
-# Prefix tokens that two linked sets share at least.
+# Prefix tokens that two linked sets share at least: one for so many tokens of the set, and this at least.  Fewer make
+# shorter prefixes, more leave fewer candidates.
+SHARED_OF = 20
 SHARED = 3
 # Cells of the count sketch; it only orders tokens, so its size never changes a result.
 SKETCH_BITS = 17
@@ -82,7 +84,7 @@ def _ordered(hashes: np.ndarray, levels: np.ndarray | None) -> np.ndarray:
 
 
 def _prefix_length(n: int, percent: int) -> int:
-    return min(n, n - -(-percent * n // 100) + SHARED)
+    return min(n, n - -(-percent * n // 100) + max(SHARED, n // SHARED_OF))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -214,8 +216,9 @@ def _fit(n: str, m: str, percent: int):
 
 
 def _needed(n: str, percent: int):
-    """Prefix tokens that a set shares with any set it links to."""
-    return F.least(F.lit(SHARED), F.ceil(F.col(n) * percent / 100))
+    """Prefix tokens that a set shares with any set it links to; that one has ceil(percent of n) tokens at least."""
+    least = F.ceil(F.col(n) * percent / 100)
+    return F.least(F.greatest(F.lit(SHARED), F.floor(least / SHARED_OF)), least)
 
 
 def _across(cells: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -320,12 +323,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     need = shared.groupBy("class").agg(F.countDistinct("token").alias("hits")).join(count, "class").where(F.col("hits") >= _needed("n", percent))
     need = written(need.select("class", "n", "text_key"), "jaccard-need")
     active = _active_sets(docs, need.select("class", "text_key"), words)
-    cells = shared.select("class", "token").distinct().join(need.select("class", "n"), "class")
+    cells = written(shared.select("class", "token").distinct().join(need.select("class", "n"), "class"), "jaccard-cells")
+    discard(shared)
 
     links, groups, before = None, None, 0
     for turn in range(ROUNDS):
         grouped = written(_across(cells, groups), "jaccard-cells")
         found = written(_neighbours(grouped, active, turn, percent), "jaccard-links")
+        discard(grouped)
         links = found if links is None else links.unionByName(found)
         groups = written(components(links), "jaccard-groups")
         now = found.count()
@@ -333,7 +338,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             break
         before = max(before, now)
     links = links.unionByName(_open_groups(written(_across(cells, groups), "jaccard-cells"), need, groups, active, percent))
-    roots = components(written(links, "jaccard-all-links"))
+    links = written(links, "jaccard-all-links")
+    discard(cells, active)
+    roots = components(links)
 
     rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "check", "root", "component_id")

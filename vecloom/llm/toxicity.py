@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.base import slices, small_batches
+from vecloom.llm.base import discard, slices, small_batches
 from vecloom.llm.lookup import Lookup
 from vecloom.session import written
 
@@ -94,10 +94,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds, inverse = np.unique(grams, return_inverse=True)
             parts.append((kinds, np.bincount(inverse, labels, len(kinds)), np.bincount(inverse, ~labels, len(kinds))))
             size += len(kinds)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 parts = _merge(parts)
                 size = len(parts[0][0])
-            if size > 1_500_000:
+            if size > 800_000:
                 yield from out()
                 parts, size = [], 0
     if parts:
@@ -238,6 +238,7 @@ def fit_toxicity(labelled: DataFrame, model_ngrams: int = MODEL_NGRAMS, calibrat
     sample = rows.where("part = 1").select("text", "label").mapInArrow(features, "label int, x0 double, x1 double, x2 double")
     found = sample.orderBy(F.xxhash64("x0", "x1", "x2"), "label").limit(calibration_rows).toArrow()
     x = np.column_stack([found.column(f"x{k}").to_numpy() for k in range(3)])
+    discard(rows, counts)
     return ToxicModel(model, _logistic(x, found.column("label").to_numpy().astype(float)), base)
 
 
