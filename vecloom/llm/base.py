@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vecloom.session import ship_package
 
 # A batch of texts is worked on in slices of about this many bytes, so that memory does not follow the batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ def small_batches(spark: SparkSession) -> None:
     """Send the package to the workers and let Arrow batches stay small, as single texts may be very long."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:

@@ -40,7 +40,7 @@ SKETCH_BITS = 17
 # Texts that are needed again are first thinned out by this many hash values, at most so many are broadcast.
 SIEVE = 1 << 18
 # Tokens in a block of an opened group.
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 13
 # Turns of grouping before the matrix is searched; they only save work.
 ROUNDS = 6
 # Classes of which a task remembers that it has sent their prefix.

@@ -11,6 +11,8 @@ from vecloom.llm.base import in_fold, table
 from vecloom.llm.bpe import bpe_decode, bpe_digest, bpe_encode
 from vecloom.llm.decontaminate import find_leaks
 from vecloom.llm.jaccard import jaccard_join
+from vecloom.llm.language import fit_language, identify
+from vecloom.llm.quality import fit_quality, score_quality
 from vecloom.llm.secrets import find_secrets, secret_digest
 from vecloom.llm.toxicity import ToxicModel, fit_toxicity, score_toxicity
 
@@ -27,10 +29,26 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from folds 1 to 3 (ratios, margin) and 4 (curve) of 5; fold 0 is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = docs.where(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 5, 0)).join(labelled(spark, sf_dir, "quality"), "doc_id")
+    model = fit_quality(learned.select("text", "label", in_fold(F.col("doc_id"), 5, 4).cast("int").alias("part")))
+    return score_quality(docs, model).select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from folds 0, 1 and 3 of 4; fold 2 is held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language(docs.where(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2)).select("text", "lang"))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_digest(bpe_decode(bpe_encode(docs, tokenizer_path()).drop("text"), tokenizer_path()))
@@ -60,7 +78,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_quality": op2_quality,
     "op3_jaccard": op3_jaccard,
+    "op4_language": op4_language,
     "op5_bpe": op5_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
