@@ -41,7 +41,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     edges = written(edges, label)
     before = _state(edges)
     while before[0]:
-        last, edges = edges, written(_small(_large(edges)), label)
+        last, edges = edges, written(_small(_large(_small(_large(edges)))), label)
         discard(last)
         now = _state(edges)
         if now == before:

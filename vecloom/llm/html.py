@@ -146,7 +146,7 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             marks = tag[3]
             link = link or name == "a"
             hidden = hidden or name in HIDDEN or bool(marks and _HIDING.search(marks))
-            named = marks and any(_CHROME_WORDS.search(next(v for v in (*m, "") if v or v == "")) for m in _ATTRIBUTE.findall(marks))
+            named = marks and any(_CHROME_WORDS.search("".join(m)) for m in _ATTRIBUTE.findall(marks))
             # The header of an article belongs to it.
             frame = frame or (name in CHROME and not (name == "header" and main)) or bool(named and name not in ("body", "html"))
             main = main or name in MAIN

@@ -169,7 +169,7 @@ class LanguageModel:
         heads = np.ones(n, bool)
         heads[1:] = (row[1:] != row[:-1]) | (label[1:] != label[:-1])
         begin = np.flatnonzero(heads)
-        end = np.append(begin[1:], n) - 1
+        end = np.append(begin[1:], n)[: len(begin)] - 1
         spans: list[list[dict]] = [[] for _ in texts]
         for a, b in zip(begin.tolist(), end.tolist(), strict=True):
             spans[row[a]].append({"start": int(words.starts[a]), "end": int(words.ends[b]), "lang": self.langs[label[a]]})
