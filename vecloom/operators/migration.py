@@ -324,12 +324,15 @@ def bootstrap_events(logical: DataFrame, states: DataFrame) -> DataFrame:
 def verify_backfill(source: DataFrame, target: DataFrame, partition_key: str, columns: Sequence[str], key: str = "id") -> DataFrame:
     """Per partition value: rows on both sides, missing, extra and differing ids.
 
-    One join on the id, hashing the compared columns first so only (id, partition, hash) is shuffled.
+    One join on the id, hashing the compared columns first so only (id, partition, hash) is shuffled.  A hash skips
+    nulls, so each column goes in with a flag: a value that moved to another column differs.
     """
+    flagged = [part for c in columns for part in (F.col(c).isNull(), F.col(c))]
+
     def slim(df: DataFrame, side: str) -> DataFrame:
         return df.select(
             F.col(key).alias("_id"), F.col(partition_key).alias(f"_p_{side}"),
-            F.xxhash64(*[F.col(c) for c in columns]).alias(f"_h_{side}"), F.lit(1).alias(f"_in_{side}"),
+            F.xxhash64(*flagged).alias(f"_h_{side}"), F.lit(1).alias(f"_in_{side}"),
         )
 
     both = slim(source, "s").join(slim(target, "t"), "_id", "full_outer")

@@ -15,12 +15,12 @@ from vecloom.spec import PrefixPolicy
 
 
 def last_wins(batch: DataFrame, ordinal: str, key: str = "id") -> DataFrame:
-    """One row per id: the one with the highest ordinal.
+    """One row per id: the one with the highest ordinal; a null ordinal is the lowest.
 
     ``max_by`` combines on the map side, so an id that is a third of the batch costs one row per task.
     """
     others = [c for c in batch.columns if c not in (key, ordinal)]
-    best = batch.groupBy(key).agg(F.max_by(F.struct(*others), ordinal).alias("_row"))
+    best = batch.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(ordinal)).alias("_row"))
     return best.select(key, *[F.col("_row").getField(c).alias(c) for c in others])
 
 
@@ -86,12 +86,13 @@ def merge_json(old: Column, new: Column) -> Column:
     return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(merged)
 
 
-def default_id(collection: str, text: Column, id_column: Column) -> Column:
-    """The given id, else a hash of collection and text.
+def default_id(collection: str, text: Column, id_column: Column, content: Column | None = None) -> Column:
+    """The given id, else a hash of collection and text, or of ``content`` where there is no text.
 
     A random id would change when a lost task runs again; the hash does not.
     """
-    return F.coalesce(id_column.cast("string"), F.md5(F.concat_ws("\u0001", F.lit(collection), text)))
+    of = text if content is None else F.coalesce(text, content)
+    return F.coalesce(id_column.cast("string"), F.md5(F.concat_ws("\u0001", F.lit(collection), of)))
 
 
 def copy_vector(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -124,7 +125,7 @@ def prepare_chunks(
         valid = apply_prefix(valid, policy)
     given = F.col("text") if "text" in valid.columns else F.lit(None).cast("string")
     valid = valid.withColumn("text", F.coalesce(given, F.col("chunk_text")))
-    valid = valid.withColumn("id", default_id(collection, F.col("chunk_text"), F.col("id")))
+    valid = valid.withColumn("id", default_id(collection, F.col("chunk_text"), F.col("id"), F.to_json(F.struct("*"))))
     if sparse:
         valid = sparse_from_payload(valid, sparse)
     valid = embed_texts(valid, "chunk_text", embedder, into="_made", keep=F.col("vector").isNull())

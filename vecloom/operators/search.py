@@ -345,7 +345,6 @@ def search_requests(
     requests: DataFrame,
     points: DataFrame,
     *,
-    max_limit: int = MAX_LIMIT,
     filter: Mapping | None = None,
     metric: str = "cosine",
     idf: bool = False,
@@ -355,10 +354,13 @@ def search_requests(
     """Answer requests of mixed modes and limits with one dense and one sparse scan.
 
     ``requests``: ``query_id, mode, limit, vector, sparse`` (see ``resolve_mode`` and ``text_queries``).
-    A branch of a hybrid request is cut to the request's own limit before fusion.
+    A branch of a hybrid request is cut to the request's own limit before fusion.  A null limit is ``DEFAULT_LIMIT``;
+    the largest limit of the table decides how deep the scans go, and one above ``MAX_LIMIT`` is an error.
     """
+    own = F.coalesce(F.col("limit"), F.lit(DEFAULT_LIMIT)).cast("bigint")
+    max_limit = requests.agg(F.max(own)).first()[0] or DEFAULT_LIMIT
     check_limit(max_limit)
-    limits = requests.select("query_id", "mode", F.col("limit").cast("bigint").alias("limit"))
+    limits = requests.select("query_id", "mode", own.alias("limit"))
     dense = dense_search(
         requests.filter(F.col("mode").isin("dense", "hybrid")), points, max_limit, filter=filter, metric=metric
     )

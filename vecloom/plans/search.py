@@ -229,7 +229,7 @@ UNION ALL SELECT query_id, mode, rank, id, score FROM sr WHERE mode = 'sparse'
 UNION ALL SELECT query_id, 'hybrid', rank, id, score FROM ({b.top_sql('f', 7)}) JOIN modes USING (query_id) WHERE rank <= lim""",
 )
 def mixed_requests(spark, sf_dir):
-    return search_requests(_resolved(spark, sf_dir), _sparse_points(spark, sf_dir), max_limit=7, idf=True)
+    return search_requests(_resolved(spark, sf_dir), _sparse_points(spark, sf_dir), idf=True)
 
 
 @query(

@@ -38,12 +38,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) is a fresh folder made here.
+    Only where that is unset, and only on one machine (tests), is a fresh folder made here.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="vecloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from vecloom.operators.migration import EVENT_SCHEMA, compact, current_state
 
@@ -13,11 +12,22 @@ def _version(path: str, batch_id: int) -> str:
     return f"{path}/v={batch_id}"
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions, newest first."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    files = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [status.getPath().getParent().getName() for status in files.globStatus(pattern) or []]
+    return sorted((int(name.removeprefix("v=")) for name in found), reverse=True)
+
+
 def read_compacted(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    try:
-        return spark.read.schema(EVENT_SCHEMA).parquet(_version(path, batch_id))
-    except AnalysisException:
-        return spark.createDataFrame([], EVENT_SCHEMA)
+    """The newest version up to ``batch_id``; batches without data make none.  Only before the first is there no event."""
+    version = next((v for v in versions(spark, path) if v <= batch_id), None)
+    if version is not None:
+        return spark.read.schema(EVENT_SCHEMA).parquet(_version(path, version))
+    if batch_id > 0:
+        raise FileNotFoundError(f"no version up to {batch_id} under {path}")
+    return spark.createDataFrame([], EVENT_SCHEMA)
 
 
 def state_stream(events: DataFrame, path: str, checkpoint: str, on_state=None) -> StreamingQuery:
