@@ -237,6 +237,7 @@ def fit_toxicity(labelled: DataFrame, model_ngrams: int = MODEL_NGRAMS, calibrat
 
     sample = rows.where("part = 1").select("text", "label").mapInArrow(features, "label int, x0 double, x1 double, x2 double")
     found = sample.orderBy(F.xxhash64("x0", "x1", "x2"), "label").limit(calibration_rows).toArrow()
+    sent.destroy()
     x = np.column_stack([found.column(f"x{k}").to_numpy() for k in range(3)])
     discard(rows, counts)
     return ToxicModel(model, _logistic(x, found.column("label").to_numpy().astype(float)), base)
