@@ -163,9 +163,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One label for each labelled document, the larger if several are given."""
+    """One label for each labelled document, the larger if several are given.
+
+    Labels grow with the documents, so they are always joined by a sorted shuffle, never broadcast.
+    """
     labels = table(spark, sf_dir, "labels").where(f"{name} is not null and doc_id is not null")
-    return labels.groupBy("doc_id").agg(F.max(name).alias("label"))
+    return labels.groupBy("doc_id").agg(F.max(name).alias("label")).hint("merge")
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> ToxicModel:
