@@ -31,14 +31,30 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def _edges(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def contracted(links: DataFrame, label: str = "contracted") -> DataFrame:
+    """``links`` (a, b) -> as many or fewer links (a, b) of the same components, nearer to stars by one round."""
+    return written(_small(_large(_edges(links))).select(F.col("u").alias("a"), F.col("v").alias("b")), label)
+
+
+def parents(links: DataFrame) -> DataFrame:
+    """``links`` of ``contracted`` -> (node, root): some smaller node of the same component; a node without one is absent.
+
+    Nodes of one root hang together.  Nodes that hang together may still have several roots.
+    """
+    return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """``links`` (a, b) -> (node, root): the smallest node that links reach, for every node that is in a link.
 
     Each round is a written table, so a lost executor costs one round.  Rows with a null end, and links of a node
     with itself, are left out.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = written(edges, label)
+    edges = written(_edges(links), label)
     before = _state(edges)
     while before[0]:
         last, edges = edges, written(_small(_large(edges)), label)

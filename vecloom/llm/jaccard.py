@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.base import LOWER, discard, flat, list_array, mix, signed, slices, small_batches, span_hashes, word_spans
-from vecloom.llm.graph import components
+from vecloom.llm.graph import components, contracted, parents
 from vecloom.session import written
 
 WORDS = 5
@@ -221,14 +221,19 @@ def _needed(n: str, percent: int):
     return F.least(F.greatest(F.lit(SHARED), F.floor(least / SHARED_OF)), least)
 
 
-def _across(cells: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """The cells with their group, of tokens that several groups hold; others say nothing about another group."""
+def _in_groups(cells: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The cells with their group; a class that is in none is its own."""
     if groups is None:
         return cells.withColumn("grp", F.col("class"))
+    named = cells.join(groups.select(F.col("node").alias("class"), "root"), "class", "left")
+    return named.withColumn("grp", F.coalesce("root", "class")).drop("root")
+
+
+def _across(cells: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The cells with their group, of tokens that several groups hold; others say nothing about another group."""
     by_token = Window.partitionBy("token")
-    own = cells.join(groups.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("grp", F.coalesce("root", "class"))
-    ends = own.withColumn("_low", F.min("grp").over(by_token)).withColumn("_high", F.max("grp").over(by_token))
-    return ends.where("_low <> _high").drop("_low", "_high", "root")
+    ends = _in_groups(cells, groups).withColumn("_low", F.min("grp").over(by_token)).withColumn("_high", F.max("grp").over(by_token))
+    return ends.where("_low <> _high").drop("_low", "_high")
 
 
 def _neighbours(cells: DataFrame, active: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -319,28 +324,29 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         "jaccard-tokens",
     )
 
+    # A class has no more shared tokens than its prefix is long, however many copies or tasks it comes from.
     count = classes.select("class", F.col("n_shingles").alias("n"), "text_key")
-    need = shared.groupBy("class").agg(F.countDistinct("token").alias("hits")).join(count, "class").where(F.col("hits") >= _needed("n", percent))
-    need = written(need.select("class", "n", "text_key"), "jaccard-need")
-    active = _active_sets(docs, need.select("class", "text_key"), words)
-    cells = written(shared.select("class", "token").distinct().join(need.select("class", "n"), "class"), "jaccard-cells")
+    held = shared.groupBy("class").agg(F.collect_set("token").alias("held")).join(count, "class")
+    held = written(held.where(F.size("held") >= _needed("n", percent)), "jaccard-need")
     discard(shared)
+    need = held.select("class", "n", "text_key")
+    cells = held.select("class", "n", F.explode("held").alias("token"))
+    active = _active_sets(docs, need.select("class", "text_key"), words)
 
     links, groups, before = None, None, 0
     for turn in range(ROUNDS):
-        grouped = written(_across(cells, groups), "jaccard-cells")
-        found = written(_neighbours(grouped, active, turn, percent), "jaccard-links")
-        discard(grouped)
-        links = found if links is None else links.unionByName(found)
-        groups = written(components(links), "jaccard-groups")
-        now = found.count()
+        found = written(_neighbours(_in_groups(cells, groups), active, turn, percent), "jaccard-links")
+        now, last = found.count(), links
+        links = contracted(found if last is None else last.unionByName(found), "jaccard-links")
+        groups = parents(links)
+        discard(found, *([] if last is None else [last]))
         if now * 5 <= before or not now:
             break
         before = max(before, now)
-    links = links.unionByName(_open_groups(written(_across(cells, groups), "jaccard-cells"), need, groups, active, percent))
-    links = written(links, "jaccard-all-links")
-    discard(cells, active)
-    roots = components(links)
+    across = written(_across(cells, groups), "jaccard-cells")
+    opened = _open_groups(across, need, groups, active, percent)
+    roots = components(links.unionByName(opened))
+    discard(active, across, links, held)
 
     rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "check", "root", "component_id")
