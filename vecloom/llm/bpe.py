@@ -2,7 +2,7 @@
 
 A rolling hash over the bytes cuts each text into chunks whose borders depend on nearby bytes only, so texts that share a
 passage share its chunks.  Documents with the same least chunk hash are brought together (by a rebalancing shuffle, which
-splits large groups), and a task encodes each different chunk once.  A chunk's encoding is kept apart from its ragged
+splits large groups), and a worker encodes each different chunk once.  A chunk's encoding is kept apart from its ragged
 ends; at a join the words on both sides of the cut are encoded anew as one, and the window grows over whole chunks until
 both sides agree, which is where white space ends it: the tokenizer never looks across ASCII white space.
 Within a chunk, words met before are not encoded again.
@@ -13,23 +13,25 @@ The vocabulary is read from the given path by every task, so the file must be on
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.base import SPACE, _BYTE, _power, flat, mix, slices, small_batches
+from vecloom.llm.base import SPACE, _BYTE, _power, flat, list_array, mix, slices, small_batches
 
 # A cut every so many bytes in the mean, from a hash over so many bytes.
 CHUNK_BYTES = 512
 ROLL_BYTES = 24
-# What a task remembers: words, and bytes of chunks.
-MOST_WORDS = 400_000
+# What a worker remembers: words and their bytes, and bytes of chunks.
+MOST_WORDS = 600_000
+MOST_WORD_BYTES = 32 << 20
 MOST_CHUNK_BYTES = 32 << 20
-# Words up to this many bytes are remembered.
-LONGEST_WORD = 64
 
 
 def chunk_cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,53 +84,71 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, list[int]] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = 0
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, list[int]]:
-        """The ids of words not known yet; long ones are returned, not kept."""
-        new = sorted(words)
-        found = {}
-        for word, code in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-            if len(word) <= LONGEST_WORD:
-                self.words[word] = code.ids
-            else:
-                found[word] = code.ids
-        return found
-
-    def _encode(self, word: bytes) -> list[int]:
-        known = self.words.get(word)
-        if known is None:
-            known = self._learn({word}).get(word) or self.words.get(word, [])
-        return known
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
-        """The ids of each text."""
+        self._forget()
+
+    def _forget(self) -> None:
+        """Number of each word; the ids of all words in a row, and where each word's begin."""
+        self.numbers: dict[bytes, int] = {}
+        self.word_bytes = 0
+        self.ids, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, words: set[bytes]) -> None:
+        new = list(words - self.numbers.keys())
+        if not new:
+            return
+        codes = [c.ids for c in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        self.word_bytes += sum(map(len, new))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(codes), np.int32)])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.fromiter(map(len, codes), np.int64))])
+
+    def _spelled(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of these numbers in a row, and where each word's begin."""
+        begins = self.begins[numbers]
+        counts = self.begins[numbers + 1] - begins
+        at = np.concatenate([[0], np.cumsum(counts)])
+        return self.ids[np.arange(at[-1]) + np.repeat(begins - at[:-1], counts)], at
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin."""
         raw = data.tobytes()
         cuts, _ = chunk_cuts(data, offsets)
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
+        if len(self.numbers) > MOST_WORDS or self.word_bytes > MOST_WORD_BYTES:
+            self._forget()
         if self.chunk_bytes > MOST_CHUNK_BYTES:
             self.chunks.clear()
             self.chunk_bytes = 0
         pieces = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         fresh = {p: self._split(p) for p in set(pieces) - self.chunks.keys()}
-        # One call for all words that are new in this slice.
-        long_words = self._learn({w for _, inner, _ in fresh.values() for w in inner} - self.words.keys())
-        known = self.words
-        for piece, (head, inner, tail) in fresh.items():
-            ids: list[int] = []
-            if long_words:
-                for word in inner:
-                    ids += known[word] if word in known else long_words[word]
-            else:
-                for word in inner:
-                    ids += known[word]
-            self.chunks[piece] = head, ids, tail
-            self.chunk_bytes += len(piece) + 8 * len(ids)
+        ends = {p: (head, tail) for p, (head, _, tail) in fresh.items()}
         first = np.searchsorted(cuts[:-1], offsets).tolist()
-        return [self._join(pieces[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        plans = [self._joins(pieces[a:b], ends) for a, b in zip(first[:-1], first[1:], strict=True)]
+        # One call for all words that are new in this slice, those at joins included.
+        words = set(chain.from_iterable(inner for _, inner, _ in fresh.values()))
+        words.update(word for plan in plans for word, _ in plan if word)
+        self._learn(words)
+        inner = list(chain.from_iterable(inner for _, inner, _ in fresh.values()))
+        ids, at = self._spelled(np.fromiter(map(self.numbers.__getitem__, inner), np.int64, len(inner)))
+        upto = at[np.cumsum([0, *(len(inner) for _, inner, _ in fresh.values())])].tolist()
+        for (piece, (head, _, tail)), a, b in zip(fresh.items(), upto[:-1], upto[1:], strict=True):
+            self.chunks[piece] = head, ids[a:b], tail
+            self.chunk_bytes += len(piece) + 4 * (b - a)
+
+        parts, ends_at = [np.zeros(0, np.int32)], [0]
+        for plan in plans:
+            n = 0
+            for word, piece in plan:
+                if word:
+                    number = self.numbers[word]
+                    parts.append(self.ids[self.begins[number] : self.begins[number + 1]])
+                    n += len(parts[-1])
+                if piece is not None:
+                    parts.append(self.chunks[piece][1])
+                    n += len(parts[-1])
+            ends_at.append(ends_at[-1] + n)
+        return np.concatenate(parts), np.array(ends_at, np.int64)
 
     @staticmethod
     def _split(piece: bytes) -> tuple[bytes, list[bytes], bytes | None]:
@@ -141,43 +161,63 @@ class ChunkEncoder:
         tail = inner.pop() if not SPACE[piece[-1]] else b""
         return head, inner, tail
 
-    def _join(self, pieces: list[bytes]) -> list[int]:
-        ids: list[int] = []
+    def _joins(self, pieces: list[bytes], ends: dict[bytes, tuple]) -> list[tuple[bytes, bytes | None]]:
+        """What a text is made of: the word at a join (may be empty), then a chunk's whole words, and so on."""
+        plan: list[tuple[bytes, bytes | None]] = []
         ragged = b""
         for piece in pieces:
-            head, inner, tail = self.chunks[piece]
+            held = ends.get(piece)
+            head, tail = held if held is not None else self.chunks[piece][::2]
             if tail is None:
                 ragged += head
                 continue
-            if ragged or head:
-                ids += self._encode(ragged + head)
-            ids += inner
+            plan.append((ragged + head, piece))
             ragged = tail
-        return ids + self._encode(ragged) if ragged else ids
+        if ragged:
+            plan.append((ragged, None))
+        return plan
 
     def decode(self, ids: list[int]) -> str:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
-def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``ids``: the token ids of the whole text, as the tokenizers library gives them without special tokens.
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
+    """One for each Python worker: what it remembers serves the worker's later tasks too, within the same bounds."""
+    # A task has one core; threads of the library's own would only wait for it.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return ChunkEncoder(path)
 
-    A null text is empty and has no ids; each row is encoded, also repeated ones and those without an id.  ``docs`` must
-    have a column ``text`` and no column ``ids`` or ``_place``; other columns stay as they are.
-    """
+
+def _coded(docs: DataFrame, path: str, keep: list[str], decoded: bool) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with ``ids`` and, if asked for, ``decoded``; texts pass Python once."""
     small_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    made = ", ".join([f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in keep] + ["ids array<int>"] + ["decoded string"] * decoded)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = _encoder(path)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for piece in slices(batch):
-                    ids = encoder.encode(*flat(piece.column("text")))
-                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(ids, pa.list_(pa.int32()))], [*piece.schema.names, "ids"])
+                    ids, at = encoder.encode(*flat(piece.column("text")))
+                    new = [list_array(ids, at, pa.int32())]
+                    if decoded:
+                        new.append(pa.array([encoder.decode(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()))
+                    names = ["ids", "decoded"][: len(new)]
+                    yield pa.RecordBatch.from_arrays([*(piece.column(name) for name in keep), *new], [*keep, *names])
 
     placed = docs.mapInArrow(_place, f"{fields}, _place long").hint("rebalance", "_place").drop("_place")
-    return placed.mapInArrow(encode, f"{fields}, ids array<int>")
+    return placed.mapInArrow(encode, made)
+
+
+def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with ``ids``: the token ids of the whole text, as the tokenizers library gives them without special tokens.
+
+    A null text is empty and has no ids; each row is encoded, also repeated ones and those without an id.  ``docs`` must
+    have a column ``text`` and no column ``ids`` or ``_place``; other columns stay as they are.
+    """
+    return _coded(docs, path, docs.columns, decoded=False)
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -186,16 +226,24 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             for at in range(0, len(batch), 100):
                 piece = batch.slice(at, 100)
-                texts = [encoder.decode(ids or []) for ids in piece.column("ids").to_pylist()]
+                texts = [encoder.decode(ids.values.to_numpy().tolist() if ids.is_valid else []) for ids in piece.column("ids")]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], [*piece.schema.names, "decoded"])
 
     return encoded.mapInArrow(decode, f"{fields}, decoded string")
 
 
+def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` without its text, with what ``bpe_encode`` and ``bpe_decode`` give: one pass, in one worker for each task.
+
+    Null texts, repeated rows and names as for ``bpe_encode``; ``docs`` must have no column ``decoded`` either.
+    """
+    return _coded(docs, path, [name for name in docs.columns if name != "text"], decoded=True)
+
+
 def bpe_digest(decoded: DataFrame) -> DataFrame:
     """Number of tokens and digests of ids and decoded text."""
     return decoded.select(

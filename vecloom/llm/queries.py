@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.base import in_fold, table
-from vecloom.llm.bpe import bpe_decode, bpe_digest, bpe_encode
+from vecloom.llm.bpe import bpe_digest, bpe_round_trip
 from vecloom.llm.chat import format_chats, link_calls
 from vecloom.llm.decontaminate import find_leaks
 from vecloom.llm.fingerprints import fingerprint_edits, likeness, near_fingerprints
@@ -55,7 +55,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_digest(bpe_decode(bpe_encode(docs, tokenizer_path()).drop("text"), tokenizer_path()))
+    return bpe_digest(bpe_round_trip(docs, tokenizer_path()))
 
 
 def tool_messages(conversations: DataFrame) -> DataFrame:
