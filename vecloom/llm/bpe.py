@@ -29,7 +29,7 @@ from vecloom.llm.base import SPACE, _BYTE, _power, flat, list_array, mix, slices
 CHUNK_BYTES = 512
 ROLL_BYTES = 24
 # What a worker remembers: words and their bytes, and bytes of chunks.
-MOST_WORDS = 600_000
+MOST_WORDS = 1_200_000
 MOST_WORD_BYTES = 32 << 20
 MOST_CHUNK_BYTES = 32 << 20
 
@@ -75,6 +75,11 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(least)], [*piece.schema.names, "_place"])
 
 
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a larger one that begins like it, with room for ``n`` values."""
+    return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)])
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk and remembers words and chunks within bounds."""
 
@@ -92,17 +97,19 @@ class ChunkEncoder:
         """Number of each word; the ids of all words in a row, and where each word's begin."""
         self.numbers: dict[bytes, int] = {}
         self.word_bytes = 0
-        self.ids, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.ids, self.begins = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
 
     def _learn(self, words: set[bytes]) -> None:
         new = list(words - self.numbers.keys())
         if not new:
             return
         codes = [c.ids for c in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
-        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        known, ends = len(self.numbers), self.begins[len(self.numbers)] + np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))
+        self.ids, self.begins = _room(self.ids, int(ends[-1])), _room(self.begins, known + len(new) + 1)
+        self.ids[self.begins[known] : ends[-1]] = np.fromiter(chain.from_iterable(codes), np.int32)
+        self.begins[known + 1 : known + 1 + len(new)] = ends
+        self.numbers.update(zip(new, range(known, known + len(new)), strict=True))
         self.word_bytes += sum(map(len, new))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(codes), np.int32)])
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.fromiter(map(len, codes), np.int64))])
 
     def _spelled(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words of these numbers in a row, and where each word's begin."""
