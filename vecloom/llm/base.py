@@ -31,15 +31,15 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``SLICE_BYTES`` of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``size`` bytes of text, one row at least."""
     texts = batch.column(column)
     if len(texts) == 0:
         return
     offsets = _offsets(texts)
     start = 0
     while start < len(texts):
-        end = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
         end = min(max(end, start + 1), len(texts))
         yield batch.slice(start, end - start)
         start = end

@@ -24,6 +24,8 @@ SWITCH = 12.0
 # A language whose letters are of a script less often than this is no candidate for its words.
 SCRIPT_SHARE = 0.01
 NO_CANDIDATE = -1000.0
+# Bytes of text whose words take their Viterbi steps together; more make fewer steps and use more memory.
+STEP_BYTES = 3 << 19
 UNKNOWN = "und"
 
 # Where the blocks of scripts begin and end (Unicode).
@@ -127,21 +129,20 @@ def _best_paths(score: np.ndarray, first: np.ndarray, switch: float) -> np.ndarr
     n_active = np.searchsorted(-counts[order], -np.arange(counts.max()), side="left")
     back = np.zeros(score.shape, np.int16)
     value = score[first[order]].copy()
-    ids = np.arange(score.shape[1])
+    ids, all_rows = np.arange(score.shape[1]), np.arange(len(order))
     for step in range(1, counts.max()):
         active = order[: n_active[step]]
         at = first[active] + step
         old = value[: len(active)]
         best = old.argmax(1)
-        top = old[np.arange(len(active)), best][:, None] - switch
+        top = old[all_rows[: len(active)], best][:, None] - switch
         back[at] = np.where(old >= top, ids, best[:, None])
         value[: len(active)] = np.maximum(old, top) + score[at]
     state = value.argmax(1)
     last = first[order] + counts[order] - 1
     label[last] = state
     for step in range(counts.max() - 1, 0, -1):
-        rows = np.arange(n_active[step])
-        at = first[order[rows]] + step
+        at = first[order[: n_active[step]]] + step
         label[at - 1] = back[at, label[at]]
     return label
 
@@ -211,7 +212,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=STEP_BYTES):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 langs, shares, spans = sent.value.label(texts) if sent.value else ([UNKNOWN] * len(texts), [0.0] * len(texts), [[]] * len(texts))
                 yield pa.RecordBatch.from_arrays(
