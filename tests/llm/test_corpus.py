@@ -174,6 +174,21 @@ def test_classifiers(spark, docs, empty, module, fit, score):
     assert {r.score for r in getattr(module, score)(docs, without).collect()} == {0.0}
 
 
+def test_toxicity_keeps_rare_expressions(spark):
+    """A model too large to be broadcast is joined: it scores as the broadcast one does, and no rare n-gram is lost."""
+    rows = [(i, f"{words(i, 30, 60)} {'scum' if i % 40 == 0 else 'calm'} {words(i + 500, 9, 9999)}", int(i % 4 == 0), int(i % 3 == 0)) for i in range(400)]
+    rows += [(None, None, None, None), (900, "", 0, 1), (901, "scum", None, 0), (902, "unbekanntes wort", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int, part int")
+    small, large = (toxicity.fit_toxicity(df, n) for n in (1 << 20, 50))
+    assert isinstance(small.model, toxicity.KneserNey) and isinstance(large.model, toxicity.RatioTables)
+    found = {(r.doc_id, r.text): (r.score, r.predicted) for r in toxicity.score_toxicity(df, small).collect()}
+    again = {(r.doc_id, r.text): (r.score, r.predicted) for r in toxicity.score_toxicity(df, large).collect()}
+    assert found.keys() == again.keys() and len(again) == len(rows)
+    assert all(abs(found[k][0] - again[k][0]) < 1e-4 for k in found)
+    features = {r.doc_id: r for r in large.model.with_features(df, 500).where("doc_id is not null").collect()}
+    assert features[901].x1 > 0 and {r.doc_id: r.x1 for r in large.model.with_features(df).where("doc_id = 901").collect()} == {901: features[901].x1}
+
+
 def test_language(spark, docs, empty):
     texts = {"en": "the house and the river with that thing", "fr": "la maison est une belle chose pour vous", "ru": "этот большой дом и река"}
     rows = [(f"{t} {t}", lang) for lang, t in texts.items() for _ in range(20)]

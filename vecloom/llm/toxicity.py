@@ -5,26 +5,31 @@ rare expression is judged by the parts that it shares with others.  A text is sc
 log-likelihoods, divided by its length, over the whole text and over its most toxic word; a logistic curve fitted on
 texts that the counts have not seen turns the two into a number from 0 to 1.
 
-Counts come from every learned row.  The table that is sent to the tasks holds at most ``MODEL_NGRAMS`` n-grams: the
-least count that an n-gram must have is the smallest that meets it, and the rest is left to the backoff.
+Counts come from every learned row, and every n-gram stays in the model, however rare.  A table of up to
+``BROADCAST_NGRAMS`` n-grams is sent to the tasks.  A larger one stays a Spark table: the same ratios are worked out by
+joins and windows, and texts are scored in blocks, whose distinct n-grams are joined with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.base import discard, slices, small_batches
+from vecloom.llm.base import discard, flat, slices, small_batches
 from vecloom.llm.lookup import Lookup
 from vecloom.session import written
 
 ORDER = 6
 BITS = 10
-MODEL_NGRAMS = 1 << 20
+# n-grams up to which the model is broadcast; beyond, it is joined.
+BROADCAST_NGRAMS = 1 << 20
+# Texts that are joined with a larger model together, about.
+BLOCK_BYTES = 8 << 20
 # Learned rows that the logistic curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
 DISCOUNT = 0.75
@@ -145,27 +150,130 @@ class KneserNey:
         total = _sum_by(past, counts)
         return np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1) + self._weight(past, counts) * down
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        """For each text: ratio for each character of it all, of its most toxic word, and of the next one; 0 if empty."""
-        grams, word, first = _grams(texts)
-        out = np.zeros((len(texts), 3))
-        if not len(grams):
-            return out
+    def ratios(self, grams: np.ndarray) -> np.ndarray:
         ratio, known = self.grams.get(grams)
         new = np.flatnonzero(~known)
         ratio[new] = self.pasts.get(grams[new] >> np.uint64(BITS))[0]
-        words = np.bincount(word, ratio)
-        sizes = np.bincount(word)
-        sums = np.concatenate([[0], np.cumsum(words)])
-        chars = np.concatenate([[0], np.cumsum(sizes)])
-        some = np.diff(first) > 0
-        out[some, 0] = ((sums[first[1:]] - sums[first[:-1]]) / np.maximum(chars[first[1:]] - chars[first[:-1]], 1))[some]
-        for row in np.flatnonzero(some):
-            own = words[first[row] : first[row + 1]]
-            best = int(np.argmax(own))
-            out[row, 1] = own[best]
-            out[row, 2] = max(own[:best].max(initial=0), own[best + 1 :].max(initial=0))
+        return ratio
+
+
+def _features(texts: list[str], ratios: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each text: ratio for each character of it all, of its most toxic word, and of the next one; 0 if empty."""
+    grams, word, first = _grams(texts)
+    out = np.zeros((len(texts), 3))
+    if not len(grams):
         return out
+    words = np.bincount(word, ratios(grams))
+    sizes = np.bincount(word)
+    sums = np.concatenate([[0], np.cumsum(words)])
+    chars = np.concatenate([[0], np.cumsum(sizes)])
+    some = np.diff(first) > 0
+    out[some, 0] = ((sums[first[1:]] - sums[first[:-1]]) / np.maximum(chars[first[1:]] - chars[first[:-1]], 1))[some]
+    for row in np.flatnonzero(some):
+        own = words[first[row] : first[row + 1]]
+        best = int(np.argmax(own))
+        out[row, 1] = own[best]
+        out[row, 2] = max(own[:best].max(initial=0), own[best + 1 :].max(initial=0))
+    return out
+
+
+class RatioTables:
+    """The ratios of ``KneserNey`` as Spark tables: (gram, ratio) and (past, unseen).
+
+    A history has at most as many n-grams as there are symbols, and so has a suffix; no window or join key is larger.
+    """
+
+    def __init__(self, counts: DataFrame):
+        kinds, levels = counts, {}
+        for k in range(ORDER - 1, 0, -1):
+            kinds = written(kinds.groupBy(self._suffix(k).alias("gram")).agg(F.count("*").alias("n")), "toxic-kinds")
+            levels[k] = kinds
+        total = levels[1].agg(F.sum("n")).first()[0]
+        shared = levels[1].select("gram", (F.col("n") / F.lit(total)).alias("p"))
+        for k in range(2, ORDER):
+            shared = self._with_down(levels[k], shared, k - 1).select("gram", self._step("n").alias("p"))
+        held = self._with_down(counts, shared, ORDER - 1)
+        ratio = F.log(self._step("toxic")) - F.log(self._step("ordinary"))
+        self.grams = written(held.select("gram", ratio.cast("float").alias("ratio")), "toxic-ratios")
+        pasts = counts.groupBy(self._past().alias("past")).agg(
+            *(f.alias(f"{name}_{n}") for n in ("toxic", "ordinary") for name, f in (("sum", F.sum(n)), ("kinds", F.sum((F.col(n) > 0).cast("long")))))
+        )
+        unseen = F.log(self._left(F.col("sum_toxic"), F.col("kinds_toxic"))) - F.log(self._left(F.col("sum_ordinary"), F.col("kinds_ordinary")))
+        self.pasts = written(pasts.select("past", unseen.cast("float").alias("unseen")), "toxic-pasts")
+        discard(*levels.values())
+
+    @staticmethod
+    def _suffix(k: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
+
+    @staticmethod
+    def _past() -> Column:
+        return F.shiftrightunsigned("gram", BITS)
+
+    @staticmethod
+    def _left(total: Column, kinds: Column) -> Column:
+        return F.when(total > 0, DISCOUNT * kinds / total).otherwise(1.0)
+
+    def _with_down(self, level: DataFrame, shared: DataFrame, k: int) -> DataFrame:
+        """``level`` with ``past`` and the probability ``down`` of each n-gram's last ``k`` symbols."""
+        down = shared.select(F.col("gram").alias("_suffix"), F.col("p").alias("down"))
+        return level.withColumn("_suffix", self._suffix(k)).join(down, "_suffix").withColumn("past", self._past())
+
+    def _step(self, name: str) -> Column:
+        counts, window = F.col(name), Window.partitionBy("past")
+        total, kinds = F.sum(counts).over(window), F.sum((counts > 0).cast("long")).over(window)
+        return F.greatest(counts - DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1)) + self._left(total, kinds) * F.col("down")
+
+    def with_features(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        """``docs`` with the features x0, x1 and x2.  Rows are numbered by blocks; a block meets only the n-grams it has."""
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, size = TaskContext.get().partitionId() << 32, 0
+            for batch in batches:
+                for piece in slices(batch):
+                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(len(piece), block))], [*piece.schema.names, "_block"])
+                    size += flat(piece.column("text"))[1][-1]
+                    if size >= block_bytes:
+                        block, size = block + 1, 0
+
+        def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for block, grams in held.items():
+                    for at in range(0, len(grams), 50_000):
+                        cut = grams[at : at + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block)), pa.array(cut.view(np.int64))], ["_block", "gram"])
+
+            for batch in batches:
+                for piece in slices(batch):
+                    texts, blocks = piece.column("text").to_pylist(), piece.column("_block").to_numpy()
+                    for block in np.unique(blocks).tolist():
+                        grams = _grams([texts[k] or "" for k in np.flatnonzero(blocks == block)])[0]
+                        if block not in held:
+                            yield from out()
+                            held = {}
+                        held[block] = np.union1d(held.get(block, np.zeros(0, np.uint64)), grams)
+            yield from out()
+
+        def scored(rows: pa.Table, known: pa.Table) -> pa.Table:
+            grams, first = np.unique(known.column("gram").to_numpy().view(np.uint64), return_index=True)
+            lookup = Lookup(grams, known.column("ratio").to_numpy()[first])
+            parts = []
+            for batch in rows.drop_columns(["_block"]).combine_chunks().to_batches():
+                for piece in slices(batch):
+                    x = _features([t or "" for t in piece.column("text").to_pylist()], lambda g: lookup.get(g)[0])
+                    parts.append(pa.RecordBatch.from_arrays([*piece.columns, *(pa.array(x[:, k]) for k in range(3))], [*piece.schema.names, "x0", "x1", "x2"]))
+            return pa.Table.from_batches(parts)
+
+        rows = written(docs.mapInArrow(number, ", ".join([*fields, "_block long"])), "toxic-blocks")
+        met = rows.select("text", "_block").mapInArrow(kinds, "_block long, gram long").join(self.grams, "gram", "left")
+        # n-grams that are known need no history; their keys match none and are spread.
+        past = F.when(F.col("ratio").isNull(), self._past()).otherwise(-1 - F.pmod(F.xxhash64("gram"), F.lit(1 << 20)))
+        met = met.withColumn("past", past).join(self.pasts, "past", "left")
+        known = met.select("_block", "gram", F.coalesce("ratio", "unseen").alias("ratio")).where("ratio is not null")
+        return rows.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(scored, ", ".join([*fields, "x0 double, x1 double, x2 double"]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,19 +292,36 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return w, mean, scale
 
 
+def _with_features(docs: DataFrame, model: KneserNey | RatioTables) -> DataFrame:
+    """``docs`` with the features x0, x1 and x2 of the column ``text``."""
+    if isinstance(model, RatioTables):
+        return model.with_features(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                x = _features([t or "" for t in piece.column("text").to_pylist()], sent.value.ratios)
+                yield pa.RecordBatch.from_arrays([*piece.columns, *(pa.array(x[:, k]) for k in range(3))], [*piece.schema.names, "x0", "x1", "x2"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["x0 double, x1 double, x2 double"])
+    return docs.mapInArrow(features, schema)
+
+
 class ToxicModel:
-    def __init__(self, model: KneserNey | None, curve, base: float):
+    def __init__(self, model: KneserNey | RatioTables | None, curve, base: float):
         self.model, self.curve, self.base = model, curve, base
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        if self.model is None or self.curve is None:
-            return np.full(len(texts), self.base)
+    def score(self) -> Column:
+        """The score from the features."""
         w, mean, scale = self.curve
-        z = (self.model.features(texts) - mean) / scale
-        return 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
+        z = F.lit(float(w[-1]))
+        for k in range(3):
+            z = z + (F.col(f"x{k}") - float(mean[k])) / float(scale[k]) * float(w[k])
+        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def fit_toxicity(labelled: DataFrame, model_ngrams: int = MODEL_NGRAMS, calibration_rows: int = CALIBRATION_ROWS) -> ToxicModel:
+def fit_toxicity(labelled: DataFrame, broadcast_ngrams: int = BROADCAST_NGRAMS, calibration_rows: int = CALIBRATION_ROWS) -> ToxicModel:
     """Learn from ``labelled`` (text, label 0 or 1, part): rows of part 0 are counted, those of part 1 fit the curve.
 
     Rows whose label is null are left out.  Without rows of both labels every score is the share of label 1.
@@ -217,27 +342,17 @@ def fit_toxicity(labelled: DataFrame, model_ngrams: int = MODEL_NGRAMS, calibrat
         .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     )
     counts = written(counts, "toxic-counts")
-    least, kept = 1, counts.count()
-    while kept > model_ngrams:
-        least = least + 1 if least < 4 else least * 2
-        kept = counts.where(F.col("toxic") + F.col("ordinary") >= least).count()
-    held = counts.where(F.col("toxic") + F.col("ordinary") >= least).toArrow()
-    model = KneserNey(
-        held.column("gram").to_numpy().astype(np.int64).view(np.uint64),
-        held.column("toxic").to_numpy().astype(float),
-        held.column("ordinary").to_numpy().astype(float),
-    )
-    sent = labelled.sparkSession.sparkContext.broadcast(model)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch):
-                x = sent.value.features([t or "" for t in piece.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([piece.column("label"), *(pa.array(x[:, k]) for k in range(3))], ["label", "x0", "x1", "x2"])
-
-    sample = rows.where("part = 1").select("text", "label").mapInArrow(features, "label int, x0 double, x1 double, x2 double")
+    if counts.count() <= broadcast_ngrams:
+        held = counts.toArrow()
+        model = KneserNey(
+            held.column("gram").to_numpy().astype(np.int64).view(np.uint64),
+            held.column("toxic").to_numpy().astype(float),
+            held.column("ordinary").to_numpy().astype(float),
+        )
+    else:
+        model = RatioTables(counts)
+    sample = _with_features(rows.where("part = 1").select("text", "label"), model).select("label", "x0", "x1", "x2")
     found = sample.orderBy(F.xxhash64("x0", "x1", "x2"), "label").limit(calibration_rows).toArrow()
-    sent.destroy()
     x = np.column_stack([found.column(f"x{k}").to_numpy() for k in range(3)])
     discard(rows, counts)
     return ToxicModel(model, _logistic(x, found.column("label").to_numpy().astype(float)), base)
@@ -248,15 +363,9 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     ``docs`` must have a column ``text`` and none of the two new names; other columns stay as they are.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["score double"])
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch):
-                score = sent.value.scores([t or "" for t in piece.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(score)], [*piece.schema.names, "score"])
-
-    return docs.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int"))
+    small_batches(docs.sparkSession)
+    if model.model is None or model.curve is None:
+        scored = docs.withColumn("score", F.lit(float(model.base)))
+    else:
+        scored = _with_features(docs, model.model).withColumn("score", model.score()).drop("x0", "x1", "x2")
+    return scored.withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int"))
