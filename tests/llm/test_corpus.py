@@ -150,6 +150,26 @@ def test_decontamination(spark):
     assert {4, 5, 6, 7} <= {r.doc_id for r in left.collect()}
 
 
+def test_decontamination_bears_conflicts(spark):
+    """Two values that fall together, or one that becomes two, veto nothing; a text that agrees in placeholders only is none."""
+    item = "A train leaves the old station at 7 hours and travels 120 miles before Alice sees the green river below the hill"
+    twice = "The box on the left holds 4 red pens and the box on the right holds 4 blue pens which Tom counts again"
+    rows = [
+        (1, item.replace("7", "9").replace("120", "9").replace("Alice", "Robert")),
+        (2, twice.replace("4 red", "6 red").replace("4 blue", "8 blue")),
+        (3, "A ship reaches some new harbour at 7 hours or carries 120 boxes until Alice meets an open road above this town"),
+    ]
+    benchmark = spark.createDataFrame([(1, item), (2, twice)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert set(found) == {(1, 1), (2, 2)} and all(r.changed and r.share == 1 for r in found.values())
+    slots = [{"place": p, "kind": 1, "item": 5, "doc": p} for p in (0, 10, 20)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "text_key": 1, "item_id": 1, "of": 21, "length": 8, "at": list(range(21)), "pairs": slots}])
+    left = next(iter(decontaminate._agreeing(iter([batch])))).column("at").to_pylist()[0]
+    assert left == [1, 2, *range(11, 21)]
+
+
 def toxic_rows():
     draw = random.Random(3)
     for i in range(400):

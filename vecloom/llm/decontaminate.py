@@ -2,15 +2,17 @@
 
 Texts become token sequences in which numbers, names and units are typed placeholders.  Windows of template tokens are
 hashed and joined by hash with the windows of the benchmark.  Windows that lie alike in item and document are one
-alignment; its slots must be consistent: one value of the item always stands for one value of the document and the
-other way round.  So a question is found as it is and with other numbers or names, while a text that only shares a
-pattern of placeholders is not.
+alignment; in it a value of the item should always stand for the same value of the document, while two values of the item
+may become one.  Slots that break this are conflicts.  Numbers, names and units are judged apart: conflicts in up to half of
+the slots of a kind are borne, beyond that the windows that hold them are left out, and only those.  So a question is found
+as it is and with other numbers or names, while a text that only shares a pattern of placeholders is not.
 
 The document pass keeps no benchmark text: tasks get a bit table of fixed size, and only windows that pass it are joined.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ SHORTEST = 5
 WINDOWS_NEEDED = 5
 # Tokens of a window that must be no placeholders.
 LITERALS = 3
+# Conflicting slots of a kind that an alignment may have, as a share of its slots of that kind.
+CONFLICTS = 0.5
 SIEVE_BITS = 22
 # Benchmark windows up to which the join is broadcast; beyond, it is a shuffle.
 BROADCAST_WINDOWS = 200_000
@@ -59,12 +63,12 @@ def _unit_hashes() -> np.ndarray:
 
 
 def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all texts: the hash of each template token, the hash of its own text, whether it is a placeholder, and where
-    each text begins."""
+    """For all texts: the hash of each template token, the hash of its own text, its kind of placeholder (0 if none), and
+    where each text begins."""
     raw, offsets = flat(texts)
     empty = np.zeros(0, np.uint64)
     if not len(raw):
-        return empty, empty, np.zeros(0, bool), np.zeros(len(texts) + 1, np.int64)
+        return empty, empty, np.zeros(0, np.int8), np.zeros(len(texts) + 1, np.int64)
     digit = _DIGIT[raw]
     inside = digit | _LETTER[raw]
     point = (raw == ord(".")) | (raw == ord(","))
@@ -79,7 +83,7 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     first = np.searchsorted(starts, offsets)
     own = span_hashes(LOWER[raw], starts, ends)
     if not len(own):
-        return empty, empty, np.zeros(0, bool), first
+        return empty, empty, np.zeros(0, np.int8), first
 
     number = digit[starts]
     stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
@@ -96,48 +100,73 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     after_number[first[:-1][first[:-1] < len(starts)]] = False
     unit = after_number & ~number & np.isin(own, _unit_hashes())
     shape = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, own)))
-    return shape, own, number | unit | name, first
+    return shape, own, np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0))).astype(np.int8), first
 
 
 def _windows(texts: pa.Array, length: int) -> tuple[np.ndarray, ...]:
     """Hash, row, position of each window of ``length`` template tokens, and the tokens it is made of."""
-    shape, own, slot, first = templates(texts)
+    shape, own, kind, first = templates(texts)
     n = len(shape) - length + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), own, slot, np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), own, kind, np.zeros(0, np.int64)
     rolled, held = np.full(n, length, np.uint64), np.zeros(n, np.int64)
     for k in range(length):
         rolled = rolled * _STEP + shape[k : k + n]
-        held += ~slot[k : k + n]
+        held += kind[k : k + n] == 0
     row = np.searchsorted(first, np.arange(n), side="right") - 1
     fits = (np.arange(n) + length <= first[row + 1]) & (held >= LITERALS)
     at = np.flatnonzero(fits)
-    return mix(rolled[at]), row[at], at - first[row[at]], own, slot, at
+    return mix(rolled[at]), row[at], at - first[row[at]], own, kind, at
 
 
-def _slots(own: np.ndarray, slot: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The values of the placeholders of each window, in order, and where each window's begin."""
+def _slots(kind: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens that are placeholders of each window, in order, where each window's begin, and their places in it."""
     index = at[:, None] + np.arange(length)
-    held = slot[index] if len(at) else np.zeros((0, length), bool)
-    return own[index[held]] if len(at) else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(held.sum(1))])
+    held = kind[index] > 0 if len(at) else np.zeros((0, length), bool)
+    return index[held], np.concatenate([[0], np.cumsum(held.sum(1))]), np.nonzero(held)[1]
 
 
 def _emit(piece: pa.RecordBatch, key: list[str], length: int, sieve: np.ndarray | None) -> pa.RecordBatch:
-    hashes, row, position, own, slot, at = _windows(piece.column("text"), length)
+    """Windows with the values of their slots; of items (no sieve) with the kinds and positions of these too."""
+    hashes, row, position, own, kind, at = _windows(piece.column("text"), length)
     if sieve is not None:
         cell = hashes & np.uint64((1 << SIEVE_BITS) - 1)
         hit = (sieve[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
         hashes, row, position, at = hashes[hit], row[hit], position[hit], at[hit]
-    values, ends = _slots(own, slot, at, length)
+    tokens, ends, places = _slots(kind, at, length)
     rows = pa.array(row)
+    lists = {"slots": list_array(signed(own[tokens]), ends, pa.int64())}
+    if sieve is None:
+        lists["kinds"] = list_array(kind[tokens].astype(np.int32), ends, pa.int32())
+        lists["places"] = list_array(np.repeat(position, np.diff(ends)) + places, ends, pa.int64())
     return pa.RecordBatch.from_arrays(
-        [*(piece.column(k).take(rows) for k in key), pa.array(signed(hashes)), pa.array(position), list_array(signed(values), ends, pa.int64())],
-        [*key, "window", "position", "slots"],
+        [*(piece.column(k).take(rows) for k in key), pa.array(signed(hashes)), pa.array(position), *lists.values()], [*key, "window", "position", *lists]
     )
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows ``at`` of each alignment that hold no conflict of a kind with too many, and whether a slot of them changed."""
+    for batch in batches:
+        kept, changed = [], []
+        for length, at, slots in zip(*(batch.column(k).to_pylist() for k in ("length", "at", "pairs")), strict=True):
+            votes: dict[tuple, Counter] = defaultdict(Counter)
+            for slot in slots:
+                votes[slot["kind"], slot["item"]][slot["doc"]] += 1
+            most = {k: max(v, key=lambda doc: (v[doc], doc)) for k, v in votes.items()}
+            odd, of = defaultdict(set), Counter(slot["kind"] for slot in slots)
+            for slot in slots:
+                if slot["doc"] != most[slot["kind"], slot["item"]]:
+                    odd[slot["kind"]].add(slot["place"])
+            bad = {place for kind, places in odd.items() if len(places) > CONFLICTS * of[kind] for place in places}
+            kept.append([p for p in at if not any(p + k in bad for k in range(length))] if bad else at)
+            covered = {p + k for p in kept[-1] for k in range(length)} if bad else None
+            changed.append(any(s["item"] != s["doc"] and (covered is None or s["place"] in covered) for s in slots))
+        names = ["doc_id", "text_key", "item_id", "of"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(changed, pa.bool_()), pa.array(kept, pa.list_(pa.int64()))], [*names, "changed", "at"])
+
+
 def item_windows(benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
-    """(item_id, window, position, slots, of, length): all windows of all items, ``of`` is the number an item has."""
+    """(item_id, window, position, slots, kinds, places, of, length): all windows of all items, ``of`` is the number an item has."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -154,7 +183,7 @@ def item_windows(benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
                     )
 
     return benchmark.select("item_id", "text").where("text is not null").mapInArrow(
-        cut, "item_id long, window long, position long, slots array<long>, of long, length int"
+        cut, "item_id long, window long, position long, slots array<long>, kinds array<int>, places array<long>, of long, length int"
     )
 
 
@@ -171,7 +200,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, need
     """(doc_id, text_key, item_id, n_windows, share, changed): the documents that hold an item, and how much of it.
 
     ``docs`` has (doc_id, text, ...), ``benchmark`` (item_id, text, ...); other columns are not read.  ``n_windows`` counts
-    the item's windows found in consistent alignments, ``share`` is their part of all, ``changed`` tells whether a slot has
+    the item's windows found in alignments, without those left out for conflicts, ``share`` is their part of all, ``changed`` tells whether a slot has
     another value than in the item.  Null, empty and blank texts hold nothing; items of fewer than ``SHORTEST`` tokens are
     not searched for.  Rows that repeat id and text are one; a null id is a value of its own.
     """
@@ -192,20 +221,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, need
         scan, "doc_id long, text_key long, window long, position long, slots array<long>"
     )
     few = windows.count() <= BROADCAST_WINDOWS
-    items = windows.select("window", "item_id", "of", F.col("position").alias("item_position"), F.col("slots").alias("item_slots"))
+    items = windows.select("window", "item_id", "of", "length", "kinds", "places", F.col("position").alias("item_position"), F.col("slots").alias("item_slots"))
     met = hits.join(F.broadcast(items) if few else items, "window")
-    pairs = F.transform(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda p: F.struct(p["item"].alias("item"), p["doc"].alias("doc")))
+    pairs = F.arrays_zip(F.col("places").alias("place"), F.col("kinds").alias("kind"), F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
     aligned = (
         met.where(F.size("slots") == F.size("item_slots"))
         .withColumn("shift", F.col("position") - F.col("item_position"))
-        .groupBy("doc_id", "text_key", "item_id", "of", "shift")
+        .groupBy("doc_id", "text_key", "item_id", "of", "length", "shift")
         # An alignment holds an item's windows once, so its sets are as long as the item.
         .agg(F.collect_set("item_position").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     )
-    consistent = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.doc"))))
     found = (
-        aligned.where(consistent)
-        .withColumn("changed", F.exists("pairs", lambda p: p["item"] != p["doc"]))
+        aligned.drop("shift")
+        .mapInArrow(_agreeing, "doc_id long, text_key long, item_id long, of long, changed boolean, at array<long>")
         .select("doc_id", "text_key", "item_id", "of", "changed", F.explode("at").alias("at"))
         .groupBy("doc_id", "text_key", "item_id", "of")
         .agg(F.countDistinct("at").alias("n_windows"), F.max("changed").alias("changed"))
