@@ -170,6 +170,20 @@ def test_decontamination_bears_conflicts(spark):
     assert left == [1, 2, *range(11, 21)]
 
 
+def test_decontamination_finds_every_verbatim_copy(spark):
+    """Items of numbers, of few tokens, without spaces, full of names, and of signs alone; in any case."""
+    items = {
+        1: "Compute 12 + 30 * 4 - 7 / 2", 2: "Prime quadruples?", 3: "如果一个数字的平方等于十六那么它是多少", 4: "กขคงจฉชซฌญฎฏฐ", 5: "?!?",
+        6: "Die Straße von Anna Berg nach Bad Tal führt an Haus und Hof von Otto Über vorbei", 7: "12 34 56 78 90 11 22 33 44 55",
+    }
+    rows = [(k, f"vor {text} nach") for k, text in items.items()] + [(k + 10, f"vor {text.lower()}") for k, text in items.items()]
+    rows += [(k + 20, f"{text.upper()} nach") for k, text in items.items()] + [(40, "Compute 13 + 31 * 5"), (41, "一个数字的平方"), (42, None), (43, " \n")]
+    benchmark = spark.createDataFrame([*items.items(), (8, None), (9, ""), (10, " ")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert set(found) == {(k + more, k) for k in items for more in (0, 10, 20)}
+    assert all(r.share == 1 and not r.changed for r in found.values())
+
+
 def toxic_rows():
     draw = random.Random(3)
     for i in range(400):

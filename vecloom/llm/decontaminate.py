@@ -7,6 +7,11 @@ may become one.  Slots that break this are conflicts.  Numbers, names and units
 the slots of a kind are borne, beyond that the windows that hold them are left out, and only those.  So a question is found
 as it is and with other numbers or names, while a text that only shares a pattern of placeholders is not.
 
+Templates are blind to some copies: windows of mostly placeholders, short items, names that lost their capitals.  So each item
+is cut a second time, into exact windows: over every visible character without case, where words are tokens, and so is each
+sign and each character of a script that is written without spaces.  An item that is shorter than a window is one as a whole,
+thus every item that is not blank has a window and its copies are found.
+
 The document pass keeps no benchmark text: tasks get a bit table of fixed size, and only windows that pass it are joined.
 """
 
@@ -17,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +30,11 @@ from vecloom.llm.base import LOWER, flat, list_array, mix, signed, slices, small
 from vecloom.session import written
 
 WINDOW = 8
-# Shorter items are compared with windows of their own length, down to this.
+# Shorter items are compared with windows of their own length, templates down to this.
 SHORTEST = 5
 # Aligned windows that make a match, or half of the item's if it has fewer.
 WINDOWS_NEEDED = 5
-# Tokens of a window that must be no placeholders.
+# Tokens of a template window that must be no placeholders.
 LITERALS = 3
 # Conflicting slots of a kind that an alignment may have, as a share of its slots of that kind.
 CONFLICTS = 0.5
@@ -103,18 +109,52 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return shape, own, np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0))).astype(np.int8), first
 
 
-def _windows(texts: pa.Array, length: int) -> tuple[np.ndarray, ...]:
-    """Hash, row, position of each window of ``length`` template tokens, and the tokens it is made of."""
-    shape, own, kind, first = templates(texts)
+def plain_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all texts: the hash of each visible token without case, whether it is a character of a script without spaces, and
+    where each text's begin."""
+    low = pc.utf8_lower(texts)
+    for form, same in (("ß", "ss"), ("ς", "σ")):
+        low = pc.replace_substring(low, form, same)
+    raw, offsets = flat(low)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(len(texts) + 1, np.int64)
+    inner = (raw & 0xC0) == 0x80
+    leads = np.flatnonzero(~inner)
+    lead, second = raw[leads], raw[np.minimum(leads + 1, len(raw) - 1)]
+    # By lead bytes: Thai to Myanmar, Khmer, kana and ideographs, and what is beyond the first plane.
+    spaceless = ((lead == 0xE0) & (second >= 0xB8)) | ((lead == 0xE1) & ((second <= 0x82) | (second == 0x9E) | (second == 0x9F)))
+    spaceless |= ((lead >= 0xE3) & (lead <= 0xE9)) | (lead >= 0xF0)
+    # Signs beyond ASCII, and wide forms.
+    alone = (spaceless | (lead == 0xC2) | (lead == 0xE2) | (lead == 0xEF))[np.cumsum(~inner) - 1]
+    word = (_LETTER[raw] | _DIGIT[raw]) & ~alone
+    single = ~word & (raw > 0x20) & (raw != 0x7F)
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    before, after, more = np.zeros(len(raw), bool), np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+    before[1:], after[:-1], more[:-1] = word[:-1], word[1:], inner[1:]
+    starts = np.flatnonzero((word & (~before | edge[:-1])) | (single & ~inner))
+    ends = np.flatnonzero((word & (~after | edge[1:])) | (single & ~more)) + 1
+    of_script = np.zeros(len(raw), bool)
+    of_script[leads] = spaceless
+    return span_hashes(raw, starts, ends), of_script[starts], np.searchsorted(starts, offsets)
+
+
+def _windows(texts: pa.Array, length: int, exact: bool) -> tuple[np.ndarray, ...]:
+    """Hash, row, position of each window of ``length`` tokens, and the tokens it is made of; exact ones have no placeholders."""
+    if exact:
+        shape, _, first = plain_tokens(texts)
+        own, kind = shape, np.zeros(len(shape), np.int8)
+    else:
+        shape, own, kind, first = templates(texts)
     n = len(shape) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), own, kind, np.zeros(0, np.int64)
-    rolled, held = np.full(n, length, np.uint64), np.zeros(n, np.int64)
+    rolled, held = np.full(n, length + (exact << 20), np.uint64), np.zeros(n, np.int64)
     for k in range(length):
         rolled = rolled * _STEP + shape[k : k + n]
         held += kind[k : k + n] == 0
     row = np.searchsorted(first, np.arange(n), side="right") - 1
-    fits = (np.arange(n) + length <= first[row + 1]) & (held >= LITERALS)
+    fits = (np.arange(n) + length <= first[row + 1]) & (held >= (0 if exact else LITERALS))
     at = np.flatnonzero(fits)
     return mix(rolled[at]), row[at], at - first[row[at]], own, kind, at
 
@@ -126,9 +166,9 @@ def _slots(kind: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
     return index[held], np.concatenate([[0], np.cumsum(held.sum(1))]), np.nonzero(held)[1]
 
 
-def _emit(piece: pa.RecordBatch, key: list[str], length: int, sieve: np.ndarray | None) -> pa.RecordBatch:
+def _emit(piece: pa.RecordBatch, key: list[str], length: int, exact: bool, sieve: np.ndarray | None) -> pa.RecordBatch:
     """Windows with the values of their slots; of items (no sieve) with the kinds and positions of these too."""
-    hashes, row, position, own, kind, at = _windows(piece.column("text"), length)
+    hashes, row, position, own, kind, at = _windows(piece.column("text"), length, exact)
     if sieve is not None:
         cell = hashes & np.uint64((1 << SIEVE_BITS) - 1)
         hit = (sieve[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -161,29 +201,40 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append([p for p in at if not any(p + k in bad for k in range(length))] if bad else at)
             covered = {p + k for p in kept[-1] for k in range(length)} if bad else None
             changed.append(any(s["item"] != s["doc"] and (covered is None or s["place"] in covered) for s in slots))
-        names = ["doc_id", "text_key", "item_id", "of"]
+        names = [n for n in batch.schema.names if n not in ("length", "at", "pairs")]
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(changed, pa.bool_()), pa.array(kept, pa.list_(pa.int64()))], [*names, "changed", "at"])
 
 
-def item_windows(benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
-    """(item_id, window, position, slots, kinds, places, of, length): all windows of all items, ``of`` is the number an item has."""
+def item_windows(benchmark: DataFrame, length: int = WINDOW, needed: int = WINDOWS_NEEDED) -> DataFrame:
+    """(item_id, window, position, slots, kinds, places, exact, of, least, length): all windows of all items, templates and exact.
+
+    ``of`` is the number of such windows an item has, ``least`` how many make a match: ``needed``, or half of them if those are
+    fewer, and always half of the exact ones of an item in a script without spaces, as its windows are a few words only.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for at in range(len(batch)):
                     piece = batch.slice(at, 1)
-                    own = min(length, len(templates(piece.column("text"))[0]))
-                    if own < SHORTEST:
-                        continue
-                    found = _emit(piece, ["item_id"], own, None)
-                    of = pa.array(np.full(len(found), len(found)))
-                    yield pa.RecordBatch.from_arrays(
-                        [*found.columns, of, pa.array(np.full(len(found), own), pa.int32())], [*found.schema.names, "of", "length"]
-                    )
+                    for exact in (False, True):
+                        tokens, script = plain_tokens(piece.column("text"))[:2] if exact else (templates(piece.column("text"))[0], None)
+                        own = min(length, len(tokens))
+                        if own < (1 if exact else SHORTEST):
+                            continue
+                        found = _emit(piece, ["item_id"], own, exact, None)
+                        of = len(found)
+                        half = -(-of // 2)
+                        least = half if exact and 2 * script.sum() > len(tokens) else min(needed, half)
+                        values = [(exact, pa.bool_()), (of, pa.int64()), (least, pa.int64()), (own, pa.int32())]
+                        yield pa.RecordBatch.from_arrays(
+                            [*found.columns, *(pa.array([v] * of, t) for v, t in values)], [*found.schema.names, "exact", "of", "least", "length"]
+                        )
 
     return benchmark.select("item_id", "text").where("text is not null").mapInArrow(
-        cut, "item_id long, window long, position long, slots array<long>, kinds array<int>, places array<long>, of long, length int"
+        cut,
+        "item_id long, window long, position long, slots array<long>, kinds array<int>, places array<long>, "
+        "exact boolean, of long, least long, length int",
     )
 
 
@@ -200,48 +251,52 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, need
     """(doc_id, text_key, item_id, n_windows, share, changed): the documents that hold an item, and how much of it.
 
     ``docs`` has (doc_id, text, ...), ``benchmark`` (item_id, text, ...); other columns are not read.  ``n_windows`` counts
-    the item's windows found in alignments, without those left out for conflicts, ``share`` is their part of all, ``changed`` tells whether a slot has
-    another value than in the item.  Null, empty and blank texts hold nothing; items of fewer than ``SHORTEST`` tokens are
-    not searched for.  Rows that repeat id and text are one; a null id is a value of its own.
+    the item's windows found in alignments, without those left out for conflicts, ``share`` is their part of all, ``changed``
+    tells whether a slot has another value than in the item.  Of template and exact windows those count whose share is larger.
+    A template window needs ``LITERALS`` tokens that are no placeholders, and a name is told by its capital, in item and
+    document alike; exact windows need neither.  An item of fewer than ``length`` visible tokens is found wherever they stand
+    in a row, so a benchmark should hold no item of a single common word.  Null, empty and blank texts hold nothing.  Rows that
+    repeat id and text are one; a null id is a value of its own.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    windows = written(item_windows(benchmark, length), "leak-windows")
-    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
+    windows = written(item_windows(benchmark, length, needed), "leak-windows")
+    series = sorted((r["exact"], r["length"]) for r in windows.select("exact", "length").distinct().collect())
     sieve = spark.sparkContext.broadcast(_sieve(windows))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for piece in slices(batch):
-                    for own in lengths:
-                        yield _emit(piece, ["doc_id", "text_key"], own, sieve.value)
+                    for exact, own in series:
+                        yield _emit(piece, ["doc_id", "text_key"], own, exact, sieve.value)
 
     hits = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
         scan, "doc_id long, text_key long, window long, position long, slots array<long>"
     )
     few = windows.count() <= BROADCAST_WINDOWS
-    items = windows.select("window", "item_id", "of", "length", "kinds", "places", F.col("position").alias("item_position"), F.col("slots").alias("item_slots"))
+    items = windows.select("window", "item_id", "exact", "of", "least", "length", "kinds", "places", F.col("position").alias("item_position"), F.col("slots").alias("item_slots"))
     met = hits.join(F.broadcast(items) if few else items, "window")
     pairs = F.arrays_zip(F.col("places").alias("place"), F.col("kinds").alias("kind"), F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
     aligned = (
         met.where(F.size("slots") == F.size("item_slots"))
         .withColumn("shift", F.col("position") - F.col("item_position"))
-        .groupBy("doc_id", "text_key", "item_id", "of", "length", "shift")
+        .groupBy("doc_id", "text_key", "item_id", "exact", "of", "least", "length", "shift")
         # An alignment holds an item's windows once, so its sets are as long as the item.
         .agg(F.collect_set("item_position").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     )
     found = (
         aligned.drop("shift")
-        .mapInArrow(_agreeing, "doc_id long, text_key long, item_id long, of long, changed boolean, at array<long>")
-        .select("doc_id", "text_key", "item_id", "of", "changed", F.explode("at").alias("at"))
-        .groupBy("doc_id", "text_key", "item_id", "of")
+        .mapInArrow(_agreeing, "doc_id long, text_key long, item_id long, exact boolean, of long, least long, changed boolean, at array<long>")
+        .withColumn("at", F.explode("at"))
+        .groupBy("doc_id", "text_key", "item_id", "exact", "of", "least")
         .agg(F.countDistinct("at").alias("n_windows"), F.max("changed").alias("changed"))
+        .where("n_windows >= least")
     )
-    least = F.least(F.lit(needed), F.ceil(F.col("of") / 2))
-    return found.where(F.col("n_windows") >= least).select(
-        "doc_id", "text_key", "item_id", "n_windows", (F.col("n_windows") / F.col("of")).alias("share"), "changed"
-    )
+    # The template windows come first where both are found to the same share.
+    best = F.max(F.struct((F.col("n_windows") / F.col("of")).alias("share"), (~F.col("exact")).alias("template"), "n_windows")).alias("best")
+    found = found.groupBy("doc_id", "text_key", "item_id").agg(best, F.max("changed").alias("changed"))
+    return found.select("doc_id", "text_key", "item_id", "best.n_windows", "best.share", "changed")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
