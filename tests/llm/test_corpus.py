@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.llm import bpe, chat, decontaminate, fingerprints, graph, html, jaccard, language, quality, secrets, toxicity
-from vecloom.llm.queries import SQL, op6_chat
+from vecloom.llm.queries import SQL, op6_chat, op7_fingerprints
 from vecloom.llm.trigrams import ALL, trigram_query
 
 SCHEMA = "doc_id long, text string, lang string, key string, class string"
@@ -277,6 +277,13 @@ def test_near_fingerprints(spark):
     assert got == {(a, b) for a in every for b in every if 0 < bin(a ^ b).count("1") <= 3}
 
 
+def test_copies_count_as_near(spark, tmp_path):
+    texts = {20: "one two three four", 21: "one two three four", 22: "One two three  four", 40: words(7, 40), 60: "", 61: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.n_near for r in op7_fingerprints(spark, str(tmp_path)).collect()}
+    assert found == {20: 2, 21: None, 22: None, 40: 0, 60: 1, 61: None}
+
+
 def test_html(spark):
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=1>Home</a></nav><div class='ad'>Buy now</div><article><h1>Title &amp; x</h1>"

@@ -133,13 +133,14 @@ from s
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``n_near``: for every id divisible by 20, how many rows have another fingerprint within the radius."""
+    """``n_near``: for every id divisible by 20, how many other rows have a fingerprint within the radius."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = written(fingerprint_edits(docs), "fingerprints")
     numbers = made.groupBy(F.col("own").alias("found")).agg(F.count("*").alias("n"))
     asked = made.where("doc_id % 20 = 0").select(F.col("own").alias("fp"))
     near = near_fingerprints(asked, made.select(F.col("own").alias("fp"))).join(numbers, "found")
-    near = near.groupBy("query").agg(F.sum("n").alias("n_near"))
+    same = asked.distinct().join(numbers, F.col("fp") == F.col("found")).select(F.col("fp").alias("query"), (F.col("n") - 1).alias("n"))
+    near = near.select("query", "n").unionByName(same).groupBy("query").agg(F.sum("n").alias("n_near"))
     found = made.join(near, F.col("own") == F.col("query"), "left")
     return found.select(
         "doc_id",
