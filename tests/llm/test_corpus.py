@@ -237,6 +237,15 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.identify(docs, language.fit_language(empty)).collect()} == {"und"}
 
 
+def test_language_reads_words_after_marks(spark):
+    rows = [("la maison est une belle chose pour vous", "fr")] * 20 + [("the house and the river with that thing", "en")] * 20
+    model = language.fit_language(spark.createDataFrame(rows, "text string, lang string"))
+    probe = [(1, "☺\ufe0fla \u0301\u0301maison \ufe0fest"), (2, "\ufe0f \u0301"), (3, "\ufe0fmaison")]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(probe, "doc_id long, text string"), model).collect()}
+    assert [got[k].lang_pred for k in (1, 2, 3)] == ["fr", "und", "fr"] and got[3].score > 0
+    assert [(s.start, s.end) for s in got[3].spans] == [(1, 7)] and got[1].spans[0].start == 2
+
+
 def test_next_and_edited(spark, rows):
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))

@@ -77,7 +77,12 @@ class _Words:
         begins = np.concatenate([[0], np.cumsum(lengths + 1)])
         letter, inside = kind[codes] == 1, kind[codes] > 0
         before = np.concatenate([[False], inside[:-1]])
-        # A word begins with a letter; a mark elsewhere is none.
+        # A word begins with a letter; marks before a run's first letter are none of it.
+        heads = inside & ~before
+        if heads.any():
+            seen = np.cumsum(letter)
+            inside &= seen > (seen - letter)[heads][np.cumsum(heads) - 1]
+        before = np.concatenate([[False], inside[:-1]])
         heads = inside & ~before
         word_of = np.cumsum(heads) - 1
         starts = np.flatnonzero(heads)
