@@ -137,6 +137,24 @@ def test_bpe_matches_the_library(docs, rows, spark):
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_refuses_a_tokenizer_that_keeps_spaces(tmp_path):
+    from tokenizers import AddedToken, Tokenizer, models, pre_tokenizers
+
+    vocabulary = {c: k for k, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()) + ["▁"])}
+    for number, split in enumerate((pre_tokenizers.ByteLevel(add_prefix_space=False), pre_tokenizers.Metaspace(), None)):
+        tokenizer = Tokenizer(models.BPE(vocabulary, []))
+        if split:
+            tokenizer.pre_tokenizer = split
+        tokenizer.save(str(tmp_path / f"{number}.json"))
+        with pytest.raises(ValueError, match="white space"):
+            bpe.ChunkEncoder(str(tmp_path / f"{number}.json"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.add_tokens([AddedToken("two words")])
+    tokenizer.save(str(tmp_path / "added.json"))
+    with pytest.raises(ValueError, match="white space"):
+        bpe.ChunkEncoder(str(tmp_path / "added.json"))
+
+
 def test_decontamination(spark):
     item = "A train leaves the old station at 7 hours and travels 120 miles before Alice sees the green river below the hill"
     other = "A train leaves the old station at 9 hours and travels 340 miles before Robert sees the green river below the hill"

@@ -3,8 +3,9 @@
 A rolling hash over the bytes cuts each text into chunks whose borders depend on nearby bytes only, so texts that share a
 passage share its chunks.  Documents with the same least chunk hash are brought together (by a rebalancing shuffle, which
 splits large groups), and a worker encodes each different chunk once.  A chunk's encoding is kept apart from its ragged
-ends; at a join the words on both sides of the cut are encoded anew as one, and the window grows over whole chunks until
-both sides agree, which is where white space ends it: the tokenizer never looks across ASCII white space.
+ends; at a join the words on both sides of the cut are encoded anew as one, and the window grows over whole chunks up
+to white space.  Agreement is not compared: the tokenizer must drop ASCII white space and never look across it, which is
+checked when it is loaded.
 Within a chunk, words met before are not encoded again.
 
 The vocabulary is read from the given path by every task, so the file must be on the workers.
@@ -89,10 +90,30 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self._check_spaces(path)
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = 0
         self._forget()
 
+    def _check_spaces(self, path: str) -> None:
+        """Words are encoded alone, so the tokenizer must drop ASCII white space and not look across it; else an error."""
+        spaces = [chr(c) for c in np.flatnonzero(SPACE)]
+        split, normalizer = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        wide = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if any(c in t.content for c in spaces)]
+        sound = split is not None and not wide
+
+        def ids(text: str) -> list[int]:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        for gap in [*spaces, "  ", " \n\t "] if sound else []:
+            for a, b in (("the", "end"), ("A", "'s"), ("7", "8"), ("?", "!"), ("é", "é"), ("x1", "(y")):
+                text = f"{gap}{a}{gap}{b}{gap}"
+                plain = normalizer.normalize_str(text) if normalizer else text
+                held = any(plain[i].isspace() for _, (start, end) in split.pre_tokenize_str(plain) for i in range(start, end))
+                sound = sound and not held and ids(text) == ids(a) + ids(b)
+        if not sound:
+            raise ValueError(f"{path}: the tokenizer keeps white space or looks across it, which encoding word by word does not allow")
+
     def _forget(self) -> None:
         """Number of each word; the ids of all words in a row, and where each word's begin."""
         self.numbers: dict[bytes, int] = {}
