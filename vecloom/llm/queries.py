@@ -15,7 +15,11 @@ from vecloom.llm.fingerprints import fingerprint_edits, likeness, near_fingerpri
 from vecloom.llm.html import extract_text
 from vecloom.llm.jaccard import jaccard_join
 from vecloom.llm.language import fit_language, identify
+from vecloom.llm.manifest_sql import OP11_SQL, OP12_SQL
+from vecloom.llm.merkle import FIELDS, build_manifest, climb, leaf_digest
 from vecloom.llm.quality import fit_quality, score_quality
+from vecloom.llm.resample import importance_resample
+from vecloom.llm.rules import apply_cutoffs, fit_cutoffs, measure
 from vecloom.llm.secrets import find_secrets, secret_digest
 from vecloom.llm.toxicity import ToxicModel, fit_toxicity, score_toxicity
 from vecloom.session import written
@@ -184,6 +188,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document by crc32 of its id comes back with its text's capitals lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = leaf_digest(*[lowered if name == "text" else F.col(name) for name in FIELDS])
+    return climb(build_manifest(docs, found=F.when(in_fold(F.col("doc_id"), 5, 0), changed)))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strata are languages; every labelled document designs or tests, by a hash of its id."""
+    measured = written(measure(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"]), "rules-measured")
+    kept = apply_cutoffs(measured, fit_cutoffs(measured, labelled(spark, sf_dir, "quality")))
+    return kept.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -195,5 +220,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
+    "op12_resample": op12_resample,
+    "op13_rules": op13_rules,
 }
-SQL: dict[str, str] = {"op6_chat": OP6_SQL}
+SQL: dict[str, str] = {"op6_chat": OP6_SQL, "op11_merkle": OP11_SQL, "op12_resample": OP12_SQL}
