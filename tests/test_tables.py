@@ -11,7 +11,6 @@ from vecloom.operators.migration import current_state
 from vecloom.sources.tables import PointTable, retrieve, scroll, write_all
 from vecloom.spec import CollectionSpec, PrefixPart, PrefixPolicy
 from vecloom.streaming.ingest import ingest_stream
-from vecloom.streaming.state import latest_state, state_stream
 
 SPEC = CollectionSpec("kb", 2, vector_name="dense", sparse_vector_name="sparse", payload_types=(("text", "string"), ("lang", "string")), buckets=4)
 
@@ -160,19 +159,3 @@ def test_ingest_stream(spark, table, tmp_path):
     spark.createDataFrame([("a", "three", None, "fr", 1), ("b", "four", None, "fr", 1)], schema).write.mode("append").parquet(source)
     run()
     assert {r.id: r.text for r in table.read().collect()} == {"a": "three", "b": "four"}
-
-
-def test_state_stream(spark, tmp_path):
-    from test_migration import frame, random_log
-
-    log = random_log(6, 6, 8)
-    source = str(tmp_path / "log")
-    for n, part in enumerate((log[:30], log[30:60], log[60:])):
-        frame(spark, part).coalesce(1).write.parquet(f"{source}/part={n}")
-    stream = spark.readStream.schema(frame(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
-    seen = []
-    query = state_stream(stream, str(tmp_path / "compact"), str(tmp_path / "mark"), lambda states, n: seen.append((n, states.count())))
-    query.awaitTermination()
-    assert [n for n, _ in seen] == [0, 1, 2]
-    key = lambda df: sorted(map(str, df.collect()))
-    assert key(latest_state(spark, str(tmp_path / "compact"), query)) == key(current_state(frame(spark, log)))

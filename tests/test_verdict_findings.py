@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from vecloom.operators.migration import EVENT_SCHEMA, verify_backfill
 from vecloom.operators.mutate import default_id, last_wins
 from vecloom.operators.search import search_requests
-from vecloom.streaming.state import read_compacted
 
 
 def test_swapped_nulls_differ(spark):
@@ -34,11 +33,3 @@ def test_limits_of_requests(spark):
     requests = requests.selectExpr("*", "cast(null as struct<indices:array<bigint>,values:array<double>>) as sparse")
     counts = {r["query_id"]: r["count"] for r in search_requests(requests, points).groupBy("query_id").count().collect()}
     assert counts == {"a": 5, "b": 20}
-
-
-def test_state_versions(spark, tmp_path):
-    assert read_compacted(spark, str(tmp_path), 0).count() == 0
-    with pytest.raises(FileNotFoundError):
-        read_compacted(spark, str(tmp_path), 3)
-    spark.createDataFrame([], EVENT_SCHEMA).write.parquet(f"{tmp_path}/v=1")
-    assert read_compacted(spark, str(tmp_path), 3).count() == 0

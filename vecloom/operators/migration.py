@@ -38,6 +38,8 @@ STATE_AFTER = {
 }
 # Events that set the targets outright.
 BASES = ("bootstrap", "bootstrap_sync", "cutover", "rollback")
+# Those of them that may name the rollback target.
+ORIGINS = ("bootstrap", "bootstrap_sync")
 RECENT = 20
 RECENT_MAX = 200
 
@@ -95,7 +97,7 @@ def current_state(events: DataFrame) -> DataFrame:
     def newest_of(value: str | Column, where: Column) -> Column:
         return F.max_by(value, F.when(where, eid))
 
-    origin = event.isin("bootstrap", "bootstrap_sync")
+    origin = event.isin(*ORIGINS)
     base_row = F.struct("event_id", "event", "read_target", "write_targets", "next_target")
     origin_target = F.coalesce("rollback_target", "read_target")
     folded = events.groupBy("logical_name").agg(
@@ -148,11 +150,13 @@ def _base_targets(base: Column, rollback_target: Column) -> list[Column]:
 def compact(events: DataFrame) -> DataFrame:
     """The few events of each collection that decide its state: ``current_state`` of them is the same.
 
-    Folding new events onto a compacted log keeps the work of a stream independent of the log's length.
+    Compacting is free of order: what is kept of two parts of a log, put together and compacted, is what is kept of the whole.
+    For that every dual write behind the newest base stays, not the first of each target alone, as a base that is
+    seen later may lie between two of them.
     """
     eid, event = F.col("event_id"), F.col("event")
     row = F.struct(*[c for c in events.columns if c != "logical_name"])
-    origin = event.isin("bootstrap", "bootstrap_sync") & F.coalesce("rollback_target", "read_target").isNotNull()
+    origin = event.isin(*ORIGINS) & F.coalesce("rollback_target", "read_target").isNotNull()
     picked = events.groupBy("logical_name").agg(
         F.max_by(row, eid).alias("a"),
         F.max_by(row, F.when(event.isin(*BASES), eid)).alias("b"),
@@ -162,14 +166,12 @@ def compact(events: DataFrame) -> DataFrame:
         F.max_by(row, F.when(event == "cutover", eid)).alias("f"),
     )
     singles = picked.select("logical_name", F.explode(F.array_compact(F.array("a", "b", "c", "d", "e", "f"))).alias("r"))
-    base = picked.select("logical_name", F.coalesce("b.event_id", F.lit(-1)).alias("_base_id"))
+    base = picked.select("logical_name", F.col("b.event_id").alias("_base_id"))
     duals = (
         events.filter((event == "dual_write") & F.col("next_target").isNotNull())
         .join(base, "logical_name")
-        .filter(eid > F.col("_base_id"))
-        .groupBy("logical_name", "next_target")
-        .agg(F.min_by(row, eid).alias("r"))
-        .select("logical_name", "r")
+        .filter(F.col("_base_id").isNull() | (eid > F.col("_base_id")))
+        .select("logical_name", row.alias("r"))
     )
     return singles.unionByName(duals).select("logical_name", "r.*").select(*events.columns).distinct()
 

@@ -1,58 +1,98 @@
-"""Running migration state from a stream of events."""
+"""Running migration state from a stream of events, whatever order they arrive in.
+
+The state lives in Spark's state store, under the query's checkpoint: for every collection the events that decide its state, and
+all additions of write targets that the base known so far has not ruled out.  A base that arrives late may still let some of
+them in and others not, so none of these is dropped for another of the same target.  What is kept of two parts of a log, put
+together and cut down again, is what is kept of the whole, so neither the order nor the cut into batches matters, and an event
+that comes twice counts once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from vecloom.operators.migration import EVENT_SCHEMA, compact, current_state
+from vecloom.operators.migration import BASES, EVENT_SCHEMA, ORIGINS, compact, current_state
+from vecloom.session import ship_package
 
+# A collection's events are dealt over this many keys of the store, so that a busy one is not a single task's work.
+SHARDS = 8
+_COLUMNS = [field.split(" ")[0] for field in EVENT_SCHEMA.split(", ")]
+_NAMES = [name for name in _COLUMNS if name != "logical_name"]
 
-def _version(path: str, batch_id: int) -> str:
-    return f"{path}/v={batch_id}"
 
+def deciding(rows: Iterable[tuple]) -> list[tuple]:
+    """The rows (fields of the event table without the name) that ``compact`` keeps, for one key of the store."""
+    found = {row[0]: dict(zip(_NAMES, row)) for row in rows}
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """The finished versions, newest first."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
-    files = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found = [status.getPath().getParent().getName() for status in files.globStatus(pattern) or []]
-    return sorted((int(name.removeprefix("v=")) for name in found), reverse=True)
+    def pick(test: Callable[[dict], object], choose=max) -> list[int]:
+        ids = [event_id for event_id, row in found.items() if test(row)]
+        return [choose(ids)] if ids else []
 
+    base = pick(lambda r: r["event"] in BASES)
+    keep = {
+        *pick(lambda r: True), *base,
+        *pick(lambda r: r["event"] in ORIGINS and (r["rollback_target"] is not None or r["read_target"] is not None), min),
+        *pick(lambda r: r["task_id"] is not None), *pick(lambda r: r["event"] == "verify"), *pick(lambda r: r["event"] == "cutover"),
+        *(i for i, r in found.items() if r["event"] == "dual_write" and r["next_target"] is not None and (not base or i > base[0])),
+    }
+    return [tuple(found[event_id].values()) for event_id in sorted(keep)]
 
-def read_compacted(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """The newest version up to ``batch_id``; batches without data make none.  Only before the first is there no event."""
-    version = next((v for v in versions(spark, path) if v <= batch_id), None)
-    if version is not None:
-        return spark.read.schema(EVENT_SCHEMA).parquet(_version(path, version))
-    if batch_id > 0:
-        raise FileNotFoundError(f"no version up to {batch_id} under {path}")
-    return spark.createDataFrame([], EVENT_SCHEMA)
 
+def _plain(value):
+    """Pandas holds arrays as numpy arrays and may hold missing values as NaN."""
+    if value is None or isinstance(value, float):
+        return None
+    return value if isinstance(value, str) else [str(v) for v in value]
 
-def state_stream(events: DataFrame, path: str, checkpoint: str, on_state=None) -> StreamingQuery:
-    """Fold a stream of events into a compacted log per micro-batch.
 
-    Version ``n`` is made from version ``n - 1`` and batch ``n``, so a replayed batch writes the same
-    version again.  Each version holds only the events that decide a collection's state.
-    """
+def _fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    kept = [tuple(row) for row in state.get[0]] if state.exists else []
+    for batch in batches:
+        columns = [batch["event_id"].tolist(), *[[_plain(v) for v in batch[name]] for name in _NAMES[1:]]]
+        kept = deciding([*kept, *zip(*columns)])
+    state.update((kept,))
+    yield pd.DataFrame({"logical_name": [key[0]], "shard": [key[1]], "kept": [len(kept)]})
+
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = read_compacted(spark, path, batch_id - 1)
-        compact(before.unionByName(batch)).write.mode("overwrite").parquet(_version(path, batch_id))
-        if on_state is not None:
-            on_state(current_state(read_compacted(spark, path, batch_id)), batch_id)
-
-    return (
-        events.writeStream.foreachBatch(fold)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+def state_stream(
+    events: DataFrame, checkpoint: str, *, shards: int = SHARDS, on_batch: Callable[[DataFrame, int], None] | None = None
+) -> StreamingQuery:
+    """Fold a stream of events into the state store, until the input is used up.
+
+    Events without an id or a collection are no events.  ``on_batch`` gets the keys a micro-batch has changed and how many events each
+    holds; a batch that failed or is run again leaves the store as one run would.
+    """
+    ship_package(events.sparkSession)
+    known = events.select(*_COLUMNS).where("event_id is not null and logical_name is not null")
+    fields = [field for field in known.schema if field.name != "logical_name"]
+    store = T.StructType([T.StructField("kept", T.ArrayType(T.StructType(fields)))])
+    dealt = known.withColumn("shard", F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int"))
+    changed = dealt.groupBy("logical_name", "shard").applyInPandasWithState(
+        _fold, "logical_name string, shard int, kept int", store, "update", GroupStateTimeout.NoTimeout
+    )
+    out = changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (out.foreachBatch(on_batch) if on_batch else out.format("noop")).start()
+
+
+def kept_events(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """What the store holds after a finished batch (the newest unless one is named), as rows of the event table."""
+    reader = spark.read.format("statestore")
+    if batch_id is not None:
+        reader = reader.option("batchId", batch_id)
+    held = reader.load(checkpoint)
+    row = F.explode("value.groupState.kept").alias("r")
+    return held.select(F.col("key.logical_name").alias("logical_name"), row).select("logical_name", "r.*").select(
+        *_COLUMNS
     )
 
 
-def latest_state(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """State after the last finished batch of the query."""
-    progress = query.lastProgress
-    return current_state(read_compacted(spark, path, progress["batchId"] if progress else 0))
+def latest_state(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """State of every collection after a finished batch (the newest unless one is named)."""
+    return current_state(compact(kept_events(spark, checkpoint, batch_id)))
