@@ -54,6 +54,7 @@ def test_untouched_buckets_stay(spark, table, tmp_path):
     table.upsert(batch(spark, [(str(i), [1.0, 0.0], "en", i, None) for i in range(40)]))
     before = {f: f.stat().st_mtime_ns for f in (tmp_path / "kb").rglob("*.parquet")}
     table.upsert(batch(spark, [("7", [0.0, 1.0], "fr", 7, None)]))
+    table.expire()
     after = {f: f.stat().st_mtime_ns for f in (tmp_path / "kb").rglob("*.parquet")}
     same = {f.parent.name for f in before if after.get(f) == before[f]}
     assert len({"bucket=0", "bucket=1", "bucket=2", "bucket=3"} & same) == 3

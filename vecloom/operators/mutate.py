@@ -87,12 +87,18 @@ def merge_json(old: Column, new: Column) -> Column:
 
 
 def default_id(collection: str, text: Column, id_column: Column, content: Column | None = None) -> Column:
-    """The given id, else a hash of collection and text, or of ``content`` where there is no text.
+    """The given id, else a hash of collection, text and ``content`` (everything else that makes the point).
 
-    A random id would change when a lost task runs again; the hash does not.
+    A random id would change when a lost task runs again; the hash does not.  Rows that are equal in text and content are one
+    point; rows that differ in either are not.
     """
-    of = text if content is None else F.coalesce(text, content)
-    return F.coalesce(id_column.cast("string"), F.md5(F.concat_ws("\u0001", F.lit(collection), of)))
+    if content is None:
+        made = F.concat_ws("\u0001", F.lit(collection), text)
+    else:
+        # A mark in front, so that a missing part is no empty one.
+        parts = [F.coalesce(F.concat(F.lit("+"), part.cast("string")), F.lit("-")) for part in (text, content)]
+        made = F.concat_ws("\u0001", F.lit(collection), *parts)
+    return F.coalesce(id_column.cast("string"), F.md5(made))
 
 
 def copy_vector(df: DataFrame, source: str, target: str) -> DataFrame:

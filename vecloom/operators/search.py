@@ -182,38 +182,43 @@ def sparse_search(
 
 
 def _top_k(queries, rows, k, width: Column, make_block, larger_is_better, broadcast_numbers) -> DataFrame:
+    query_type = to_arrow_type(queries.schema["query_id"].dataType)
+
+    def answer(query_table: pa.Table, batches) -> pa.Table:
+        return best_of(make_block(query_table), batches, k, larger_is_better, query_type)
+
+    out = [T.StructField("id", T.StringType()), T.StructField("score", T.DoubleType())]
+    candidates = block_scan(queries, rows, width, answer, out, broadcast_numbers)
+    return ranked(candidates, k, larger_is_better)
+
+
+def block_scan(
+    queries: DataFrame, rows: DataFrame, width: Column, answer, out: list[T.StructField], broadcast_numbers: int = BROADCAST_NUMBERS
+) -> DataFrame:
+    """Show every point to every query, in blocks: ``answer(query table, point batches)`` gives the rows ``(query_id, *out)``.
+
+    ``width`` is how many stored numbers a row of either side holds.
+    """
     spark = rows.sparkSession
-    query_field = queries.schema["query_id"]
-    query_type = to_arrow_type(query_field.dataType)
-    out = T.StructType(
-        [
-            T.StructField("query_id", query_field.dataType),
-            T.StructField("id", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *out])
     ship_package(spark)
     # Kept while it is measured and read; the grid path reads it again later and leaves it to the cache.
     queries = queries.persist()
     numbers = queries.agg(F.sum(F.greatest(width, F.lit(QUERY_NUMBERS)).cast("bigint")).alias("n")).head()["n"] or 0
-    if numbers <= broadcast_numbers:
-        # The size was just measured, so this table is small; it goes to every executor once and the points
-        # are neither shuffled nor repeated.
-        shared = spark.sparkContext.broadcast(queries.toArrow().combine_chunks())
-        queries.unpersist()
+    if numbers > broadcast_numbers:
+        return _grid(queries, rows, width, numbers, answer, schema, broadcast_numbers)
+    # The size was just measured, so this table is small; it goes to every executor once and the points
+    # are neither shuffled nor repeated.
+    shared = spark.sparkContext.broadcast(queries.toArrow().combine_chunks())
+    queries.unpersist()
 
-        def scan(batches):
-            table = best_of(make_block(shared.value), batches, k, larger_is_better, query_type)
-            yield from table.to_batches()
-
-        candidates = rows.mapInArrow(scan, out)
-    else:
-        candidates = _grid(queries, rows, k, width, numbers, make_block, larger_is_better, query_type, out, broadcast_numbers)
-    return ranked(candidates, k, larger_is_better)
+    def scan(batches):
+        yield from answer(shared.value, batches).to_batches()
 
+    return rows.mapInArrow(scan, schema)
 
 
-def _grid(queries, rows, k, width, numbers, make_block, larger_is_better, query_type, out, block_numbers) -> DataFrame:
+def _grid(queries, rows, width, numbers, answer, schema, block_numbers) -> DataFrame:
     """Any number of queries: every (query slice, point slice) cell is one bounded task.
 
     Slices are cut by hash of the ids, so they are even however the values are distributed.  Points are
@@ -238,13 +243,13 @@ def _grid(queries, rows, k, width, numbers, make_block, larger_is_better, query_
     right = right.select(cell, *rows.columns)
 
     def score_cell(query_table: pa.Table, point_table: pa.Table) -> pa.Table:
-        return best_of(make_block(query_table), point_table.to_batches(), k, larger_is_better, query_type)
+        return answer(query_table, point_table.to_batches())
 
-    return left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(score_cell, out)
+    return left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(score_cell, schema)
 
 
-def ranked(candidates: DataFrame, k: int, larger_is_better: bool = True) -> DataFrame:
-    """Best ``k`` candidates per query with their rank.
+def ranked(candidates: DataFrame, k: int, larger_is_better: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Best ``k`` candidates per query with their rank; ``keep`` names further columns.
 
     With many point tasks a query has (tasks x k) candidates; they are first cut to k within each of
     several groups so that no single task has to sort them all.
@@ -257,7 +262,7 @@ def ranked(candidates: DataFrame, k: int, larger_is_better: bool = True) -> Data
         candidates = salted.withColumn("_r", first).filter(F.col("_r") <= k).drop("_r", "_group")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(*by))
     return candidates.withColumn("rank", rank).filter(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("bigint").alias("rank"), "id", "score"
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "id", "score", *keep
     )
 
 
@@ -310,10 +315,11 @@ def hybrid_search(
 
 
 def resolve_mode(requests: DataFrame) -> DataFrame:
-    """Add ``mode``.  Uses ``search_mode``, ``default_mode`` (logical collections only), ``has_sparse``.
+    """Add ``mode``.  Uses ``search_mode``, ``default_mode`` (logical collections only), ``has_sparse``, ``has_terms``, ``has_dense``.
 
     An explicit mode wins; ``auto`` takes the logical default, else hybrid where the collection has a
-    sparse vector, else dense.  Hybrid without a sparse query is dense; hybrid without a dense query is sparse.
+    sparse vector, else dense.  Hybrid without a sparse query is dense; hybrid without a dense query is sparse; sparse without
+    a sparse query is dense, and can only be answered if a vector was given (see ``mode_rules``).
     """
     asked = F.lower(F.coalesce("search_mode", F.lit("auto")))
     first = (
@@ -322,16 +328,24 @@ def resolve_mode(requests: DataFrame) -> DataFrame:
         .when(F.col("has_sparse"), F.lit("hybrid"))
         .otherwise(F.lit("dense"))
     )
-    hybrid = F.col("mode") == "hybrid"
-    no_terms = ~(F.coalesce("has_sparse", F.lit(False)) & F.col("has_terms"))
+    no_terms = ~(F.coalesce("has_sparse", F.lit(False)) & F.coalesce("has_terms", F.lit(False)))
     return requests.withColumn("mode", first).withColumn(
         "mode",
-        F.when(hybrid & no_terms, F.lit("dense"))
-        .when(hybrid & ~F.col("has_dense"), F.lit("sparse"))
+        F.when(F.col("mode").isin("hybrid", "sparse") & no_terms, F.lit("dense"))
+        .when((F.col("mode") == "hybrid") & ~F.col("has_dense"), F.lit("sparse"))
         .otherwise(F.col("mode")),
     )
 
 
+def mode_rules() -> list[tuple[Column, Column]]:
+    """A resolved request that has to be dense needs a vector."""
+    reason = F.concat(
+        F.lit("Collection '"), F.col("collection"), F.lit("' requires a dense vector for query mode '"),
+        F.lower(F.coalesce("search_mode", F.lit("auto"))), F.lit("'"),
+    )
+    return [((F.col("mode") == "dense") & ~F.col("has_dense"), reason)]
+
+
 def text_queries(requests: DataFrame) -> DataFrame:
     """``dense_text`` and ``sparse``: the embedding uses ``text``, the terms use ``query_text``, each falls
     back to the other."""
@@ -369,6 +383,14 @@ def search_requests(
         filter=filter, idf=idf, statistics=statistics,
     )
     hits = dense.unionByName(sparse).join(limits, "query_id").filter(F.col("rank") <= F.col("limit"))
+    return merge_branches(hits, rrf_k)
+
+
+def merge_branches(hits: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
+    """The answer of each request from the ranked hits of its branches: ``query_id, mode, limit, rank, id, score``.
+
+    Two branches are fused by rank; the one branch of a dense or sparse request keeps its scores and its order.
+    """
     hybrid = F.col("mode") == "hybrid"
     merged = hits.groupBy("query_id", "mode", "limit", "id").agg(
         F.round(F.sum(F.lit(1.0) / (F.col("rank") + F.lit(rrf_k))), 9).alias("_fused"),

@@ -247,15 +247,22 @@ def dense_of(df: DataFrame, spec: CollectionSpec | None, vectors: Sequence[str])
     return F.when(set_columns == 1, F.coalesce(*[F.col(v) for v in dense])) if dense else nothing
 
 
+def vector_rules(spec: CollectionSpec, dense: Column) -> list[Rule]:
+    """A point of a collection needs a dense vector, of the collection's size."""
+    return target_vector_rules(spec.name, spec, dense)
+
+
+def target_vector_rules(target: str, spec: CollectionSpec | None, dense: Column) -> list[Rule]:
+    rules: list[Rule] = [(dense.isNull(), _text(f"Collection '{target}' requires a dense vector payload for upsert"))]
+    return rules if spec is None else rules + size_rules(dense, F.lit(target), F.lit(spec.vector_size))
+
+
 def target_rules(df: DataFrame, catalog: Catalog, targets: Sequence[str], vectors: Sequence[str]) -> list[Rule]:
     """Every write target must find a dense vector of its size in the point."""
     rules: list[Rule] = []
     for target in targets:
         spec = catalog.collection(target)
-        dense = dense_of(df, spec, vectors)
-        rules.append((dense.isNull(), _text(f"Collection '{target}' requires a dense vector payload for upsert")))
-        if spec is not None:
-            rules += size_rules(dense, F.lit(target), F.lit(spec.vector_size))
+        rules += target_vector_rules(target, spec, dense_of(df, spec, vectors))
     return rules
 
 

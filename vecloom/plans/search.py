@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vecloom.functions.text import sparse_terms
 from vecloom.operators.embed import HashEmbedder, embed_texts
 from vecloom.operators.filters import apply_filter
+from vecloom.operators.service import Served, search_service
 from vecloom.operators.search import (
     attach_points,
     dense_search,
@@ -20,8 +21,10 @@ from vecloom.operators.search import (
 from vecloom.operators.validate import check, query_rules
 from vecloom.plans import bindings as b
 from vecloom.plans.registry import query
-from vecloom.session import written
+from vecloom.session import scratch_path, written
 from vecloom.sources import tables
+from vecloom.sources.tables import PointTable
+from vecloom.spec import CollectionSpec
 
 COSINE_SQL = (
     "round(list_inner_product(v, embedding::DOUBLE[]) / (sqrt(list_inner_product(v, v)) *"
@@ -105,9 +108,16 @@ def sparse_topk(spark, sf_dir):
     return sparse_search(b.sparse_requests(spark, sf_dir), b.sparse_texts(spark, sf_dir), 10)
 
 
+TERMS_SPEC = CollectionSpec("terms_v1", 64, sparse_vector_name="sparse", sparse_modifier="idf", buckets=8)
+
+
 @query("sparse_topk_idf", f"WITH {b.DOC_TERMS_SQL}, {b.QUERY_TERMS_SQL}, {SPARSE_IDF_SCORES_SQL} {b.top_sql('s', 10)}")
 def sparse_topk_idf(spark, sf_dir):
-    return sparse_search(b.sparse_requests(spark, sf_dir), written(b.sparse_texts(spark, sf_dir), "terms"), 10, idf=True)
+    """A stored table has its document frequencies already; a search does not count them."""
+    table = PointTable(spark, scratch_path(spark, "idf"), TERMS_SPEC)
+    table.ensure()
+    table.load(b.sparse_texts(spark, sf_dir).select("id", "sparse"))
+    return sparse_search(b.sparse_requests(spark, sf_dir), table.read(), 10, idf=True, statistics=table.statistics())
 
 
 @query(
@@ -196,7 +206,7 @@ mt AS (
   FROM m
 ),
 modes AS (
-  SELECT *, CASE WHEN asked = 'hybrid' AND NOT (has_sparse AND has_terms) THEN 'dense'
+  SELECT *, CASE WHEN asked IN ('hybrid', 'sparse') AND NOT (has_sparse AND has_terms) THEN 'dense'
     WHEN asked = 'hybrid' AND NOT has_dense THEN 'sparse' ELSE asked END AS mode FROM mt
 )"""
 
@@ -232,6 +242,119 @@ def mixed_requests(spark, sf_dir):
     return search_requests(_resolved(spark, sf_dir), _sparse_points(spark, sf_dir), idf=True)
 
 
+SERVED_SPECS = {
+    "docs_v1": CollectionSpec(
+        "docs_v1", 64, sparse_vector_name="sparse", sparse_modifier="idf", buckets=8,
+        payload_types=(("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")),
+    ),
+    "cards_v1": CollectionSpec("cards_v1", 64, distance="Dot", vector_name="summary", payload_types=(("label", "bigint"),), buckets=4),
+}
+# By number of the request; the first is none.
+SERVED_FILTERS = {
+    "docs_v1": [
+        None, "{}", '{"lang": "en"}', '{"must": [{"key": "n_chars", "range": {"gte": 300}}], "must_not": [{"key": "lang", "match": "de"}]}',
+        '{"quality": 1}', '{"must": "lang"}',
+    ],
+    "cards_v1": [None, "{}", '{"label": [1, 2, 3]}', '{"must_not": [{"key": "label", "match": 0}]}', '{"must": [{"key": "label", "range": {"lt": 5}}]}', "[]"],
+}
+
+SERVICE_SQL = """
+m AS (
+  SELECT item_id AS query_id, CASE item_id % 7 WHEN 0 THEN 'docs' WHEN 1 THEN 'nowhere' WHEN 2 THEN 'cards_v1' WHEN 3 THEN 'cards_v1' ELSE 'docs_v1' END AS collection,
+    item_id % 6 AS fid, CASE WHEN length(text) % 5 = 3 THEN NULL ELSE text END AS text,
+    CASE length(text) % 5 WHEN 4 THEN '?!' WHEN 2 THEN text END AS query_text,
+    CASE WHEN length(text) % 5 <> 1 THEN embedding END AS vector,
+    CASE length(text) % 5 WHEN 0 THEN 'AUTO' WHEN 1 THEN 'sparse' WHEN 2 THEN 'dense' WHEN 4 THEN 'hybrid' END AS search_mode,
+    CASE WHEN item_id % 4 > 0 THEN 1 + length(text) % 7 END AS lim
+  FROM benchmark LEFT JOIN embeddings ON vec_id = item_id
+),
+mt AS (
+  SELECT *, CASE WHEN collection IN ('docs', 'docs_v1') THEN 'docs_v1' ELSE collection END AS target, CASE WHEN collection = 'docs' THEN 'hybrid' END AS default_mode,
+    len(regexp_extract_all(coalesce(query_text, text, ''), '[\\p{L}\\p{N}_]+')) > 0 AS has_terms, vector IS NOT NULL AS has_dense FROM m
+),
+ma AS (
+  SELECT *, target = 'docs_v1' AS has_sparse, lower(coalesce(search_mode, 'auto')) AS own,
+    CASE WHEN lower(coalesce(search_mode, 'auto')) <> 'auto' THEN lower(search_mode) WHEN default_mode IS NOT NULL THEN default_mode
+      WHEN target = 'docs_v1' THEN 'hybrid' ELSE 'dense' END AS asked FROM mt
+),
+mm AS (
+  SELECT *, CASE WHEN asked IN ('hybrid', 'sparse') AND NOT (has_sparse AND has_terms) THEN 'dense' WHEN asked = 'hybrid' AND NOT has_dense THEN 'sparse' ELSE asked END AS mode FROM ma
+),
+sr0 AS (
+  SELECT *, CASE WHEN text IS NULL AND query_text IS NULL AND vector IS NULL THEN 'One of ''text'', ''query_text'', or ''vector'' is required'
+    WHEN target = 'nowhere' THEN 'Unknown collection: nowhere'
+    WHEN mode = 'dense' AND NOT has_dense THEN 'Collection ''' || collection || ''' requires a dense vector for query mode ''' || own || ''''
+    WHEN fid = 5 THEN '''filter'' is not valid' END AS reason FROM mm
+),
+modes AS (SELECT * REPLACE (coalesce(lim, 5) AS lim) FROM sr0 WHERE reason IS NULL)"""
+
+
+def _service(spark, sf_dir):
+    root = scratch_path(spark, "served")
+    stored = {name: PointTable(spark, root, spec) for name, spec in SERVED_SPECS.items()}
+    for table in stored.values():
+        table.ensure()
+    labels = b.table(spark, sf_dir, "labels").select(b.text_id("doc_id").alias("id"), "quality")
+    docs = b.texts(spark, sf_dir).join(b.embedded(spark, sf_dir).select("id", "dense"), "id", "left").join(labels, "id", "left")
+    stored["docs_v1"].load(docs)
+    stored["cards_v1"].load(b.embedded(spark, sf_dir))
+    served = {n: Served(t.read(), t.spec, t.statistics() if t.spec.idf else None) for n, t in stored.items()}
+    routing = spark.createDataFrame([("docs", "docs_v1", "hybrid")], "logical_name string, read_target string, default_mode string")
+    name = F.col("query_id") % 7
+    size = F.length("text")
+
+    def chosen(texts):
+        return F.get(F.array(*[F.lit(t).cast("string") for t in texts]), F.col("query_id").cast("int") % 6)
+
+    requests = b.requests(spark, sf_dir).withColumn(
+        "collection", F.when(name == 0, "docs").when(name == 1, "nowhere").when(name.isin(2, 3), "cards_v1").otherwise("docs_v1")
+    )
+    requests = requests.select(
+        "query_id", "collection",
+        F.when(F.col("collection") == "cards_v1", chosen(SERVED_FILTERS["cards_v1"])).otherwise(chosen(SERVED_FILTERS["docs_v1"])).alias("filter"),
+        F.when(size % 5 != 3, F.col("text")).alias("text"), F.when(size % 5 == 4, "?!").when(size % 5 == 2, F.col("text")).alias("query_text"),
+        F.when(size % 5 != 1, F.col("vector")).alias("vector"),
+        F.when(size % 5 == 0, "AUTO").when(size % 5 == 1, "sparse").when(size % 5 == 2, "dense").when(size % 5 == 4, "hybrid").alias("search_mode"),
+        F.when(F.col("query_id") % 4 > 0, 1 + size % 7).cast("bigint").alias("limit"),
+    )
+    return search_service(requests, served, routing=routing)
+
+
+@query(
+    "search_service",
+    f"""WITH {SERVICE_SQL}, {b.DOC_TERMS_SQL},
+{b.terms_sql('t', 'query_id', "(SELECT query_id, coalesce(query_text, text) AS text FROM modes WHERE mode IN ('sparse', 'hybrid'))")},
+{SPARSE_IDF_SCORES_SQL},
+pay AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, lang, n_chars, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+open AS (
+  SELECT query_id, id FROM modes, pay WHERE target = 'docs_v1' AND CASE fid WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN lang = 'en'
+    WHEN 3 THEN n_chars >= 300 AND coalesce(lang <> 'de', true) WHEN 4 THEN quality = 1 END
+  UNION ALL
+  SELECT query_id, CAST(vec_id AS VARCHAR) FROM modes, embeddings WHERE target = 'cards_v1' AND CASE fid WHEN 0 THEN true WHEN 1 THEN true
+    WHEN 2 THEN label IN (1, 2, 3) WHEN 3 THEN label <> 0 WHEN 4 THEN label < 5 END),
+q AS (SELECT query_id, target, vector::DOUBLE[] AS v FROM modes WHERE mode IN ('dense', 'hybrid')),
+d AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS id, {COSINE_SQL} AS score FROM q, embeddings WHERE target = 'docs_v1'
+  UNION ALL SELECT query_id, CAST(vec_id AS VARCHAR), round(list_inner_product(v, embedding::DOUBLE[]), 6) FROM q, embeddings WHERE target = 'cards_v1'),
+dd AS (SELECT d.* FROM d JOIN open USING (query_id, id)),
+ss AS (SELECT s.* FROM s JOIN open USING (query_id, id)),
+dr AS (SELECT r.*, mode, collection FROM ({b.top_sql('dd', 7)}) r JOIN modes USING (query_id) WHERE rank <= lim),
+sr AS (SELECT r.*, mode, collection FROM ({b.top_sql('ss', 7)}) r JOIN modes USING (query_id) WHERE rank <= lim),
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score
+  FROM (SELECT * FROM dr WHERE mode = 'hybrid' UNION ALL SELECT * FROM sr WHERE mode = 'hybrid') GROUP BY query_id, id)
+SELECT query_id, collection, mode, rank, id, score FROM dr WHERE mode = 'dense'
+UNION ALL SELECT query_id, collection, mode, rank, id, score FROM sr WHERE mode = 'sparse'
+UNION ALL SELECT query_id, collection, 'hybrid', rank, id, score FROM ({b.top_sql('f', 7)}) JOIN modes USING (query_id) WHERE rank <= lim""",
+)
+def served_requests(spark, sf_dir):
+    """Requests of every mode to two stored collections, one of them also by a logical name, each with a filter of its own."""
+    return _service(spark, sf_dir)[0]
+
+
+@query("search_service_rejects", f"WITH {SERVICE_SQL} SELECT query_id, reason FROM sr0 WHERE reason IS NOT NULL")
+def rejected_requests(spark, sf_dir):
+    return _service(spark, sf_dir)[1].withColumn("reason", F.regexp_replace("reason", "(is not valid):.*", "$1"))
+
+
 @query(
     "request_checks",
     f"""WITH {MODE_SQL} SELECT query_id, CASE

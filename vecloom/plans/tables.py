@@ -11,7 +11,7 @@ from vecloom.plans import bindings as b
 from vecloom.plans.registry import query
 from vecloom.plans.text import POLICY, PREFIX_SQL
 from vecloom.session import scratch_path
-from vecloom.sources.tables import PointTable, migration_source, write_all
+from vecloom.sources.tables import PointTable, migration_source, write_all, write_checked
 from vecloom.spec import CollectionSpec
 
 DOC_SPEC = CollectionSpec(
@@ -125,6 +125,92 @@ def dual_write(spark, sf_dir):
     return first.unionByName(second)
 
 
+CARDS = [
+    CollectionSpec("cards_v1", 64, payload_types=(("label", "bigint"),), buckets=4),
+    CollectionSpec("cards_v2", 64, vector_name="summary", sparse_vector_name="words", payload_types=(("label", "bigint"),), buckets=8),
+]
+
+
+@query(
+    "dual_write_named",
+    """SELECT target, CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label, pos,
+  CASE WHEN vec_id % 3 = 0 THEN -embedding[pos]::DOUBLE ELSE embedding[pos]::DOUBLE END AS value
+FROM embeddings, (SELECT unnest(['cards_v1', 'cards_v2']) AS target), (SELECT unnest(range(1, 65)) AS pos)""",
+)
+def dual_write_named(spark, sf_dir):
+    """One vector without a name goes to two tables, one of which names it; a second batch turns a third of the vectors round."""
+    root = scratch_path(spark, "named")
+    tables = [PointTable(spark, root, spec) for spec in CARDS]
+    for t in tables:
+        t.ensure()
+    points = b.embedded(spark, sf_dir)
+    write_all(points, tables)
+    turned = points.filter(F.col("id").cast("bigint") % 3 == 0)
+    write_all(turned.withColumns({"dense": F.transform("dense", lambda x: -x), "label": F.col("label") + 100}), tables)
+    both = [t.read().select(F.lit(t.spec.name).alias("target"), "id", "label", F.col(t.spec.dense_column).alias("v")) for t in tables]
+    each = both[0].unionByName(both[1]).select("target", "id", "label", F.posexplode("v").alias("pos", "value"))
+    return each.select("target", "id", "label", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("value").cast("double").alias("value"))
+
+
+@query(
+    "upsert_rejects",
+    """WITH p AS (SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN label = 0 THEN NULL WHEN label = 1 THEN embedding[:32] ELSE embedding END AS v FROM embeddings)
+SELECT 'rejected' AS target, id, 0::BIGINT AS pos, 0.0::DOUBLE AS value,
+  CASE WHEN v IS NULL THEN 'Collection ''cards_v1'' requires a dense vector payload for upsert'
+    ELSE 'Collection ''cards_v1'' expects dense vector size 64, got ' || len(v) END AS reason FROM p WHERE v IS NULL OR len(v) <> 64
+UNION ALL
+SELECT target, id, pos, v[pos]::DOUBLE, NULL FROM p, (SELECT unnest(['cards_v1', 'cards_v2']) AS target), (SELECT unnest(range(1, 65)) AS pos) WHERE len(v) = 64""",
+)
+def upsert_rejects(spark, sf_dir):
+    """Points without a vector, or with one of another size, are written nowhere and come back with the reason."""
+    root = scratch_path(spark, "rejects")
+    tables = [PointTable(spark, root, spec) for spec in CARDS]
+    for t in tables:
+        t.ensure()
+    dense = F.when(F.col("label") == 1, F.slice("dense", 1, 32)).when(F.col("label") != 0, F.col("dense"))
+    _, rejected = write_checked(b.embedded(spark, sf_dir).withColumn("dense", dense), tables)
+    bad = rejected.select(F.lit("rejected").alias("target"), "id", F.lit(0).cast("bigint").alias("pos"), F.lit(0.0).alias("value"), "reason")
+    both = [t.read().select(F.lit(t.spec.name).alias("target"), "id", F.col(t.spec.dense_column).alias("v")) for t in tables]
+    each = both[0].unionByName(both[1]).select("target", "id", F.posexplode("v").alias("pos", "value"))
+    good = each.select("target", "id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("reason"))
+    return bad.unionByName(good)
+
+
+@query(
+    "retrieve_stored",
+    "SELECT CAST(doc_id AS VARCHAR) AS id, text, lang, source FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)",
+)
+def retrieve_stored(spark, sf_dir):
+    """A stored table answers for ids: only the buckets they fall into are read."""
+    table = PointTable(spark, scratch_path(spark, "retrieve"), DOC_SPEC)
+    table.ensure()
+    table.load(b.texts(spark, sf_dir))
+    ids = b.table(spark, sf_dir, "benchmark").select(b.text_id("item_id").alias("id"))
+    return table.retrieve(ids).select("id", "text", "lang", "source")
+
+
+@query(
+    "stored_statistics",
+    f"""WITH d AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, CASE WHEN quality = 0 THEN 'gone' WHEN quality = 1 THEN text || ' seen' ELSE text END AS text FROM documents d
+  LEFT JOIN labels l ON l.doc_id = d.doc_id),
+{b.terms_sql('p', 'id', 'd')}
+SELECT index, count(*) AS df, (SELECT count(DISTINCT id) FROM p) AS n FROM p GROUP BY index""",
+)
+def stored_statistics(spark, sf_dir):
+    """Term counts that follow the upserts: texts are replaced by others, and replaced again by the same."""
+    table = PointTable(spark, scratch_path(spark, "statistics"), CollectionSpec(**{**DOC_SPEC.__dict__, "sparse_modifier": "idf"}))
+    table.ensure()
+    docs = b.texts(spark, sf_dir).select("id", "text")
+    table.load(docs)
+    labels = b.table(spark, sf_dir, "labels").select(b.text_id("doc_id").alias("id"), "quality")
+    changed = docs.join(labels, "id").select(
+        "id", F.when(F.col("quality") == 0, "gone").when(F.col("quality") == 1, F.concat("text", F.lit(" seen"))).otherwise(F.col("text")).alias("text")
+    )
+    table.upsert(changed)
+    table.upsert(changed)
+    return table.statistics()
+
+
 @query(
     "table_lifecycle",
     "SELECT 'docs_v1' AS name, true AS created, false AS created_again, true AS alias_set, false AS alias_of_own_name, count(*) AS points FROM documents",

@@ -1,30 +1,43 @@
-"""Collections at rest: one Parquet folder per physical collection, partitioned by a hash bucket of the id.
+"""Collections at rest: Parquet folders of points, cut by a hash bucket of the id, and a commit that names them.
 
-Declared payload fields are columns, so filters on them reach the scan; everything else of the payload is one
-JSON object in ``extra``.  An upsert reads and rewrites only the buckets its ids fall into (dynamic
-partition overwrite); everything else stays as it is.  Writing the same batch again gives the same table, so a failed job is simply re-run.
+Declared payload fields are columns, so filters on them reach the scan; everything else of the payload is one JSON object in
+``extra``.  An upsert reads the buckets its ids fall into, writes them anew to a folder of its own, and only then commits: until
+that moment, and if it fails before, readers see the table as it was.  Writing the same batch again gives the same
+table, so a failed job is simply run again.  Folders no commit needs any more go by ``expire``.
+
+A collection whose sparse vectors are weighted by IDF keeps its term counts: each upsert adds what its vectors bring and takes
+off what those they replace had.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from vecloom.functions.vectors import metric_name
 from vecloom.operators.filters import apply_filter
-from vecloom.operators.mutate import last_wins, merge_json
+from vecloom.operators.mutate import last_wins, merge_json, sparse_from_payload
 from vecloom.operators.search import check_limit
+from vecloom.operators.validate import dense_of as named_dense
+from vecloom.operators.validate import split, vector_rules
 from vecloom.session import written
+from vecloom.sources.commits import CommitLog
 from vecloom.spec import CollectionSpec
 
 BUCKET = "bucket"
 EXTRA = "extra"
+# The columns of a batch that hold vectors without a name: every target puts them under its own.
+DENSE, SPARSE = "dense", "sparse"
 SPARSE_TYPE = "struct<indices: array<int>, values: array<double>>"
+# Up to this many ids are looked up as literals, which reach the Bloom filters and statistics of the files.
+LITERAL_IDS = 1000
+# So many folders of term counts are folded into one.
+TERM_FOLDERS = 16
 
 
 def bucket_of(spec: CollectionSpec, key: str = "id"):
@@ -44,14 +57,12 @@ class PointTable:
     def __init__(self, spark: SparkSession, root: str, spec: CollectionSpec):
         self.spark = spark
         self.spec = spec
-        self.path = f"{root.rstrip('/')}/{spec.name}"
+        self.root = root.rstrip("/")
+        self.path = f"{self.root}/{spec.name}"
+        self.commits = CommitLog(spark, f"{self.path}/_commits")
 
     def exists(self) -> bool:
-        try:
-            self.spark.read.parquet(self.path).schema
-        except AnalysisException:
-            return False
-        return True
+        return self.commits.newest() is not None
 
     def ensure(self) -> bool:
         """Create the table with its declared shape if it is missing; True if it was created."""
@@ -59,92 +70,263 @@ class PointTable:
         self.spec.idf
         if self.exists():
             return False
-        empty = self.spark.createDataFrame([], schema_of(self.spec))
-        # An empty partitioned write leaves no file, so the shape goes into a bucket no id hashes to.
-        empty.drop(BUCKET).write.mode("errorifexists").parquet(f"{self.path}/{BUCKET}=-1")
+        shape = {
+            "vector_name": self.spec.vector_name, "vector_size": self.spec.vector_size, "distance": self.spec.distance,
+            "sparse_vector_name": self.spec.sparse_vector_name, "sparse_modifier": self.spec.sparse_modifier, "buckets": self.spec.buckets,
+        }
+        self.commits.put({"shape": shape, "buckets": {}, "terms": []}, None)
         return True
 
+    def shape(self) -> dict:
+        """The shape the table was created with."""
+        return self._commit()[1]["shape"]
+
+    def _commit(self) -> tuple[int, dict]:
+        found = self.commits.newest()
+        if found is None:
+            raise FileNotFoundError(f"table {self.spec.name} does not exist")
+        return found
+
+    # --- reading ----------------------------------------------------------------------------------------
+
     def read(self) -> DataFrame:
-        return self._read().drop(BUCKET)
+        return self._read(self._commit()[1]).drop(BUCKET)
 
-    def _read(self) -> DataFrame:
+    def _read(self, commit: dict, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The points of a commit, or of some of its buckets: other buckets' folders are not even listed."""
+        held = commit["buckets"]
+        wanted = held if buckets is None else [str(bucket) for bucket in buckets if str(bucket) in held]
+        paths = [f"{self.path}/data/v={held[bucket]}/{BUCKET}={bucket}" for bucket in wanted]
         # The declared schema is given, not inferred: no file is opened to plan a query.
-        return self.spark.read.schema(schema_of(self.spec)).parquet(self.path)
+        schema = schema_of(self.spec)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        found = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths)
+        return found.select(*schema.names)
 
-    def upsert(self, batch: DataFrame, ordinal: str | None = None) -> int:
-        """Put the rows of the batch in place of those with the same id; returns the rows written.
+    def retrieve(self, ids: DataFrame, *, with_payload: bool = True, with_vectors: bool = False) -> DataFrame:
+        """Points with the given ids; unknown ids are silently absent.
 
-        The batch is written down first: it is read more than once, and may come from a model.
+        Ids tell their buckets, and only those are read.  A few ids go along as literals, so that files and row groups that
+        cannot hold them are skipped by their Bloom filters and id ranges; more ids are joined.
         """
-        return self._merge(written(self._numbered(last_wins(batch, ordinal) if ordinal else batch), "batch"))
+        wanted = written(ids.select(F.col("id").cast("string").alias("id")).distinct().withColumn(BUCKET, bucket_of(self.spec)), "wanted")
+        few = wanted.limit(LITERAL_IDS + 1).collect()
+        commit = self._commit()[1]
+        if len(few) <= LITERAL_IDS:
+            rows = self._read(commit, sorted({row[BUCKET] for row in few if row["id"] is not None}))
+            found = rows.filter(F.col("id").isin([row["id"] for row in few if row["id"] is not None]))
+        else:
+            buckets = [row[BUCKET] for row in wanted.select(BUCKET).distinct().collect()]
+            found = self._read(commit, buckets).join(wanted.select("id"), "id", "left_semi")
+        vectors = [self.spec.dense_column, *([self.spec.sparse_column] if self.spec.sparse_column else [])]
+        return project(found.drop(BUCKET), vectors, with_payload, with_vectors)
+
+    # --- writing ----------------------------------------------------------------------------------------
+
+    def upsert(self, batch: DataFrame, ordinal: str | None = None, *, vectors: Sequence[str] | None = None) -> int:
+        """Put the rows of the batch in place of those with the same id; returns the number of distinct ids.
+
+        Of rows with one id the one with the highest ``ordinal`` counts, without one the last in the batch's own order.  The batch
+        is written down first: it is read more than once, and may come from a model.
+        """
+        return self._merge(fixed_batch(batch, [self], ordinal), vectors)
 
     def load(self, points: DataFrame) -> None:
         """First load of an empty table, straight from the source; ids must be unique."""
-        if not self._read().isEmpty():
+        number, commit = self._commit()
+        if commit["buckets"]:
             raise ValueError(f"table {self.spec.name} is not empty")
-        self._save(self._placed(self._numbered(points)).drop("_file"))
-
-    def _merge(self, new: DataFrame) -> int:
-        # At most ``spec.buckets`` numbers; as constants they prune the scan to these partitions.
+        fixed = self._numbered(_with_terms(points, [self]), None)
+        folder = self._folder(number)
+        self._save(self._placed(fixed).drop("_file"), folder)
+        done = self.spark.read.schema(schema_of(self.spec)).parquet(f"{self.path}/data/v={folder}")
+        buckets = {str(row[BUCKET]): folder for row in done.select(BUCKET).distinct().collect()}
+        terms = self._save_terms(self._terms(done, 1), commit, folder)
+        self.commits.put({**commit, "buckets": buckets, "terms": terms}, number)
+
+    def _merge(self, batch: DataFrame, vectors: Sequence[str] | None) -> int:
+        number, commit = self._commit()
+        new = self._numbered(batch, vectors)
+        # At most ``spec.buckets`` numbers.
         touched = new.groupBy(BUCKET).agg(F.count("*").alias("n")).collect()
         if touched:
-            old = self._read().filter(F.col(BUCKET).isin([row[BUCKET] for row in touched]))
+            old = self._read(commit, [row[BUCKET] for row in touched])
             both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
             # Shuffled once, by what the files are cut by; the newer row of an id is picked within the task.
             by = W.partitionBy(BUCKET, "_file", "id").orderBy(F.col("_new").desc())
             newest = self._placed(both).withColumn("_n", F.row_number().over(by)).filter("_n = 1")
-            self._save(newest.drop("_n", "_new", "_file"))
+            folder = self._folder(number)
+            self._save(newest.drop("_n", "_new", "_file"), folder)
+            terms = commit["terms"]
+            if self.spec.idf:
+                replaced = old.join(new.select("id"), "id", "left_semi")
+                terms = self._save_terms(self._terms(new, 1).unionByName(self._terms(replaced, -1)), commit, folder)
+            buckets = commit["buckets"] | {str(row[BUCKET]): folder for row in touched}
+            self.commits.put({**commit, "buckets": buckets, "terms": terms}, number)
         return sum(row["n"] for row in touched)
 
+    @staticmethod
+    def _folder(number: int) -> str:
+        # Named apart, so that a writer that fails or comes second never meets another one's files.
+        return f"{number + 1}-{uuid.uuid4().hex[:8]}"
+
     def _placed(self, df: DataFrame) -> DataFrame:
         # A bucket is written by several tasks, so that it may be larger than a task.
         file = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(self.spec.files_per_bucket))
         return df.withColumn("_file", file).repartition(BUCKET, "_file")
 
-    def _numbered(self, df: DataFrame) -> DataFrame:
-        return self._shaped(df).withColumn(BUCKET, bucket_of(self.spec))
+    def _numbered(self, df: DataFrame, vectors: Sequence[str] | None) -> DataFrame:
+        return self._shaped(df, vectors).withColumn(BUCKET, bucket_of(self.spec))
+
+    def dense_of(self, df: DataFrame, vectors: Sequence[str] | None) -> Column:
+        """The dense vector of a batch's row for this table: its own column, else the one without a name."""
+        if vectors:
+            return named_dense(df, self.spec, vectors)
+        found = [F.col(f"`{c}`").cast("array<float>") for c in dict.fromkeys((self.spec.dense_column, DENSE)) if c in df.columns]
+        return F.coalesce(*found) if found else F.lit(None).cast("array<float>")
+
+    def _sparse_of(self, df: DataFrame) -> Column:
+        found = [F.col(f"`{c}`").cast(SPARSE_TYPE) for c in dict.fromkeys((self.spec.sparse_column, SPARSE)) if c in df.columns]
+        return F.coalesce(*found) if found else F.lit(None).cast(SPARSE_TYPE)
 
-    def _shaped(self, df: DataFrame) -> DataFrame:
-        fields = [f for f in schema_of(self.spec) if f.name not in (BUCKET, EXTRA)]
-        named = {f.name for f in fields} | {EXTRA, BUCKET}
-        others = [c for c in df.columns if c not in named]
+    def _shaped(self, df: DataFrame, vectors: Sequence[str] | None = None) -> DataFrame:
+        fields = {f.name: f for f in schema_of(self.spec) if f.name not in (BUCKET, EXTRA)}
+        used = {*fields, EXTRA, BUCKET, DENSE, SPARSE, *(vectors or ())}
+        others = [c for c in df.columns if c not in used]
         extra = F.col(EXTRA) if EXTRA in df.columns else F.lit(None).cast("string")
         if others:
             # Undeclared fields go into the JSON object, over fields of the same name that are there already.
             packed = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]))
             packed = F.when(packed != "{}", packed)
             extra = merge_json(extra, packed) if EXTRA in df.columns else packed
-        return df.select(
-            *[
-                (F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in fields
-            ],
-            extra.alias(EXTRA),
-        )
-
-    def _save(self, df: DataFrame) -> None:
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BUCKET)
-            .parquet(self.path)
-        )
+
+        def value(name: str) -> Column:
+            if name == self.spec.dense_column:
+                return self.dense_of(df, vectors)
+            if name == self.spec.sparse_column:
+                return self._sparse_of(df)
+            return F.col(f"`{name}`") if name in df.columns else F.lit(None)
+
+        return df.select(*[value(f.name).cast(f.dataType).alias(f.name) for f in fields.values()], extra.alias(EXTRA))
+
+    def _save(self, df: DataFrame, folder: str) -> None:
+        # In the order of the ids, so that a file's row groups have id ranges that tell them apart.
+        writer = df.sortWithinPartitions(BUCKET, "id").write.partitionBy(BUCKET)
+        writer = writer.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer.parquet(f"{self.path}/data/v={folder}")
+
+    # --- term counts ------------------------------------------------------------------------------------
+
+    def _terms(self, points: DataFrame, sign: int) -> DataFrame:
+        """``index, df``: how many of the points have a term; -1 stands for having any."""
+        indices = F.col(f"`{self.spec.sparse_column}`.indices") if self.spec.sparse_column else F.array().cast("array<int>")
+        marks = F.when(F.size(indices) > 0, F.concat(F.array(F.lit(-1)), indices))
+        each = points.select(F.explode(marks).alias("index"))
+        return each.groupBy("index").agg((F.count("*") * sign).alias("df"))
+
+    def _save_terms(self, delta: DataFrame, commit: dict, folder: str) -> list[str]:
+        if not self.spec.idf:
+            return commit["terms"]
+        fold = len(commit["terms"]) + 1 >= TERM_FOLDERS
+        if fold:
+            delta = delta.unionByName(self._stored_terms(commit))
+        delta.groupBy("index").agg(F.sum("df").alias("df")).filter("df <> 0").write.parquet(f"{self.path}/terms/{folder}")
+        return [folder] if fold else [*commit["terms"], folder]
+
+    def _stored_terms(self, commit: dict) -> DataFrame:
+        paths = [f"{self.path}/terms/{folder}" for folder in commit["terms"]]
+        schema = "index int, df bigint"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def statistics(self) -> DataFrame:
+        """``(index, df, n)`` as ``term_statistics`` counts them, from the stored counts."""
+        if not self.spec.idf:
+            raise ValueError(f"collection {self.spec.name} keeps no term counts")
+        counts = self._stored_terms(self._commit()[1]).groupBy("index").agg(F.sum("df").alias("df")).filter("df <> 0")
+        counts = written(counts, "terms")
+        total = counts.filter("index = -1").head()
+        return counts.filter("index >= 0").withColumn("n", F.lit(total["df"] if total else 0).cast("bigint"))
+
+    # --- upkeep -----------------------------------------------------------------------------------------
+
+    def expire(self) -> int:
+        """Delete what the newest commit does not need; returns the number of folders.  Readers of older commits lose their files."""
+        number, commit = self._commit()
+        needed = {f"v={folder}" for folder in commit["buckets"].values()}
+        gone = [f"{self.path}/data/{name}" for name in self.commits.folders(f"{self.path}/data") if name not in needed]
+        # A folder may still serve some buckets only.
+        for name in self.commits.folders(f"{self.path}/data"):
+            if name in needed:
+                buckets = {f"{BUCKET}={b}" for b, folder in commit["buckets"].items() if f"v={folder}" == name}
+                at = f"{self.path}/data/{name}"
+                gone += [f"{at}/{b}" for b in self.commits.folders(at) if b.startswith(f"{BUCKET}=") and b not in buckets]
+        gone += [f"{self.path}/terms/{name}" for name in self.commits.folders(f"{self.path}/terms") if name not in commit["terms"]]
+        gone += [f"{self.commits.path}/{old:010d}.json" for old in self.commits.numbers() if old < number]
+        for path in gone:
+            self.commits.delete(path)
+        return len(gone)
 
     def repoint(self, alias: str, tables: Sequence[str] = ()) -> bool:
-        """Make ``alias`` read this table; skipped if it is this table's name or that of another collection."""
+        """Make ``alias`` stand for this table, here and for other sessions (see ``resolve_alias``); skipped if it is this table's
+        name or that of another collection."""
         if alias == self.spec.name or alias in tables:
             return False
+        log = CommitLog(self.spark, f"{self.root}/_aliases/{alias}")
+        before = log.newest()
+        if before is None or before[1]["table"] != self.spec.name:
+            log.put({"table": self.spec.name}, before[0] if before else None)
         self.read().createOrReplaceTempView(alias)
         return True
 
 
-def write_all(batch: DataFrame, targets: Sequence[PointTable], ordinal: str | None = None) -> dict[str, int]:
+def resolve_alias(spark: SparkSession, root: str, alias: str) -> str | None:
+    """The table an alias stands for; None if it was never set."""
+    found = CommitLog(spark, f"{root.rstrip('/')}/_aliases/{alias}").newest()
+    return found[1]["table"] if found else None
+
+
+def _with_terms(batch: DataFrame, targets: Sequence[PointTable]) -> DataFrame:
+    """Fill missing sparse vectors from the payload's ``text`` if a target has such vectors; they are the same for all."""
+    if not any(t.spec.sparse_column for t in targets) or "text" not in batch.columns:
+        return batch
+    own = {t.spec.sparse_column for t in targets if t.spec.sparse_column} & set(batch.columns)
+    return batch if own - {SPARSE} else sparse_from_payload(batch, SPARSE)
+
+
+def fixed_batch(batch: DataFrame, targets: Sequence[PointTable], ordinal: str | None) -> DataFrame:
+    """The batch with one row per id, written down: its ids and vectors are the same for all targets."""
+    if ordinal is None:
+        # The order the rows come in.
+        batch, ordinal = batch.withColumn("_order", F.monotonically_increasing_id()), "_order"
+    return written(_with_terms(last_wins(batch, ordinal), targets), "batch")
+
+
+def write_all(
+    batch: DataFrame, targets: Sequence[PointTable], ordinal: str | None = None, *, vectors: Sequence[str] | None = None
+) -> dict[str, int]:
     """Write the same rows to every target, one after the other; rows written per target.
 
-    The batch is materialised once: its ids and vectors are the same for all.
+    The batch is materialised once.  A dense vector without a name (column ``dense``) goes under each target's own name; ``vectors`` names
+    the columns of a batch whose vectors have names.
+    """
+    fixed = fixed_batch(batch, targets, ordinal)
+    return {target.spec.name: target._merge(fixed, vectors) for target in targets}
+
+
+def write_checked(
+    batch: DataFrame, targets: Sequence[PointTable], ordinal: str | None = None, *, vectors: Sequence[str] | None = None
+) -> tuple[dict[str, int], DataFrame]:
+    """Like ``write_all`` for the rows in which every target finds a dense vector of its size; ``(rows written, rejected)``.
+
+    A row that one target cannot take is written to none.  Rejected rows keep their columns and have a ``reason``.  Of rows with one id
+    the last one is checked.
     """
-    fixed = written(last_wins(batch, ordinal) if ordinal else batch, "batch")
-    return {target.spec.name: target._merge(target._numbered(fixed)) for target in targets}
+    fixed = fixed_batch(batch, targets, ordinal)
+    rules = [rule for t in targets for rule in vector_rules(t.spec, t.dense_of(fixed, vectors))]
+    valid, rejected = split(fixed, rules)
+    valid = written(valid, "batch")
+    return {target.spec.name: target._merge(valid, vectors) for target in targets}, rejected
 
 
 def spread(scan: DataFrame) -> DataFrame:
