@@ -123,7 +123,7 @@ def measure(docs: DataFrame, *, keep: Sequence[str], text: str = "text", least_w
 
     Null and empty texts have no words and fail; repeated rows stay.  A kept column must not be named like a new one.
     """
-    clash = set(keep) & {*STATISTICS, "base_failed", "kept", "failed_rules"}
+    clash = set(keep) & {*STATISTICS, "base_failed", "kept", "failed_rules", "_stratum", "_cutoffs"}
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be lost: rename them")
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")
