@@ -62,6 +62,17 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence, columns: S
     return _with_summary(local, carried, keys).select(*[filled.get(c, F.col(c)) for c in df.columns])
 
 
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence, column: str, name: str) -> DataFrame:
+    """Add ``name``: the largest ``column`` of the earlier rows of the same key; null for the first, and while all are null."""
+    chunks = ordered_chunks(df, keys, order)
+    before = W.partitionBy(*keys, CHUNK).orderBy(POSITION).rowsBetween(W.unboundedPreceding, -1)
+    local = chunks.withColumn("_local", F.max(column).over(before))
+    ends = chunks.groupBy(*keys, CHUNK).agg(F.max(column).alias("_max"))
+    earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*keys, CHUNK, F.max("_max").over(earlier).alias("_carried"))
+    return _with_summary(local, carried, keys).select(*df.columns, F.greatest("_local", "_carried").alias(name))
+
+
 def _with_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join rows to their (key, chunk) summary; keys may be null, so compare null-safe."""
     renamed = summary.select(

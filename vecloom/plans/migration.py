@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.text import sparse_terms
 from vecloom.operators import migration as m
+from vecloom.operators import resume
+from vecloom.operators.digests import compare_tables
 from vecloom.operators import queue as mq
 from vecloom.operators.audit import collection_stats
 from vecloom.operators.embed import HashEmbedder, embed_texts
@@ -279,6 +281,94 @@ def backfill_verify(spark, sf_dir):
     return m.verify_backfill(source, copied.unionByName(pages), "source", ["text", "lang"])
 
 
+VERIFY_SQL = """t AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'xx' ELSE lang END AS lang, text, source FROM documents JOIN labels USING (doc_id)
+  UNION ALL SELECT page_id + 1000000000, 'en', url, 'web' FROM pages)"""
+
+
+def _compared(spark, sf_dir):
+    """The same source and target as ``backfill_verify``, with ranges small enough that most of them agree."""
+    source = b.texts(spark, sf_dir).select("id", "text", "lang", "source")
+    labels = b.table(spark, sf_dir, "labels").select(b.text_id("doc_id").alias("id"), "toxic")
+    copied = source.join(labels, "id").withColumn("lang", F.when(F.col("toxic") == 1, "xx").otherwise(F.col("lang"))).drop("toxic")
+    pages = b.table(spark, sf_dir, "pages").select(
+        (F.col("page_id") + 1_000_000_000).cast("string").alias("id"), F.col("url").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source")
+    )
+    return compare_tables(source, copied.unionByName(pages), "source", ["text", "lang"])
+
+
+@query(
+    "digest_verify",
+    f"""WITH {VERIFY_SQL}
+SELECT coalesce(s.source, t.source) AS source, count(s.doc_id) AS source_count, count(t.doc_id) AS target_count, count(*) FILTER (WHERE t.doc_id IS NULL) AS missing,
+  count(*) FILTER (WHERE s.doc_id IS NULL) AS extra, count(*) FILTER (WHERE s.lang <> t.lang) AS differing,
+  CASE WHEN count(*) FILTER (WHERE t.doc_id IS NULL OR s.doc_id IS NULL OR s.lang <> t.lang) = 0 THEN 'ok' ELSE 'mismatch' END AS result
+FROM documents s FULL OUTER JOIN t ON t.doc_id = s.doc_id GROUP BY 1""",
+)
+def digest_verify(spark, sf_dir):
+    return _compared(spark, sf_dir).report
+
+
+@query(
+    "digest_differences",
+    f"""WITH {VERIFY_SQL}
+SELECT CAST(coalesce(s.doc_id, t.doc_id) AS VARCHAR) AS id, coalesce(s.source, t.source) AS source,
+  CASE WHEN t.doc_id IS NULL THEN 'missing' WHEN s.doc_id IS NULL THEN 'extra' ELSE 'differing' END AS kind,
+  s.lang AS source_lang, t.lang AS target_lang, s.text AS source_text, t.text AS target_text
+FROM documents s FULL OUTER JOIN t ON t.doc_id = s.doc_id WHERE t.doc_id IS NULL OR s.doc_id IS NULL OR s.lang <> t.lang""",
+)
+def digest_differences(spark, sf_dir):
+    """Every row that differs, with both values."""
+    found = _compared(spark, sf_dir).differences
+    return found.select(
+        "id", F.col("partition").alias("source"), "kind", F.col("source.lang").alias("source_lang"), F.col("target.lang").alias("target_lang"),
+        F.col("source.text").alias("source_text"), F.col("target.text").alias("target_text"),
+    )
+
+
+def _slices(spark, sf_dir):
+    """Orders are slices of their customer's collection: ids between the order's key and a length that its price gives."""
+    start = F.col("o_orderkey") % 5000
+    end = start + 1 + (F.col("o_totalprice") % 900).cast("bigint")
+    return b.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("u"), (F.col("o_custkey") % 20).cast("string")).alias("logical_name"),
+        F.when(start >= 40, F.lpad(start.cast("string"), 6, "0")).alias("after_id"), F.lpad(end.cast("string"), 6, "0").alias("last_id"),
+    )
+
+
+SLICES_SQL = """
+sl AS (
+  SELECT 'u' || (o_custkey % 20) AS logical_name, CASE WHEN o_orderkey % 5000 >= 40 THEN lpad((o_orderkey % 5000)::VARCHAR, 6, '0') END AS after_id,
+    lpad((o_orderkey % 5000 + 1 + floor(o_totalprice % 900)::BIGINT)::VARCHAR, 6, '0') AS last_id FROM orders
+),
+reach AS (
+  SELECT *, max(last_id) OVER (PARTITION BY logical_name ORDER BY after_id NULLS FIRST, last_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM sl
+),
+open_ranges AS (
+  SELECT logical_name, reached AS after_id, after_id AS until_id FROM reach WHERE after_id IS NOT NULL AND coalesce(after_id > reached, true)
+  UNION ALL SELECT logical_name, max(last_id), NULL FROM sl GROUP BY logical_name
+)"""
+
+
+@query("open_ranges", f"WITH {SLICES_SQL} SELECT * FROM open_ranges")
+def open_ranges_of_slices(spark, sf_dir):
+    """What slices that ended in any order have left open."""
+    return resume.open_ranges(_slices(spark, sf_dir))
+
+
+@query(
+    "resume_open_rows",
+    f"""WITH {SLICES_SQL}, rows AS (SELECT event_id, 'u' || (user_id % 25) AS logical_name, lpad((event_id % 7000)::VARCHAR, 6, '0') AS id FROM events)
+SELECT event_id, logical_name, id FROM rows r WHERE logical_name NOT IN (SELECT logical_name FROM open_ranges)
+  OR EXISTS (SELECT 1 FROM open_ranges o WHERE o.logical_name = r.logical_name AND (after_id IS NULL OR r.id > after_id) AND (until_id IS NULL OR r.id <= until_id))""",
+)
+def resume_open_rows(spark, sf_dir):
+    """Rows no finished slice covers; some collections have no slice at all."""
+    rows = b.table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("u"), (F.col("user_id") % 25).cast("string")).alias("logical_name"), F.lpad((F.col("event_id") % 7000).cast("string"), 6, "0").alias("id")
+    )
+    return resume.open_rows(rows, resume.open_ranges(_slices(spark, sf_dir)), F.col("logical_name"))
+
+
 @query(
     "resume_after_checkpoint",
     f"""WITH {b.EVENTS_SQL}, cp AS (SELECT logical_name, json_extract_string(metadata, '$.checkpoint.last_id') AS last_id FROM ev

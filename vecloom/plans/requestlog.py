@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vecloom.operators import requestlog as r
+from vecloom.operators.packing import packed_batches
 from vecloom.plans import bindings as b
 from vecloom.plans.registry import query
 from vecloom.spec import QueueSpec, RoutingRule
@@ -103,6 +104,36 @@ def bounded_batches(spark, sf_dir):
     return batched(spark, sf_dir).select("request_id", *BATCH_KEY, "batch_no")
 
 
+PACK_KEY = [*BATCH_KEY, "model", "device"]
+PACKED_SQL = f"""{ROUTED_SQL}, pq AS (
+  SELECT request_id, queue, service_priority, operation_priority, 'm' || (user_id % 2) AS model, CASE WHEN value > 40 THEN 'gpu' ELSE 'cpu' END AS device,
+    greatest(n_texts, 1) AS n, CASE queue WHEN 'realtime' THEN 8 WHEN 'interactive' THEN 32 ELSE 128 END AS top, enqueued_at FROM routed WHERE queue IS NOT NULL),
+line AS (
+  SELECT *, dense_rank() OVER (ORDER BY queue, service_priority, operation_priority, model, device) AS k,
+    row_number() OVER (PARTITION BY queue, service_priority, operation_priority, model, device ORDER BY enqueued_at, request_id) AS i FROM pq),
+walk AS (
+  SELECT k, i, n AS total, 0::BIGINT AS batch_no FROM line WHERE i = 1
+  UNION ALL
+  SELECT l.k, l.i, CASE WHEN w.total >= top OR w.total + n > top THEN n ELSE w.total + n END,
+    CASE WHEN w.total >= top OR w.total + n > top THEN batch_no + 1 ELSE batch_no END
+  FROM walk w JOIN line l ON l.k = w.k AND l.i = w.i + 1)"""
+
+
+@query(
+    "packed_batches",
+    f"WITH RECURSIVE {PACKED_SQL} SELECT request_id, queue, service_priority, operation_priority, model, device, n AS texts, batch_no FROM walk JOIN line USING (k, i)",
+)
+def packed(spark, sf_dir):
+    """Requests of several texts: each joins the open batch of its queue, priorities, model and device if it fits."""
+    size = F.when(F.col("queue") == "realtime", 8).when(F.col("queue") == "interactive", 32).otherwise(128)
+    waiting = routed(spark, sf_dir).filter("queue is not null").select(
+        "request_id", *BATCH_KEY, F.concat(F.lit("m"), (F.col("user_id") % 2).cast("string")).alias("model"),
+        F.when(F.col("value") > 40, "gpu").otherwise("cpu").alias("device"), F.greatest("n_texts", F.lit(1).cast("bigint")).alias("texts"), "enqueued_at",
+    )
+    found = packed_batches(waiting, PACK_KEY, ["enqueued_at", "request_id"], "texts", size)
+    return found.select("request_id", *PACK_KEY, "texts", "batch_no")
+
+
 @query(
     "batch_metrics",
     f"WITH {BATCHES_SQL} SELECT queue, count(*) AS batches, sum(n)::BIGINT AS items FROM"
