@@ -61,7 +61,7 @@ def compare_tables(
     """What a backfill left behind.  ``report`` has the columns of ``verify_backfill``, for keys that are unique on each side.
 
     ``differences``: ``key, partition, kind`` (missing, extra, differing) and the compared columns of both sides as ``source`` and ``target``.  Rows that
-    moved to another partition value count as differing.
+    moved to another partition value count as differing, under that of the source unless it is null.
     """
     ours, theirs = _placed(source, key, ranges, parts), _placed(target, key, ranges, parts)
     coarse = [written(digests(df, ["_range"], partition_key, columns, key), "digests") for df in (ours, theirs)]
@@ -82,7 +82,7 @@ def compare_tables(
     both = _slim(touched[0], partition_key, columns, key, "s").join(_slim(touched[1], partition_key, columns, key, "t"), "_key", "full_outer")
     in_s, in_t = F.col("_in_s").isNotNull(), F.col("_in_t").isNotNull()
     counted = both.select(
-        F.when(in_s, F.col("_p_s")).otherwise(F.col("_p_t")).alias("_p"), in_s.cast("bigint").alias("s"), in_t.cast("bigint").alias("t"),
+        F.coalesce("_p_s", "_p_t").alias("_p"), in_s.cast("bigint").alias("s"), in_t.cast("bigint").alias("t"),
         (in_s & ~in_t).cast("bigint").alias("missing"), (in_t & ~in_s).cast("bigint").alias("extra"),
         F.coalesce(F.col("_h_s") != F.col("_h_t"), F.lit(False)).cast("bigint").alias("differing"),
     )
@@ -113,5 +113,5 @@ def _rows(ours: DataFrame, theirs: DataFrame, partition_key: str, columns: Seque
     in_s, in_t = F.col("_in_s").isNotNull(), F.col("_in_t").isNotNull()
     kind = F.when(~in_t, "missing").when(~in_s, "extra").when(F.col("_h_s") != F.col("_h_t"), "differing")
     found = both.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    part = F.when(in_s, F.col("_p_s")).otherwise(F.col("_p_t"))
+    part = F.coalesce("_p_s", "_p_t")
     return found.select(F.col("_key").alias(key), part.alias("partition"), "kind", F.col("_v_s").alias("source"), F.col("_v_t").alias("target"))
