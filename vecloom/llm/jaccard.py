@@ -3,17 +3,19 @@
 Documents are sets of word shingles.  Equal sets are one *class*.  The join finds every pair of classes whose Jaccard
 similarity reaches the threshold, as far as it is needed to know which documents hang together:
 
-1. Tokens (shingle hashes) get one global order: tokens that a fixed-size count sketch of the whole corpus shows as
-   common come last, the rest is ordered by hash.  Only the first tokens of each set, its *prefix*, take part in the
+1. Tokens (shingle hashes) get one global order: the most common ones, counted exactly over the whole corpus, come
+   last, the more so the more common they are; the rest is ordered by hash.  Only the first tokens of each set, its *prefix*, take part in the
    search.  A set of n tokens has a prefix of n - ceil(threshold * n) + shared(n); two sets over the threshold share
    at least as many prefix tokens as ``shared`` says for the smaller one.  Any order gives the same links; a good one gives fewer candidates.
-2. Similar classes are put into groups: in a few turns each class is compared, exactly, with those next to it in the
-   lists of its tokens, and what links is one group.
-3. The token-group matrix has one row for each token and group whose union holds it, whatever the number of members.
+2. In a few turns each class is compared, exactly, with those next to it in the lists of its tokens, and what links is
+   one *cluster*, whose members need not be compared with each other any more.
+3. Similar clusters, linked or not, are put into a *group*: those whose most widely held token is the same.  The token-group matrix
+   has one row for each token and group whose union holds it, whatever the number of clusters and members.
    A class's overlap with a group's union is at most the tokens counted in the matrix plus those after its prefix; only
-   groups whose bound reaches the needed overlap are opened, and their members' whole sets compared block by block.
+   groups whose bound reaches the needed overlap are opened, and their members' whole sets compared, block by block.
 
-Thousands of near copies are one group, so they never meet pair by pair; links between different groups are all found.
+Thousands of near copies are one cluster, and thousands of texts about a common passage one group, so they never meet as pairs of
+rows; links between different clusters are all found.
 """
 
 from __future__ import annotations
@@ -35,8 +37,16 @@ PERCENT = 80
 # shorter prefixes, more leave fewer candidates.
 SHARED_OF = 20
 SHARED = 3
-# Cells of the count sketch; it only orders tokens, so its size never changes a result.
-SKETCH_BITS = 17
+# Tokens seen so often are common, and so many of the commonest are sent around (9 bytes each).  They only order tokens, so
+# neither changes a result.
+COMMON = 8
+COMMON_TOKENS = 1 << 20
+# Tokens are counted by 40 bits of their hash, in parts of about so many.
+COUNT_BITS = 40
+PART_TOKENS = 1 << 22
+PARTS = (1 << 8, 1 << 16)
+# Groups are met by their tokens under so many salts, so that a large group is not one task's work.
+SALTS = 32
 # Texts that are needed again are first thinned out by this many hash values, at most so many are broadcast.
 SIEVE = 1 << 18
 # Tokens in a block of an opened group.
@@ -75,11 +85,35 @@ def _shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _ordered(hashes: np.ndarray, levels: np.ndarray | None) -> np.ndarray:
-    """Token ids, sorted as numbers in the global order: level of the sketch's cell, then hash."""
+class Commonness:
+    """Levels of the common tokens: 0 for all others, more for each doubling of their count."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys = keys[order].astype(np.uint64)
+        self.levels = np.clip(np.log2(np.maximum(counts[order], 1)).astype(np.int64) - 2, 1, 62).astype(np.uint8)
+        # Most tokens are told apart from common ones by a few bits.
+        self.mask = np.uint64((1 << 22) - 1)
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.keys & self.mask).astype(np.int64)] = True
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), np.uint8)
+        if not len(self.keys):
+            return out
+        key = hashes >> np.uint64(64 - COUNT_BITS)
+        some = np.flatnonzero(self.seen[(key & self.mask).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+        hit = self.keys[at] == key[some]
+        out[some[hit]] = self.levels[at[hit]]
+        return out
+
+
+def _ordered(hashes: np.ndarray, common: Commonness | None) -> np.ndarray:
+    """Token ids, sorted as numbers in the global order: level, then hash."""
     tokens = hashes >> np.uint64(6)
-    if levels is not None:
-        tokens |= levels[(hashes & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
+    if common is not None:
+        tokens |= common.of(hashes).astype(np.uint64) << np.uint64(58)
     return tokens
 
 
@@ -87,40 +121,68 @@ def _prefix_length(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + max(SHARED, n // SHARED_OF))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    size = 1 << SKETCH_BITS
-    counts = np.zeros(size, np.int64)
+def _token_parts(batches: Iterator[pa.RecordBatch], words: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """All tokens of a task's texts, packed: of each token the bits that its part does not tell."""
+    bits = parts.bit_length() - 1
+    waiting, held = [], 0
+
+    def packed() -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(waiting) >> np.uint64(64 - COUNT_BITS))
+        part = (keys >> np.uint64(COUNT_BITS - bits)).astype(np.int64)
+        rest = (keys & np.uint64((1 << (COUNT_BITS - bits)) - 1)).astype(np.uint32)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        blobs = [rest[start:end].tobytes() for start, end in zip(cuts, [*cuts[1:], len(rest)])]
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "tokens"])
+
     with np.errstate(over="ignore"):
         for batch in batches:
             for piece in slices(batch):
                 hashes, _ = _shingles(piece.column("text"), words)
-                counts += np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
-    cells = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(counts[cells], pa.int64())], ["cell", "n"])
-
-
-def sketch_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """How common the tokens of each cell are: 0 for the usual, one more for each doubling.  A fixed 131,072 numbers."""
-    rows = (
-        docs.select("text")
-        .mapInArrow(lambda batches: _sketch(batches, words), "cell int, n long")
-        .groupBy("cell")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-    )
-    counts = np.zeros(1 << SKETCH_BITS)
-    counts[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    usual = max(counts.mean(), 1.0)
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual)), 0, 31).astype(np.uint8)
+                waiting.append(hashes)
+                held += len(hashes)
+                if held >= PART_TOKENS:
+                    yield packed()
+                    waiting, held = [], 0
+    if held:
+        yield packed()
+
+
+def _common_of_part(table: pa.Table, parts: int) -> pa.Table:
+    tokens = np.concatenate([np.frombuffer(blob.as_buffer(), np.uint32) for blob in table.column("tokens")])
+    found, counts = np.unique(tokens, return_counts=True)
+    often = counts >= COMMON
+    keys = found[often].astype(np.int64) | (table.column("part")[0].as_py() << (COUNT_BITS - parts.bit_length() + 1))
+    return pa.table({"token": pa.array(keys, pa.int64()), "n": pa.array(counts[often].astype(np.int64), pa.int64())})
+
+
+def common_tokens(docs: DataFrame, words: int = WORDS) -> Commonness:
+    """The commonest tokens of all texts.  Counts are exact up to equal 40-bit hashes; at most ``COMMON_TOKENS`` reach the driver."""
+    letters = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    # A word has some six bytes.  A power of two, so that a part is the first bits of its tokens.
+    parts = min(max(PARTS[0], 1 << (letters // 6 // PART_TOKENS).bit_length()), PARTS[1])
+    packed = docs.select("text").mapInArrow(lambda batches: _token_parts(batches, words, parts), "part int, tokens binary")
+    counts = packed.groupBy("part").applyInArrow(lambda table: _common_of_part(table, parts), "token long, n long")
+    counts = written(counts, "jaccard-common")
+    # Quarters of a doubling, commonest first: as many as there is room for.
+    size = F.floor(4 * F.log2("n"))
+    least, room = 1 << 30, COMMON_TOKENS
+    for row in counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.col("size").desc()).collect():
+        room -= row["n"]
+        if room < 0:
+            break
+        least = row["size"]
+    found = counts.where(size >= least).toArrow()
+    discard(counts)
+    return Commonness(found.column("token").to_numpy().astype(np.uint64), found.column("n").to_numpy())
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, percent: int, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int, percent: int, common: Commonness) -> Iterator[pa.RecordBatch]:
     sent: set[int] = set()
     with np.errstate(over="ignore"):
         for batch in batches:
             for piece in slices(batch):
                 hashes, at = _shingles(piece.column("text"), words)
-                tokens = _ordered(hashes, levels)
+                tokens = _ordered(hashes, common)
                 n, a, b = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.uint64), np.zeros(len(piece), np.uint64)
                 prefixes, ends = [], [0]
                 for row in range(len(piece)):
@@ -176,20 +238,32 @@ def _linked_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _linked_members(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """For a query and a block of a group's members: one of the members that link to it, if there is any."""
+def _linked_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For two blocks of classes: a link between each class of the first and each larger cluster of the second that holds one."""
+
+    def opened(block: pa.StructScalar):
+        rows = block.values
+        sets = rows.field("tokens")
+        ends = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        fields = [rows.field(name).to_numpy() for name in ("class", "size", "cluster")]
+        return sets.flatten().to_numpy(), ends, *fields
+
     for batch in batches:
         found: tuple[list, list] = ([], [])
         for row in range(len(batch)):
-            block = batch.column("block")[row].values
-            sets = block.field("tokens")
-            ends = sets.offsets.to_numpy() - sets.offsets[0].as_py()
-            own = batch.column("tokens")[row].values.to_numpy()
-            hits = np.concatenate([[0], np.cumsum(np.isin(sets.flatten().to_numpy(), own, kind="sort"))])
-            links = np.flatnonzero(_enough(hits[ends[1:]] - hits[ends[:-1]], np.diff(ends), len(own), percent))
-            if len(links):
-                found[0].append(block.field("class")[int(links[0])].as_py())
-                found[1].append(batch.column("b")[row].as_py())
+            asked, a_ends, a_class, a_size, a_cluster = opened(batch.column("asked")[row])
+            held, h_ends, h_class, h_size, h_cluster = opened(batch.column("block")[row])
+            for q in range(len(a_class)):
+                larger = (h_size > a_size[q]) | ((h_size == a_size[q]) & (h_cluster > a_cluster[q]))
+                if not larger.any():
+                    continue
+                own = asked[a_ends[q] : a_ends[q + 1]]
+                at = np.minimum(np.searchsorted(own, held), len(own) - 1)
+                hits = np.concatenate([[0], np.cumsum(own[at] == held)])
+                links = np.flatnonzero(larger & _enough(hits[h_ends[1:]] - hits[h_ends[:-1]], np.diff(h_ends), len(own), percent))
+                _, first = np.unique(h_cluster[links], return_index=True)
+                found[0].extend(h_class[links[first]].tolist())
+                found[1].extend([int(a_class[q])] * len(first))
         yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
 
@@ -254,42 +328,67 @@ def _neighbours(cells: DataFrame, active: DataFrame, turn: int, percent: int) ->
     return pairs.join(first, "a").join(second, "b").mapInArrow(lambda it: _linked_pairs(it, percent), "a long, b long")
 
 
-def _open_groups(cells: DataFrame, need: DataFrame, groups: DataFrame, active: DataFrame, percent: int) -> DataFrame:
-    """A link between each class and each other group that holds one: the search over the token-group matrix.
+def _of_each(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with the one row of ``table`` that their ``key`` names.  The small rows of the table are there once for each salt, so
+    that the many rows of a large group are dealt over as many tasks."""
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
+def _homes(cells: DataFrame) -> DataFrame:
+    """Which group a cluster is put into: ``cluster, home``, its token that most clusters hold (ties: the larger)."""
+    held = cells.select("token", "cluster").distinct()
+    wide = held.groupBy("token").agg(F.count("*").alias("holders"))
+    return held.join(wide, "token").groupBy("cluster").agg(F.max_by("token", F.struct("holders", "token")).alias("home"))
 
-    The class of the smaller group asks.  A group that is opened comes in blocks of about ``BLOCK_TOKENS`` tokens, so
-    that a query meets blocks, not members.
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Classes with their tokens, gathered by ``home`` in blocks of about ``BLOCK_TOKENS``: ``home, part, parts, name``."""
+    parts = written(rows.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts")), "jaccard-parts")
+    dealt = _of_each(rows, parts, "home", "class").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    return dealt.groupBy("home", "part", "parts").agg(F.collect_list(F.struct("class", "size", "cluster", "tokens")).alias(name))
+
+
+def _open_groups(cells: DataFrame, need: DataFrame, clusters: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """A link between each class and each other cluster that holds one: the search over the token-group matrix.
+
+    Of two clusters the classes of the smaller one ask.  Those that ask for a group and its members both come in blocks of about
+    ``BLOCK_TOKENS`` tokens, so that blocks meet blocks, not classes classes.
     """
-    members = need.select("class", "n").join(groups.select(F.col("node").alias("class"), "root"), "class", "left")
-    members = members.select("class", "n", F.coalesce("root", "class").alias("grp"))
-    sizes = written(
-        members.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.min("n").alias("n_min"), F.max("n").alias("n_max")),
-        "jaccard-sizes",
+    members = need.select("class", "n").join(clusters.select(F.col("node").alias("class"), "root"), "class", "left")
+    members = written(members.select("class", "n", F.coalesce("root", "class").alias("cluster")), "jaccard-members")
+    cells = cells.withColumnRenamed("grp", "cluster")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    sizes = written(_homes(cells).join(sizes, "cluster"), "jaccard-sizes")
+    rank = F.struct("size", "cluster")
+    groups = sizes.groupBy("home").agg(
+        F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max"), F.max(rank).alias("highest")
     )
-    sized = cells.join(sizes.select("grp", F.struct("size", "grp").alias("rank")), "grp")
-    matrix = sized.select("token", "grp", "rank").distinct()
-    queries = sized.select(F.col("class").alias("b"), F.col("n").alias("n_b"), "token", F.col("rank").alias("rank_b"))
+    placed = _of_each(cells, sizes.select("cluster", "home", "size"), "cluster", "token")
+    matrix = placed.select("token", "home").distinct()
+    # A class that asks is not met under its own group's tokens only: its group may hold other clusters.
+    queries = placed.select("class", "n", rank.alias("rank"), "token")
     opened = (
         queries.join(matrix, "token")
-        .where("rank_b < rank")
-        .groupBy("b", "n_b", "grp")
+        .groupBy("class", "n", "rank", "home")
         .agg(F.count("*").alias("hits"))
-        .where(F.col("hits") >= _needed("n_b", percent))
-        .join(sizes, "grp")
-        .where((F.col("n_max") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_min") * percent))
-        .select("b", "grp")
+        .where(F.col("hits") >= _needed("n", percent))
     )
-    opened = written(opened, "jaccard-opened")
-    blocks = (
-        members.join(opened.select("grp").distinct(), "grp", "left_semi")
-        .join(sizes.select("grp", F.ceil(F.col("tokens") / BLOCK_TOKENS).alias("parts")), "grp")
-        .withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
-        .join(active, "class")
-        .groupBy("grp", "part")
-        .agg(F.collect_list(F.struct("class", "tokens")).alias("block"))
+    opened = (
+        _of_each(opened, written(groups, "jaccard-groups"), "home", "class")
+        .where((F.col("highest") > F.col("rank")) & (F.col("n_max") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_min") * percent))
+        .select("class", "n", "home", "rank.size", "rank.cluster")
     )
-    asked = opened.join(active.select(F.col("class").alias("b"), "tokens"), "b")
-    return asked.join(blocks, "grp").select("b", "tokens", "block").mapInArrow(lambda it: _linked_members(it, percent), "a long, b long")
+    opened = written(opened, "jaccard-opened")
+    wanted = opened.select("home").distinct()
+    held = _of_each(members, sizes.select("cluster", "home", "size").join(wanted, "home", "left_semi"), "cluster", "class")
+    blocks = _blocks(held.join(active, "class"), "block").drop("parts")
+    blocks = written(blocks, "jaccard-blocks")
+    lasts = blocks.groupBy("home").agg(F.max("part").alias("last"))
+    asked = _blocks(opened.join(active, "class"), "asked").select("home", "asked").join(lasts, "home")
+    # Every block that asks goes to every block of the group: dealt by both, so that a large group is many tasks.
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return asked.join(blocks, ["home", "part"]).select("asked", "block").mapInArrow(lambda it: _linked_blocks(it, percent), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -303,10 +402,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """
     spark = docs.sparkSession
     small_batches(spark)
-    levels = sketch_levels(docs, words)
+    common = spark.sparkContext.broadcast(common_tokens(docs, words))
     sets = written(
         docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-            lambda it: _sets(it, words, percent, levels),
+            lambda it: _sets(it, words, percent, common.value),
             "doc_id long, text_key long, n_shingles long, class long, check long, prefix array<long>",
         ),
         "jaccard-sets",
@@ -344,7 +443,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             break
         before = max(before, now)
     across = written(_across(cells, groups), "jaccard-cells")
-    opened = _open_groups(across, need, groups, active, percent)
+    opened = written(_open_groups(across, need, groups, active, percent), "jaccard-opened")
     roots = components(links.unionByName(opened))
     discard(active, across, links, held)
 
@@ -358,13 +457,17 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the smallest doc_id (ties: smallest text key).
 
-    Repeated rows leave one.  Rows whose text is null or blank link with nothing and all stay.  Columns stay as they are.
+    Repeated rows leave one.  Rows whose text is null or blank link with nothing and all stay.  Columns stay as they are, whatever
+    their names.
     """
     joined = jaccard_join(docs, words, percent).where("n_shingles > 0")
     # A struct orders nulls first; a row without an id stands for its component only if no row has one.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    kept = joined.groupBy("root").agg(F.min(rank).alias("rank")).select(F.col("rank.doc_id").alias("_id"), F.col("rank.text_key").alias("_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    kept = joined.groupBy("root").agg(F.min(rank).alias("rank")).select(F.col("rank.doc_id").alias("kept_id"), F.col("rank.text_key").alias("kept_key"))
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    stay = keyed.where(~blank).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_text_key"]).unionByName(keyed.where(blank)).drop("_text_key")
+    # The row as a whole is one column, so no name of it can clash.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), blank.alias("blank")
+    )
+    stay = rows.where(~F.col("blank")).join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    return stay.dropDuplicates(["id", "key"]).unionByName(rows.where("blank")).select("row.*")
