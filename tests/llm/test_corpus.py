@@ -350,3 +350,61 @@ def test_empty_tables(spark, empty):
     assert bpe.bpe_encode(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     assert fingerprints.fingerprint_edits(empty).count() == 0
     assert decontaminate.find_leaks(empty, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def family(seed: int, n: int, own: int, common: list[str]) -> list[str]:
+    """Texts that share a passage and are otherwise their own."""
+    draw = random.Random(seed)
+    return [" ".join([*(f"o{seed}x{draw.randrange(10**9)}" for _ in range(own)), *common]) for _ in range(n)]
+
+
+def test_jaccard_common_passage(spark, monkeypatch):
+    """A passage in 2,000 unlinked texts: no step may make a row for each pair of them."""
+    passage = words(77, 60).split()
+    texts = family(1, 2000, 60, passage)
+    # Some of them nearly the same.
+    texts += [t + " tail" for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = {}
+    real = jaccard.written
+
+    def counted(df, label):
+        out = real(df, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_join(docs).collect()}
+    assert all(found[i] == (i if i < 2000 else i - 2000) for i in found)
+    # Tokens, classes and blocks in proportion to the texts; pairs would be two millions.
+    assert max(sizes.values()) < 40 * len(texts), sizes
+
+
+def test_jaccard_unlinked_family(spark):
+    """Texts that are almost only a common passage, some linked and some not, against brute force."""
+    passage = words(78, 150).split()
+    rows = [(i, t) for i, t in enumerate(family(2, 60, 38, passage) + family(3, 40, 30, passage) + family(4, 40, 12, passage))]
+    sets = [shingles(t) for _, t in rows]
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(brute_components([i for i, _ in rows], sets)))
+
+
+@pytest.mark.parametrize("parts", [1 << 8, 1 << 12])
+def test_common_tokens(spark, monkeypatch, parts):
+    monkeypatch.setattr(jaccard, "PARTS", (parts, 1 << 16))
+    passage = words(79, 30)
+    texts = [passage] * 5 + [f"{passage} x{i}" for i in range(7)] + [None, "", "a"] + family(5, 50, 20, [])
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    common = jaccard.common_tokens(docs)
+    assert len(common.keys) == 26 and set(common.levels.tolist()) == {1}
+    monkeypatch.setattr(jaccard, "COMMON_TOKENS", 3)
+    assert len(jaccard.common_tokens(docs).keys) == 0
+    assert len(jaccard.common_tokens(docs.where("false")).keys) == 0
+
+
+def test_one_of_each_keeps_any_column(spark):
+    text = words(80, 40)
+    rows = [(2, text, 1, 2, 3, 4), (1, text, 5, 6, 7, 8), (3, " ", 0, 0, 0, 0), (3, " ", 0, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_key int, _id int, _key int, row int")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted([rows[1], rows[2], rows[3]])

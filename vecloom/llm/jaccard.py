@@ -45,8 +45,8 @@ COMMON_TOKENS = 1 << 20
 COUNT_BITS = 40
 PART_TOKENS = 1 << 22
 PARTS = (1 << 8, 1 << 16)
-# Groups are met by their tokens under so many salts, so that a large group is not one task's work.
-SALTS = 32
+# Groups are met by their rows under so many salts, so that a large group is not one task's work.
+SALTS = 8
 # Texts that are needed again are first thinned out by this many hash values, at most so many are broadcast.
 SIEVE = 1 << 18
 # Tokens in a block of an opened group.
@@ -330,8 +330,8 @@ def _neighbours(cells: DataFrame, active: DataFrame, turn: int, percent: int) ->
 
 def _of_each(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
     """``rows`` with the one row of ``table`` that their ``key`` names.  The small rows of the table are there once for each salt, so
-    that the many rows of a large group are dealt over as many tasks."""
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    that the many rows of a large group are dealt over as many tasks.  The table grows with the input and is never broadcast."""
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
 
 
