@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import text as t
 from vecloom.operators.embed import HashEmbedder, embed_texts, resolve_model_name
-from vecloom.spec import ModelProfile
+from vecloom.spec import Model
 
 
 def tokens_of(text):
@@ -84,7 +84,7 @@ def test_device_fallback(spark):
 
 
 def test_model_names():
-    models = (ModelProfile("default", "vendor/base"), ModelProfile("small", "vendor/small"))
+    models = (Model("default", "vendor/base"), Model("small", "vendor/small"))
     assert resolve_model_name("small", models) == "small"
     assert resolve_model_name("vendor/small", models) == "small"
     assert resolve_model_name("other", models) == "other"

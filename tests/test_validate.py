@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.operators import validate as v
-from vecloom.spec import Catalog, CollectionSpec, ModelProfile
+from vecloom.spec import Catalog, CollectionSpec, Model
 
 INF = float("inf")
 
@@ -72,7 +72,7 @@ def test_sizes_and_models(spark):
     df = spark.createDataFrame([([0.0] * 384, "default"), ([0.0] * 2, "small"), (None, "unknown")], "vector array<double>, model string")
     rules = v.size_rules(F.col("vector"), F.lit("kb"), F.lit(2))
     assert reasons(df, rules) == ["Collection 'kb' expects dense vector size 2, got 384", None, None]
-    catalog = Catalog((CollectionSpec("kb", 1024),), models=(ModelProfile("default", "m", 1024), ModelProfile("small", "s", 384)))
+    catalog = Catalog((CollectionSpec("kb", 1024),), models=(Model("default", "m", 1024), Model("small", "s", 384)))
     got = reasons(df.withColumn("physical", F.lit("kb")), v.model_rules(catalog, "query"))
     assert got == [None, "Model 'small' produces 384-dim vectors but collection 'kb' expects 1024 for query", None]
 

@@ -23,12 +23,33 @@ def as_text(value: Column, dtype: T.DataType) -> Column:
         return F.initcap(value.cast("string"))
     if isinstance(dtype, T.NumericType):
         return value.cast("string")
+    if isinstance(dtype, T.VariantType):
+        return variant_text(value)
     if isinstance(dtype, T.ArrayType):
         parts = F.filter(F.transform(value, lambda x: as_text(x, dtype.elementType)), lambda s: s.isNotNull())
         return bind(parts, lambda p: F.when(F.size(p) > 0, F.array_join(p, ", ")))
     return F.lit(None).cast("string")
 
 
+def variant_text(value: Column, depth: int = 3) -> Column:
+    """The same for a value out of a JSON object; arrays in arrays count up to ``depth``."""
+    kind = F.schema_of_variant(value)
+
+    def typed(name: str) -> Column:
+        return F.try_variant_get(value, "$", name)
+
+    text = (
+        F.when(kind == "STRING", bind(strip(typed("string")), lambda s: F.when(s != "", s)))
+        .when(kind == "BOOLEAN", F.initcap(typed("boolean").cast("string")))
+        .when(kind == "BIGINT", typed("bigint").cast("string"))
+        .when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), typed("double").cast("string"))
+    )
+    if not depth:
+        return text
+    parts = F.filter(F.transform(typed("array<variant>"), lambda x: variant_text(x, depth - 1)), lambda s: s.isNotNull())
+    return text.when(kind.startswith("ARRAY"), bind(parts, lambda p: F.when(F.size(p) > 0, F.array_join(p, ", "))))
+
+
 def render(policy: PrefixPolicy, schema: T.StructType) -> Column:
     """The prefix of a row; null when the policy is off or no part has a value."""
     if not policy.enabled:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 from typing import Protocol
 
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from vecloom.functions.vectors import normalise
 from vecloom.session import ship_package
-from vecloom.spec import Catalog, ModelProfile
+from vecloom.spec import Catalog, Model
 
 # Fixed value: texts per model call.
 MODEL_BATCH = 64
@@ -119,14 +119,38 @@ def _encode(embedder: Embedder, texts: list[str], device: str | None) -> np.ndar
         return np.asarray(embedder.encode(texts), dtype=np.float32)
 
 
+def embed_by_model(
+    df: DataFrame, text: str, embedders: Mapping[str, Embedder], models: Sequence[Model], *, model: str = "model", into: str = "vector", device: str | None = None
+) -> DataFrame:
+    """Each row's text by the model its row names (see ``select_models``): adds ``into``, ``vector_size`` and ``reason``.
+
+    Vectors are brought to unit length if their model says so.  A model that is not there, or one whose vectors have another size than it
+    declares, gives the reason, and no vector.  Every model sees the texts of its rows only; the number of models is that of the configuration.
+    """
+    known = {m.name: m for m in models}
+    made, found = df, F.lit(None).cast("array<float>")
+    for at, (name, embedder) in enumerate(embedders.items()):
+        flag = known[name].unit_length if name in known else True
+        made = embed_texts(made, text, embedder, into=f"_made{at}", unit_length=flag, device=device, keep=F.col(model) == name)
+        found = F.coalesce(found, F.col(f"_made{at}"))
+    names = F.coalesce(F.col(model), F.lit(""))
+    declared = lookup({m.name: m.size for m in models}, F.col(model)).cast("int")
+    made = made.withColumn("_found", found).drop(*[f"_made{at}" for at in range(len(embedders))])
+    size = F.when(F.col("_found").isNotNull(), F.size("_found"))
+    reason = F.when(~names.isin(*embedders), F.concat(F.lit("Unknown model: "), names)).when(
+        size != declared, F.concat(F.lit("Model '"), names, F.lit("' is declared with size "), declared.cast("string"), F.lit(" but gives "), size.cast("string"))
+    )
+    return made.withColumns({"reason": reason, "vector_size": size.cast("bigint")}).withColumn(into, F.when(F.col("reason").isNull(), F.col("_found"))).drop("_found")
+
+
 # --- model selection ------------------------------------------------------------------------------------
 
 
-def resolve_model_name(name: str | None, models: tuple[ModelProfile, ...]) -> str | None:
-    """A registered name, or the alias of the profile with this model name, or the name itself."""
+def resolve_model_name(name: str | None, models: tuple[Model, ...]) -> str | None:
+    """A registered name, or that of the model with this implementation, or the name itself."""
     if name is None or any(m.name == name for m in models):
         return name
-    return next((m.name for m in models if m.model_name == name), name)
+    return next((m.name for m in models if m.implementation == name), name)
 
 
 def select_models(requests: DataFrame, catalog: Catalog, purpose: str) -> DataFrame:
@@ -138,15 +162,12 @@ def select_models(requests: DataFrame, catalog: Catalog, purpose: str) -> DataFr
     if purpose not in ("query", "write"):
         raise ValueError("'purpose' must be 'query' or 'write'")
 
-    def pick(spec) -> str | None:
-        return spec.query_model if purpose == "query" else spec.write_model
-
     names = [m.name for m in catalog.models]
     last = "default" if "default" in names else (names[0] if names else catalog.default_model)
-    logical = lookup({s.name: pick(s) for s in catalog.logical}, F.col("collection"))
-    physical = lookup({s.name: pick(s) or s.model for s in catalog.collections}, F.col("physical"))
+    logical = lookup({s.name: s.models.get(purpose) for s in catalog.logical}, F.col("collection"))
+    physical = lookup({s.name: s.models.get(purpose) or s.models.get("any") for s in catalog.collections}, F.col("physical"))
     asked = F.col("asked_model") if "asked_model" in requests.columns else F.lit(None).cast("string")
-    alias = lookup({m.model_name: m.name for m in reversed(catalog.models)}, asked)
+    alias = lookup({m.implementation: m.name for m in reversed(catalog.models)}, asked)
     known = asked.isin(names) if names else F.lit(False)
     own = F.when(known, asked).otherwise(F.coalesce(alias, asked))
     return requests.withColumn("model", F.coalesce(own, logical, physical, F.lit(last)))

@@ -56,20 +56,31 @@ def payload_set_counts(points: DataFrame, ids: DataFrame, key: str = "id") -> Da
     return requested.withColumn("matched", matched.scalar())
 
 
-def payload_patch(
-    points: DataFrame, patches: DataFrame, fields: Sequence[str], ordinal: str = "ordinal", key: str = "id"
-) -> DataFrame:
-    """Apply a table of ``(id, ordinal, field...)`` patches; a null field is not part of a patch.
+def fold_patches(patches: DataFrame, fields: Sequence[str], ordinal: str = "ordinal", key: str = "id", clear: str | None = None) -> DataFrame:
+    """One row per id: ``_new_<field>`` is a struct of the field's last value, null where no patch has the field.
 
-    Later patches win field by field.  The patches of an id are folded on the map side first.
+    A null field is not part of a patch, unless the patch's array ``clear`` names it: then it is set to null.  Later patches win field by
+    field.  The patches of an id are folded on the map side first.
     """
-    folded = patches.groupBy(key).agg(
-        *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(ordinal))).alias(f"_new_{f}") for f in fields]
+
+    def given(field: str) -> Column:
+        cleared = F.coalesce(F.array_contains(clear, field), F.lit(False)) if clear else F.lit(False)
+        return F.col(field).isNotNull() | cleared
+
+    return patches.groupBy(key).agg(
+        *[F.max_by(F.struct(F.col(f).alias("value")), F.when(given(f), F.col(ordinal))).alias(f"_new_{f}") for f in fields]
     )
-    joined = points.join(folded, key, "left")
-    changes = {
-        f: F.coalesce(F.col(f"_new_{f}"), F.col(f)) if f in points.columns else F.col(f"_new_{f}") for f in fields
-    }
+
+
+def payload_patch(
+    points: DataFrame, patches: DataFrame, fields: Sequence[str], ordinal: str = "ordinal", key: str = "id", clear: str | None = None
+) -> DataFrame:
+    """Apply a table of ``(id, ordinal, field...)`` patches, see ``fold_patches``."""
+    joined = points.join(fold_patches(patches, fields, ordinal, key, clear), key, "left")
+    changes = {}
+    for f in fields:
+        new, old = F.col(f"_new_{f}"), F.col(f) if f in points.columns else F.lit(None)
+        changes[f] = F.when(new.isNotNull(), new.getField("value")).otherwise(old)
     return joined.withColumns(changes).drop(*[f"_new_{f}" for f in fields])
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.operators.migration import RECENT_MAX, recent_events
+from vecloom.operators.ordering import newest
 
 ITEM_FIELDS = ", ".join(
     [
@@ -61,14 +61,11 @@ def _given(column: Column) -> Column:
 # --- reconciliation -------------------------------------------------------------------------------------
 
 
-def recover_task_ids(items: DataFrame, events: DataFrame) -> DataFrame:
-    """Items without a task take it from the newest recent event that names them.
-
-    Only the newest 200 events of a collection count.
-    """
+def recover_task_ids(items: DataFrame, events: DataFrame, recent: int | None = None) -> DataFrame:
+    """Items without a task take it from the newest event that names them, however old; ``recent`` looks at so many of a collection only."""
+    seen = events if recent is None else newest(events, ["logical_name"], F.col("event_id").desc(), recent)
     named = (
-        recent_events(events, RECENT_MAX)
-        .select(
+        seen.select(
             "logical_name", "event_id", F.trim("task_id").alias("_task"),
             F.get_json_object("metadata", "$.queue_item_id").alias("_item"),
         )

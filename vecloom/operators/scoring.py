@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 SCALE = 1_000_000.0
 # Cells of one score matrix held at a time in a task (float64).
 CELLS = 4_000_000
+# Squared distances below this share of the squared lengths are taken from the differences.
+NEAR = 1e-3
 
 
 def round6(x: np.ndarray) -> np.ndarray:
@@ -28,6 +30,12 @@ def as_array(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def millionths(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights as whole millionths, and which of them are exactly that."""
+    whole = np.rint(weight * SCALE)
+    return whole, whole / SCALE == weight
+
+
 class DenseBlock:
     """Query vectors of one length, and the score of point vectors against them."""
 
@@ -55,14 +63,22 @@ class DenseBlock:
             scale = self.norms[:, None] * np.linalg.norm(points, axis=1)[None, :]
             with np.errstate(invalid="ignore", divide="ignore"):
                 return round6(np.where(scale > 0, product / scale, np.nan))
-        squares = (self.norms**2)[:, None] + (points**2).sum(axis=1)[None, :] - 2 * product
-        return round6(np.sqrt(np.maximum(squares, 0.0)))
+        sizes = (self.norms**2)[:, None] + (points**2).sum(axis=1)[None, :]
+        squares = np.maximum(sizes - 2 * product, 0.0)
+        # What is left of two large numbers that nearly cancel out is worked out from the differences.
+        q, p = np.nonzero(squares <= NEAR * sizes)
+        step = max(1, CELLS // max(1, self.matrix.shape[1]))
+        for start in range(0, len(q), step):
+            a, b = q[start : start + step], p[start : start + step]
+            squares[a, b] = ((self.matrix[a] - points[b]) ** 2).sum(axis=1)
+        return round6(np.sqrt(squares))
 
 
 class SparseBlock:
     """Query terms as posting lists by index.
 
-    Weights are whole millionths, so a score is a sum of whole numbers: exact, in any order.
+    Where both weights of a product are whole millionths, as those of term vectors are, it is a whole number, and a sum of such
+    products is exact.  Other products are added up beside them in the order of the indices, and only the sum is rounded.
     """
 
     def __init__(self, queries: pa.Table):
@@ -75,7 +91,8 @@ class SparseBlock:
         self.terms, self.starts = np.unique(index[order], return_index=True)
         self.counts = np.diff(np.append(self.starts, len(index)))
         self.owner = owner[order]
-        self.weight = np.rint(weight[order] * SCALE)
+        self.weight = weight[order]
+        self.millionths, self.whole = millionths(self.weight)
 
     def rows_at_once(self) -> int:
         return max(1, CELLS // max(1, len(self.ids)))
@@ -88,7 +105,9 @@ class SparseBlock:
         row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
         index = lists.flatten().to_numpy(zero_copy_only=False)
         value = as_array(batch.column("values")).flatten().to_numpy(zero_copy_only=False)
+        whole_value, is_whole = millionths(value.astype(np.float64))
         total = np.zeros(shape[0] * shape[1])
+        rest = np.zeros(shape[0] * shape[1])
         shared = np.zeros(shape[0] * shape[1], dtype=np.int64)
         at = np.searchsorted(self.terms, index)
         at[at == len(self.terms)] = 0
@@ -103,10 +122,14 @@ class SparseBlock:
             n = self.counts[term]
             posting = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[term], n)
             cell = np.repeat(row[matched], n) * shape[1] + self.owner[posting]
-            product = np.repeat(np.rint(value[matched] * SCALE), n) * self.weight[posting]
-            total += np.bincount(cell, weights=product, minlength=len(total))
+            exact = np.repeat(is_whole[matched], n) & self.whole[posting]
+            product = np.repeat(whole_value[matched], n) * self.millionths[posting]
+            total += np.bincount(cell, weights=np.where(exact, product, 0.0), minlength=len(total))
+            if not exact.all():
+                product = np.repeat(value[matched], n) * self.weight[posting]
+                rest += np.bincount(cell, weights=np.where(exact, 0.0, product), minlength=len(total))
             shared += np.bincount(cell, minlength=len(total))
-        score = np.floor((total + SCALE / 2) / SCALE) / SCALE
+        score = np.where(rest == 0, np.floor((total + SCALE / 2) / SCALE) / SCALE, round6(total / SCALE**2 + rest))
         return np.where(shared > 0, score, np.nan).reshape(shape).T
 
 

@@ -268,7 +268,7 @@ def target_rules(df: DataFrame, catalog: Catalog, targets: Sequence[str], vector
 
 def model_rules(catalog: Catalog, purpose: str) -> list[Rule]:
     """``physical`` and ``model`` of a row must agree on the vector size; unknown sizes agree with all."""
-    produced = lookup({m.name: m.vector_size for m in catalog.models}, F.col("model"))
+    produced = lookup({m.name: m.size for m in catalog.models}, F.col("model"))
     expected = lookup({c.name: c.vector_size for c in catalog.collections}, F.col("physical"))
     return [
         (

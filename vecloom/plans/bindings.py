@@ -336,9 +336,8 @@ tasks AS (
   SELECT 'task-e' || event_id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'failed' ELSE 'verifying' END
   FROM events WHERE value < 30
 ),
-recent AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY logical_name ORDER BY event_id DESC) <= 200),
 recovered AS (
-  SELECT logical_name, json_extract_string(metadata, '$.queue_item_id') AS item, trim(task_id) AS task_id FROM recent
+  SELECT logical_name, json_extract_string(metadata, '$.queue_item_id') AS item, trim(task_id) AS task_id FROM ev
   WHERE trim(task_id) <> '' AND json_extract_string(metadata, '$.queue_item_id') IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY logical_name, item ORDER BY event_id DESC) = 1
 ),

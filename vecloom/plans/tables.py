@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from vecloom.operators import mutate
@@ -11,7 +13,7 @@ from vecloom.plans import bindings as b
 from vecloom.plans.registry import query
 from vecloom.plans.text import POLICY, PREFIX_SQL
 from vecloom.session import scratch_path
-from vecloom.sources.tables import PointTable, migration_source, write_all, write_checked
+from vecloom.sources.tables import PointTable, migration_source, patch_payload_all, set_payload_all, write_all, write_checked
 from vecloom.spec import CollectionSpec
 
 DOC_SPEC = CollectionSpec(
@@ -176,6 +178,41 @@ def upsert_rejects(spark, sf_dir):
     return bad.unionByName(good)
 
 
+@query(
+    "payload_all_targets",
+    """WITH pa AS (SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE value > 10) AS kind, arg_max(value, event_id) FILTER (WHERE event_type <> 'error') AS v,
+  max(event_id) FILTER (WHERE event_type = 'error') AS cleared, max(event_id) FILTER (WHERE event_type <> 'error') AS valued FROM events GROUP BY user_id),
+d AS (SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN lang END AS lang, CASE WHEN l.doc_id IS NULL THEN source ELSE 'reviewed' END AS source, l.doc_id IS NOT NULL AS reviewed
+  FROM documents LEFT JOIN labels l USING (doc_id))
+SELECT target, CAST(doc_id AS VARCHAR) AS id, lang, coalesce(kind, source) AS source, CASE WHEN reviewed THEN 'yes' END AS reviewed,
+  CASE WHEN coalesce(cleared > valued, cleared IS NOT NULL) THEN NULL ELSE v END AS value
+FROM d LEFT JOIN pa ON user_id = doc_id, (SELECT unnest(['docs_v1', 'docs_v2']) AS target)""",
+)
+def payload_all_targets(spark, sf_dir):
+    """Stored tables: the labelled documents are marked in two targets, then every event patches its user's document or clears a field."""
+    root = scratch_path(spark, "payload")
+    two = [PointTable(spark, root, replace(DOC_SPEC, sparse_vector_name=None)), PointTable(spark, root, replace(DOC_SPEC, name="docs_v2", sparse_vector_name=None, payload_types=(("lang", "string"),)))]
+    for t in two:
+        t.ensure()
+        t.load(b.texts(spark, sf_dir).select("id", "lang", "source"))
+    labelled = b.table(spark, sf_dir, "labels").select(b.text_id("doc_id").alias("id"))
+    set_payload_all(two, labelled, {"source": "reviewed", "reviewed": "yes", "lang": None})
+    error = F.col("event_type") == "error"
+    patches = b.table(spark, sf_dir, "events").select(
+        b.text_id("user_id").alias("id"), F.col("event_id").alias("ordinal"), F.when(F.col("value") > 10, F.col("event_type")).alias("source"),
+        F.when(~error, F.col("value")).alias("value"), F.when(error, F.array(F.lit("value"))).alias("cleared"),
+    )
+    patch_payload_all(two, patches, ["source", "value"], clear="cleared")
+
+    def out(t):
+        rows = t.read()
+        json = {f: F.get_json_object("extra", f"$.{f}") for f in ("source", "reviewed", "value")}
+        source = F.col("source") if "source" in rows.columns else json["source"]
+        return rows.select(F.lit(t.spec.name).alias("target"), "id", "lang", source.alias("source"), json["reviewed"].alias("reviewed"), json["value"].cast("double").alias("value"))
+
+    return out(two[0]).unionByName(out(two[1]))
+
+
 @query(
     "retrieve_stored",
     "SELECT CAST(doc_id AS VARCHAR) AS id, text, lang, source FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)",

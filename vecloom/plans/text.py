@@ -13,7 +13,7 @@ from vecloom.operators.prefix import apply_prefix, policy_owners
 from vecloom.operators.validate import dense_of
 from vecloom.plans import bindings as b
 from vecloom.plans.registry import query
-from vecloom.spec import Catalog, CollectionSpec, LogicalSpec, ModelProfile, PrefixPart, PrefixPolicy
+from vecloom.spec import Catalog, CollectionSpec, LogicalSpec, Model, PrefixPart, PrefixPolicy
 
 TOKEN_SQL = "'[\\p{L}\\p{N}_]+'"
 
@@ -209,12 +209,12 @@ def normalise_vectors(spark, sf_dir):
 
 CATALOG = Catalog(
     collections=(
-        CollectionSpec("view_v1", 64, model="small", vector_name="dense", sparse_vector_name="sparse"),
-        CollectionSpec("click_v1", 64, model="small", query_model="large"),
+        CollectionSpec("view_v1", 64, models={"any": "small"}, vector_name="dense", sparse_vector_name="sparse"),
+        CollectionSpec("click_v1", 64, models={"any": "small", "query": "large"}),
         CollectionSpec("signup_v1", 32, vector_name="summary"),
     ),
-    logical=(LogicalSpec("view", ("view_v1",), query_model="large"), LogicalSpec("click", ("click_v1",))),
-    models=(ModelProfile("default", "vendor/base", 64), ModelProfile("small", "vendor/small", 32), ModelProfile("large", "vendor/large", 128)),
+    logical=(LogicalSpec("view", ("view_v1",), models={"query": "large"}), LogicalSpec("click", ("click_v1",))),
+    models=(Model("default", "vendor/base", 64), Model("small", "vendor/small", 32), Model("large", "vendor/large", 128)),
 )
 
 

@@ -11,6 +11,7 @@ off what those they replace had.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from vecloom.functions.vectors import metric_name
 from vecloom.operators.filters import apply_filter
-from vecloom.operators.mutate import last_wins, merge_json, sparse_from_payload
+from vecloom.operators.mutate import fold_patches, last_wins, merge_json, sparse_from_payload
 from vecloom.operators.search import check_limit
 from vecloom.operators.validate import dense_of as named_dense
 from vecloom.operators.validate import split, vector_rules
@@ -166,6 +167,41 @@ class PointTable:
             self.commits.put({**commit, "buckets": buckets, "terms": terms}, number)
         return sum(row["n"] for row in touched)
 
+    def _rows_of(self, ids: DataFrame) -> DataFrame:
+        """The stored rows of the ids, with the other columns of ``ids``; only the buckets the ids fall into are read."""
+        wanted = written(ids.withColumn("id", F.col("id").cast("string")).withColumn(BUCKET, bucket_of(self.spec)), "wanted")
+        buckets = [row[BUCKET] for row in wanted.select(BUCKET).distinct().collect() if row[BUCKET] is not None]
+        return self._read(self._commit()[1], buckets).drop(BUCKET).join(wanted.drop(BUCKET), "id")
+
+    def set_payload(self, ids: DataFrame, patch: Mapping[str, object]) -> int:
+        """Set the same payload values on all listed points; returns how many there are.  None sets a null; vectors stay."""
+        if not patch:
+            raise ValueError("'payload' must not be empty")
+        rows = self._rows_of(ids.select("id").distinct())
+        return self._merge(self._patched(rows, {k: (F.lit(True), F.lit(v)) for k, v in patch.items()}, patch), None)
+
+    def patch_payload(self, patches: DataFrame, fields: Sequence[str], ordinal: str = "ordinal", *, clear: str | None = None) -> int:
+        """Apply ``(id, ordinal, field...)`` patches (see ``fold_patches``); returns the number of points changed."""
+        rows = self._rows_of(fold_patches(patches, fields, ordinal, "id", clear))
+        changes = {f: (F.col(f"_new_{f}").isNotNull(), F.col(f"_new_{f}").getField("value")) for f in fields}
+        return self._merge(self._patched(rows, changes).drop(*[f"_new_{f}" for f in fields]), None)
+
+    def _patched(self, rows: DataFrame, changes: Mapping[str, tuple[Column, Column]], literal: Mapping[str, object] | None = None) -> DataFrame:
+        """Change declared fields in their columns and others in the JSON object, where the first of each pair holds."""
+        declared = {name: dtype for name, dtype in self.spec.payload_types}
+        found = rows.withColumns(
+            {n: F.when(hit, value.cast(declared[n])).otherwise(F.col(f"`{n}`")) for n, (hit, value) in changes.items() if n in declared}
+        )
+        others = [n for n in changes if n not in declared]
+        if literal is not None and others:
+            found = found.withColumn(EXTRA, merge_json(F.col(EXTRA), F.lit(json.dumps({n: literal[n] for n in others}))))
+        elif others:
+            for name in others:
+                hit, value = changes[name]
+                one = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"})
+                found = found.withColumn(EXTRA, F.when(hit, merge_json(F.col(EXTRA), one)).otherwise(F.col(EXTRA)))
+        return found
+
     @staticmethod
     def _folder(number: int) -> str:
         # Named apart, so that a writer that fails or comes second never meets another one's files.
@@ -286,6 +322,20 @@ def resolve_alias(spark: SparkSession, root: str, alias: str) -> str | None:
     return found[1]["table"] if found else None
 
 
+def set_payload_all(targets: Sequence[PointTable], ids: DataFrame, patch: Mapping[str, object]) -> dict[str, int]:
+    """``set_payload`` on every target; points changed per target."""
+    fixed = written(ids.select("id").distinct(), "ids")
+    return {target.spec.name: target.set_payload(fixed, patch) for target in targets}
+
+
+def patch_payload_all(
+    targets: Sequence[PointTable], patches: DataFrame, fields: Sequence[str], ordinal: str = "ordinal", *, clear: str | None = None
+) -> dict[str, int]:
+    """``patch_payload`` on every target; points changed per target."""
+    fixed = written(patches, "patches")
+    return {target.spec.name: target.patch_payload(fixed, fields, ordinal, clear=clear) for target in targets}
+
+
 def _with_terms(batch: DataFrame, targets: Sequence[PointTable]) -> DataFrame:
     """Fill missing sparse vectors from the payload's ``text`` if a target has such vectors; they are the same for all."""
     if not any(t.spec.sparse_column for t in targets) or "text" not in batch.columns:
