@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vecloom.functions.text import sparse_terms
 from vecloom.operators.embed import HashEmbedder, embed_texts
 from vecloom.operators.filters import apply_filter
+from vecloom.operators.pruned import build_dense_index, build_sparse_index, pruned_dense_search, pruned_sparse_search
 from vecloom.operators.service import Served, search_service
 from vecloom.operators.search import (
     attach_points,
@@ -38,6 +39,13 @@ def dense_topk(spark, sf_dir):
     return dense_search(b.requests(spark, sf_dir), b.embedded(spark, sf_dir), 10)
 
 
+@query("pruned_dense_topk", f"WITH {b.QUERIES_SQL}, {DENSE_SCORES_SQL} {b.top_sql('d', 10)}")
+def pruned_dense_topk(spark, sf_dir):
+    """The same hits from an index of pivots, whose blocks are read only where they may hold one."""
+    index = build_dense_index(b.embedded(spark, sf_dir), scratch_path(spark, "pivots"), vector_size=64, pivots=16)
+    return pruned_dense_search(b.requests(spark, sf_dir), index, 10).hits
+
+
 DENSE_FILTER = {
     "must": [{"key": "label", "match": [1, 3, 5, 7, 9]}, {"key": "n_chars", "range": {"gte": 200}}],
     "must_not": [{"key": "lang", "match": "de"}],
@@ -108,6 +116,13 @@ def sparse_topk(spark, sf_dir):
     return sparse_search(b.sparse_requests(spark, sf_dir), b.sparse_texts(spark, sf_dir), 10)
 
 
+@query("pruned_sparse_topk", f"WITH {b.DOC_TERMS_SQL}, {b.QUERY_TERMS_SQL}, {SPARSE_SCORES_SQL} {b.top_sql('s', 10)}")
+def pruned_sparse_topk(spark, sf_dir):
+    """The same hits from blocks that know the largest weight of each term."""
+    index = build_sparse_index(b.sparse_texts(spark, sf_dir), scratch_path(spark, "impacts"))
+    return pruned_sparse_search(b.sparse_requests(spark, sf_dir), index, 10).hits
+
+
 TERMS_SPEC = CollectionSpec("terms_v1", 64, sparse_vector_name="sparse", sparse_modifier="idf", buckets=8)
 
 
