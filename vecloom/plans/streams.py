@@ -15,7 +15,7 @@ from vecloom.session import scratch_path
 from vecloom.sources.tables import PointTable
 from vecloom.spec import CollectionSpec
 from vecloom.streaming.ingest import ingest_stream
-from vecloom.streaming.metrics import windowed_metrics, write_metrics
+from vecloom.streaming.metrics import late_rows, mark_late, windowed_metrics, write_metrics
 from vecloom.streaming.state import latest_state, state_stream
 
 
@@ -74,6 +74,22 @@ def stream_metrics(spark, sf_dir):
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm")).drop("window_end")
 
 
+@query(
+    "stream_late_metrics",
+    f"""WITH {b.REQUEST_LOG_SQL} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, endpoint, {as_double(METRICS_SQL)} FROM log GROUP BY ALL""",
+)
+def stream_late_metrics(spark, sf_dir):
+    """The log in no order, a third of it twice: what came in time and what came late are together the whole log, each request once."""
+    root = scratch_path(spark, "late")
+    log = b.request_log(spark, sf_dir).select("request_id", F.col("enqueued_at").alias("ts"), "endpoint", "latency_ms", "queue_wait_ms", "failed")
+    log.unionByName(log.filter("request_id % 3 = 0")).repartition(12, "request_id").write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/log")
+    mark_late(stream, f"{root}/marked", f"{root}/checkpoint").awaitTermination()
+    on_time = spark.read.parquet(f"{root}/marked").filter("late = 'false'").drop("late")
+    metrics = windowed_metrics(on_time.unionByName(late_rows(spark, f"{root}/marked")), request="request_id")
+    return metrics.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm")).drop("window_end")
+
+
 @query("stream_state", f"WITH {b.EVENTS_SQL}, {b.STATES_SQL} SELECT * FROM states")
 def stream_state(spark, sf_dir):
     """The event log as a stream of files, out of order: its end comes first, and batches hold ids from everywhere."""
