@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from vecloom.functions.text import sparse_terms
 from vecloom.operators.search import term_statistics
 from vecloom.operators.validate import split
+from vecloom.operators.migration import current_state
+from vecloom.sources.aliases import read_alias, run_phases, sync_aliases
 from vecloom.sources.commits import CommitLog
-from vecloom.sources.tables import PointTable, fixed_batch, resolve_alias, write_all, write_checked
+from vecloom.sources.events import append_events, read_events
+from vecloom.sources.tables import PointTable, fixed_batch, write_all, write_checked
 from vecloom.spec import CollectionSpec
 
 SPEC = CollectionSpec("kb", 2, sparse_vector_name="sparse", sparse_modifier="idf", payload_types=(("text", "string"),), buckets=5)
@@ -159,11 +162,34 @@ def test_rows_one_target_cannot_take_are_written_to_none(spark, tmp_path):
 def test_shape_and_alias_last(spark, table, tmp_path):
     table.upsert(batch(spark, [("a", "x")]))
     assert table.shape()["distance"] == "Cosine" and table.shape()["sparse_modifier"] == "idf"
-    assert resolve_alias(spark, str(tmp_path), "current") is None
-    assert table.repoint("current") and resolve_alias(spark, str(tmp_path), "current") == "kb"
+    assert read_alias(spark, str(tmp_path), "current") is None
+    assert table.repoint("current") and read_alias(spark, str(tmp_path), "current") == "kb"
     assert table.repoint("current") and not table.repoint("kb") and not table.repoint("other", ["other"])
     second = PointTable(spark, str(tmp_path), CollectionSpec("kb2", 2))
     second.ensure()
-    assert second.repoint("current") and resolve_alias(spark, str(tmp_path), "current") == "kb2"
+    assert second.repoint("current") and read_alias(spark, str(tmp_path), "current") == "kb2"
     with pytest.raises(FileNotFoundError):
         PointTable(spark, str(tmp_path), CollectionSpec("absent", 2)).read()
+
+
+def test_aliases_follow_the_state(spark, tmp_path):
+    from test_migration import boot, event, frame
+
+    root, log = str(tmp_path), str(tmp_path / "log")
+    append_events(frame(spark, [boot(0, "k", "v1"), boot(1, "other", "o1"), boot(2, "same", "s")]), log)
+    aliases = {"k": "k_now", "other": "o_now", "same": "s", "absent": "x"}
+    logical = spark.createDataFrame([("k", "v2"), ("other", None)], "logical_name string, next_target string")
+    schema = "event_id bigint, logical_name string, action string, task_id string, note string, result string, metadata string, created_at string"
+
+    def act(*actions):
+        rows = [(i, name, action, None, None, None, None, "t") for i, (name, action) in enumerate(actions)]
+        return run_phases(spark, root, log, spark.createDataFrame(rows, schema), logical, aliases)
+
+    moved, rejected = act(("k", "prepare"), ("k", "dual-write"), ("other", "cutover"))
+    assert moved == {"k_now": "v1", "o_now": "o1"} and rejected.count() == 1
+    assert act(("k", "cutover"))[0] == {"k_now": "v2"} and read_alias(spark, root, "k_now") == "v2"
+    # The event was recorded, the alias not: the next run moves it.
+    append_events(frame(spark, [event(900, "k", "rollback")]), log)
+    states = current_state(read_events(spark, log))
+    assert sync_aliases(spark, root, states, aliases) == {"k_now": "v1"} and sync_aliases(spark, root, states, aliases) == {}
+    assert read_alias(spark, root, "s") is None and read_alias(spark, root, "x") is None

@@ -15,6 +15,7 @@ from vecloom.operators.mutate import copy_vector
 from vecloom.plans import bindings as b
 from vecloom.plans.registry import query
 from vecloom.session import scratch_path
+from vecloom.sources.aliases import read_alias, sync_aliases
 from vecloom.sources.events import append_events, read_events
 from vecloom.sources.tables import PointTable, migration_source
 from vecloom.spec import CollectionSpec
@@ -193,6 +194,18 @@ def cutover_rollback(spark, sf_dir):
     return states.groupBy("state", "read_target").agg(F.count("*").alias("n"))
 
 
+@query("alias_targets", f"WITH {b.EVENTS_SQL}, {b.STATES_SQL} SELECT logical_name || '_now' AS alias, read_target FROM states WHERE state IN ('live', 'rollback')")
+def alias_targets(spark, sf_dir):
+    """Aliases that last: set from the states of the collections that were cut over or rolled back, read back from where they are kept."""
+    root = scratch_path(spark, "aliases")
+    states = m.current_state(b.migration_events(spark, sf_dir)).filter(F.col("state").isin("live", "rollback"))
+    # The configured collections.
+    names = [row["logical_name"] for row in states.select("logical_name").collect()]
+    sync_aliases(spark, root, states, {name: f"{name}_now" for name in names})
+    kept = [(f"{name}_now", read_alias(spark, root, f"{name}_now")) for name in names]
+    return spark.createDataFrame(kept, "alias string, read_target string")
+
+
 @query(
     "logical_info",
     f"""WITH {b.EVENTS_SQL}, {b.STATES_SQL},

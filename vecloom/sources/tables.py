@@ -27,6 +27,7 @@ from vecloom.operators.search import check_limit
 from vecloom.operators.validate import dense_of as named_dense
 from vecloom.operators.validate import split, vector_rules
 from vecloom.session import written
+from vecloom.sources.aliases import set_alias
 from vecloom.sources.commits import CommitLog
 from vecloom.spec import CollectionSpec
 
@@ -304,24 +305,15 @@ class PointTable:
         return len(gone)
 
     def repoint(self, alias: str, tables: Sequence[str] = ()) -> bool:
-        """Make ``alias`` stand for this table, here and for other sessions (see ``resolve_alias``); skipped if it is this table's
+        """Make ``alias`` stand for this table, here and for other sessions (see ``aliases``); skipped if it is this table's
         name or that of another collection."""
         if alias == self.spec.name or alias in tables:
             return False
-        log = CommitLog(self.spark, f"{self.root}/_aliases/{alias}")
-        before = log.newest()
-        if before is None or before[1]["table"] != self.spec.name:
-            log.put({"table": self.spec.name}, before[0] if before else None)
+        set_alias(self.spark, self.root, alias, self.spec.name)
         self.read().createOrReplaceTempView(alias)
         return True
 
 
-def resolve_alias(spark: SparkSession, root: str, alias: str) -> str | None:
-    """The table an alias stands for; None if it was never set."""
-    found = CommitLog(spark, f"{root.rstrip('/')}/_aliases/{alias}").newest()
-    return found[1]["table"] if found else None
-
-
 def set_payload_all(targets: Sequence[PointTable], ids: DataFrame, patch: Mapping[str, object]) -> dict[str, int]:
     """``set_payload`` on every target; points changed per target."""
     fixed = written(ids.select("id").distinct(), "ids")
