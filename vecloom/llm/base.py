@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,14 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def shielded(docs: DataFrame, used: Iterable[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work(docs)`` for columns of any name: those that ``work`` uses for itself are called differently meanwhile."""
+    aside = {c: f"{c}_of_the_caller" for c in docs.columns if c in set(used)}
+    if not aside:
+        return work(docs)
+    return work(docs.withColumnsRenamed(aside)).withColumnsRenamed({other: c for c, other in aside.items()})
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more: neither a later step nor a step that may run again."""
     for one in tables:

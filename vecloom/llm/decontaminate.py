@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.base import LOWER, flat, list_array, mix, signed, slices, small_batches, span_hashes
+from vecloom.llm.base import LOWER, flat, list_array, mix, shielded, signed, slices, small_batches, span_hashes
 from vecloom.session import written
 
 WINDOW = 8
@@ -300,7 +300,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, need
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; columns and other rows stay as they are."""
+    """``docs`` without the rows that hold a benchmark item; columns, whatever their names, and other rows stay as they are.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together, rows without an id by their text.
+    """
+    return shielded(docs, ("_id", "_key", "_text_key"), lambda rows: _without_leaks(rows, benchmark))
+
+
+def _without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     keyed = docs.withColumn("_text_key", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.llm.base import shielded
 from vecloom.llm.trigrams import ALL, trigram_query, trigrams
 
 
@@ -155,7 +156,14 @@ def secret_digest(found: DataFrame) -> DataFrame:
 
 
 def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``find_secrets`` with every secret of ``text`` replaced by ``mark``; overlapping ones become one mark."""
+    """``find_secrets`` with every secret of ``text`` replaced by ``mark``; overlapping ones become one mark.
+
+    Texts without secrets, null and empty ones among them, and all other columns, whatever their names, stay as they are.
+    """
+    return shielded(found, ("_cuts",), lambda rows: _redact(rows, mark))
+
+
+def _redact(found: DataFrame, mark: str) -> DataFrame:
     merged = F.aggregate(
         "secrets",
         F.array().cast("array<struct<start:int,end:int>>"),

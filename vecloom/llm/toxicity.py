@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.base import discard, flat, slices, small_batches
+from vecloom.llm.base import discard, flat, shielded, slices, small_batches
 from vecloom.llm.lookup import Lookup
 from vecloom.session import written
 
@@ -361,8 +361,12 @@ def fit_toxicity(labelled: DataFrame, broadcast_ngrams: int = BROADCAST_NGRAMS,
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``; every row is scored, a null text as an empty one.
 
-    ``docs`` must have a column ``text`` and none of the two new names; other columns stay as they are.
+    ``docs`` must have a column ``text`` and none of the two new names; other columns, whatever their names, stay as they are.
     """
+    return shielded(docs, ("x0", "x1", "x2", "_block"), lambda rows: _score_toxicity(rows, model))
+
+
+def _score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     small_batches(docs.sparkSession)
     if model.model is None or model.curve is None:
         scored = docs.withColumn("score", F.lit(float(model.base)))
