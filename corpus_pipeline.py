@@ -27,29 +27,35 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model predicts to be toxic go."""
+    """Documents that the model predicts to be toxic go.
+
+    A null or empty text is scored as an empty one.  Repeated rows are scored alike; an empty table stays empty.  Columns that documents do not have are left out.
+    """
     scored = score_toxicity(docs.select(*COLUMNS), toxicity_model(spark, sf_dir))
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays (a row without an id only if none has one).
+
+    Null and blank texts are copies of nothing and all stay; of repeated rows with words one stays.
+    """
     return one_of_each(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none and stay, repeated rows share their fate."""
     return without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets become a mark; n_chars follows."""
+    """Secrets become a mark; n_chars follows, null for a null text.  No row goes, repeated ones are masked alike."""
     masked = redact(find_secrets(docs.select(*COLUMNS)))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
+    """Token ids of what is left, one row for each document; a null or empty text has none."""
     encoded = bpe_encode(docs.select("doc_id", "text", "lang", "source", "n_chars"), tokenizer_path())
     return encoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
