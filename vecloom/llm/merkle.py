@@ -17,7 +17,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.functions.text import bind
 from vecloom.operators.ordering import number_rows
 from vecloom.session import written
 
