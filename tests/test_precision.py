@@ -6,7 +6,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from vecloom.functions.prefix import render
 from vecloom.operators.embed import HashEmbedder, embed_by_model

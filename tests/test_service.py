@@ -11,7 +11,7 @@ from vecloom.functions.text import sparse_terms
 from vecloom.operators.embed import HashEmbedder
 from vecloom.operators.search import term_statistics
 from vecloom.operators.service import Served, mask_columns, search_service
-from vecloom.spec import CollectionSpec
+from vecloom.spec import Catalog, CollectionSpec, Model
 
 REQUEST = "query_id string, collection string, text string, query_text string, vector array<double>, search_mode string, limit int, filter string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta".split()
@@ -173,6 +173,27 @@ def test_missing_vectors_are_embedded(spark, collections):
     assert rejected.count() == 0 and hits.groupBy("query_id").count().where("count = 3").count() == 2
 
 
+def test_each_request_by_its_model(spark, collections):
+    """A request's own model, else its collection's; one of another size does not fit, one that is not there is unknown."""
+    two = CollectionSpec("b", 2, distance="Euclid", vector_name="v", models={"query": "two"})
+    catalog = Catalog((A, two), models=(Model("two", "t", 2, unit_length=False), Model("three", "h", 3), Model("also", "u", 2), Model("gone", "g", 2)))
+    rows = [
+        ("own", "b", "alpha beta", None, None, None, 3, None, None), ("asked", "b", "alpha beta", None, None, None, 3, None, "also"),
+        ("wide", "b", "alpha", None, None, None, 3, None, "three"), ("lost", "b", "alpha", None, None, None, 3, None, "gone"),
+        ("given", "b", None, None, [1.0, 1.0], None, 3, None, "gone"), ("none", "b", None, None, None, None, 3, None, None),
+    ]
+    embedders = {"two": HashEmbedder(2), "three": HashEmbedder(3), "also": HashEmbedder(2)}
+    hits, rejected = search_service(spark.createDataFrame(rows, REQUEST + ", model string"), {"b": Served(collections["b"].points, two)}, embedders=embedders, catalog=catalog)
+    reasons = {r["query_id"]: r["reason"] for r in rejected.collect()}
+    assert set(reasons) == {"wide", "lost", "none"} and "produces 3-dim vectors" in reasons["wide"] and reasons["lost"] == "Unknown model: gone"
+    got = {}
+    for h in hits.collect():
+        got.setdefault(h["query_id"], {})[h["rank"]] = h["score"]
+    assert set(got) == {"own", "asked", "given"} and all(len(v) == 3 for v in got.values())
+    # The same text, once as it comes from the model and once at unit length.
+    assert got["own"] != got["asked"]
+
+
 def test_masks(spark):
     points = spark.range(200).select(F.col("id").cast("int").alias("x"))
     specs = [{"x": i} for i in range(130)]

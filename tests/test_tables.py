@@ -7,7 +7,6 @@ from vecloom.operators import mutate
 from vecloom.operators.audit import audit_shapes, collection_stats
 from vecloom.operators.embed import HashEmbedder
 from vecloom.operators.filters import apply_filter
-from vecloom.operators.migration import current_state
 from vecloom.sources.tables import PointTable, retrieve, scroll, write_all
 from vecloom.spec import CollectionSpec, PrefixPart, PrefixPolicy
 from vecloom.streaming.ingest import ingest_stream

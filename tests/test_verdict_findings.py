@@ -1,6 +1,5 @@
 """Cases that once gave wrong rows: nulls that swap columns, null ordinals, missing ids and limits, idle restarts."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from vecloom.operators.migration import EVENT_SCHEMA, verify_backfill

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vecloom.functions.vectors import METRICS, metric_name
-from vecloom.operators.embed import Embedder, embed_texts
+from vecloom.operators.embed import Embedder, embed_by_model, embed_texts, select_models
 from vecloom.operators.filters import compile_filter
 from vecloom.operators.scoring import BestK, DenseBlock, SparseBlock, as_array
 from vecloom.operators.search import (
@@ -37,9 +37,9 @@ from vecloom.operators.search import (
     text_queries,
     weigh_by_frequency,
 )
-from vecloom.operators.validate import Rule, split
+from vecloom.operators.validate import Rule, model_rules, split
 from vecloom.session import written
-from vecloom.spec import DEFAULT_LIMIT, MAX_LIMIT, SEARCH_MODES, CollectionSpec
+from vecloom.spec import DEFAULT_LIMIT, MAX_LIMIT, SEARCH_MODES, Catalog, CollectionSpec
 
 # Filters looked at in one scan, 64 to a number; more distinct filters of one collection take further scans.
 FILTERS_AT_ONCE = 256
@@ -79,6 +79,7 @@ def search_service(
     *,
     routing: DataFrame | None = None,
     embedders: Mapping[str, Embedder] | None = None,
+    catalog: Catalog | None = None,
     rrf_k: int = RRF_K,
     broadcast_numbers: int = BROADCAST_NUMBERS,
     filters_at_once: int = FILTERS_AT_ONCE,
@@ -87,7 +88,8 @@ def search_service(
 
     ``requests``: ``query_id, collection, text, query_text, vector, search_mode, limit, filter`` (JSON; null or ``{}`` for none).  ``collections``:
     physical collections by name.  ``routing``: ``logical_name, read_target, default_mode`` for names that stand for them.
-    ``embedders`` make the missing vectors of requests that are not sparse, by physical collection.  A null limit is the default one.
+    ``embedders`` make the missing vectors of requests that are not sparse: by physical collection, or, with a ``catalog``, by model, where a request's
+    own ``model`` (if there is such a column) comes before those of its collections.  A null limit is the default one.
     A filter that is no JSON object, or one that cannot be compiled, rejects its requests.  Equal scores are ordered by id.
     """
     routed = _routed(requests, routing)
@@ -95,15 +97,21 @@ def search_service(
     asked = text_queries(valid.withColumn("has_sparse", F.col("target").isin([n for n, c in collections.items() if c.spec.sparse_column])))
     asked = asked.withColumns({"has_terms": F.col("sparse").isNotNull(), "has_dense": F.col("vector").isNotNull()})
     if embedders:
-        asked = asked.withColumn("has_dense", F.col("has_dense") | F.col("target").isin(*embedders))
+        able = F.col("dense_text").isNotNull() if catalog else F.col("target").isin(*embedders)
+        asked = asked.withColumn("has_dense", F.col("has_dense") | able)
     # What is sparse by its own choice is not embedded: it may end up dense only with a vector of its own.
     own = F.lower(F.coalesce("search_mode", F.lit("auto")))
     sparse_first = F.when(own != "auto", own).otherwise(F.col("default_mode")) == "sparse"
     asked = asked.withColumn("has_dense", F.when(F.coalesce(sparse_first, F.lit(False)), F.col("vector").isNotNull()).otherwise(F.col("has_dense")))
     ready, without = split(resolve_mode(asked), mode_rules())
-    # Written: read once for its filters and once for each collection.
-    ready = written(_embedded(ready, embedders or {}), "requests")
     reasons = [rejected.select("query_id", "reason"), without.select("query_id", "reason")]
+    if catalog:
+        ready, unfit = _embedded_by_model(ready, embedders or {}, catalog)
+        reasons.append(unfit)
+    else:
+        ready = _embedded(ready, embedders or {})
+    # Written: read once for its filters and once for each collection.
+    ready = written(ready, "requests")
     spread, broken = _filters(ready, collections, filters_at_once)
     if broken:
         table = requests.sparkSession.createDataFrame(broken, "target string, filter string, reason string")
@@ -142,6 +150,21 @@ def _embedded(ready: DataFrame, embedders: Mapping[str, Embedder]) -> DataFrame:
     return done
 
 
+def _embedded_by_model(ready: DataFrame, embedders: Mapping[str, Embedder], catalog: Catalog) -> tuple[DataFrame, DataFrame]:
+    """Requests with the vectors their models make, and those whose model does not fit the collection or is not there."""
+    columns = ready.columns
+    ready = ready.withColumn("vector", F.col("vector").cast("array<double>"))
+    missing = F.col("vector").isNull() & F.col("mode").isin("dense", "hybrid")
+    named = ready.withColumn("asked_model", F.col("model") if "model" in columns else F.lit(None).cast("string"))
+    chosen = select_models(named.withColumn("physical", F.col("target")), catalog, "query")
+    fit, unfit = split(chosen.filter(missing), model_rules(catalog, "query"))
+    # Written: the models see each text once.
+    made = written(embed_by_model(fit, "dense_text", embedders, catalog.models, into="_made"), "embedded")
+    done = made.filter("reason is null").withColumn("vector", F.col("_made").cast("array<double>")).select(*columns)
+    bad = unfit.select("query_id", "reason").unionByName(made.filter("reason is not null").select("query_id", "reason"))
+    return ready.filter(~missing).select(*columns).unionByName(done), bad
+
+
 def _filters(ready: DataFrame, collections: Mapping[str, Served], at_once: int):
     """Per collection groups of ``(text, spec)`` of distinct filters, and ``(target, text, reason)`` of those that are no filters.
 
