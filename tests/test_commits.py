@@ -9,7 +9,7 @@ from vecloom.functions.text import sparse_terms
 from vecloom.operators.search import term_statistics
 from vecloom.operators.validate import split
 from vecloom.operators.migration import current_state
-from vecloom.sources.aliases import read_alias, run_phases, sync_aliases
+from vecloom.sources.aliases import read_alias, read_aliases, run_phases, set_alias, sync_aliases
 from vecloom.sources.commits import CommitLog
 from vecloom.sources.events import append_events, read_events
 from vecloom.sources.tables import PointTable, fixed_batch, write_all, write_checked
@@ -193,3 +193,46 @@ def test_aliases_follow_the_state(spark, tmp_path):
     states = current_state(read_events(spark, log))
     assert sync_aliases(spark, root, states, aliases) == {"k_now": "v1"} and sync_aliases(spark, root, states, aliases) == {}
     assert read_alias(spark, root, "s") is None and read_alias(spark, root, "x") is None
+
+
+def test_many_aliases_move_by_one_commit(spark, tmp_path):
+    root = str(tmp_path)
+    # A name that has a log of its own, as they used to.
+    CommitLog(spark, f"{root}/_aliases/k2_now").put({"table": "old"}, None)
+    assert read_alias(spark, root, "k2_now") == "old"
+    names = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("logical_name"))
+    states = names.withColumn("read_target", F.when(F.col("logical_name") != "k7", F.lit("v1")))
+    aliases = names.withColumn("alias", F.concat("logical_name", F.lit("_now")))
+    assert sync_aliases(spark, root, states, aliases).count() == 2999
+    assert len(CommitLog(spark, f"{root}/_aliases/_commits").numbers()) == 1
+    assert sync_aliases(spark, root, states, aliases).isEmpty()
+    moved = states.withColumn("read_target", F.when(F.col("logical_name") == "k2", "v2").otherwise(F.col("read_target")))
+    assert [tuple(r) for r in sync_aliases(spark, root, moved, aliases).collect()] == [("k2_now", "v2")]
+    for n in range(20):
+        assert set_alias(spark, root, f"own{n % 3}", f"t{n}")
+    held = {r["alias"]: r["table"] for r in read_aliases(spark, root).collect()}
+    assert len(held) == 3002 and held["k2_now"] == "v2" and held["k3_now"] == "v1" and "k7_now" not in held
+    assert [held[f"own{n}"] for n in range(3)] == ["t18", "t19", "t17"]
+
+
+def test_aliases_set_at_the_same_time(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    set_alias(spark, root, "a", "t1")
+    put, others = CommitLog.put, [("b", "t2"), ("a", "t3")]
+
+    def late(log, content, after):
+        if others:
+            set_alias_first = others.pop(0)
+            monkeypatch.setattr(CommitLog, "put", put)
+            set_alias(spark, root, *set_alias_first)
+            monkeypatch.setattr(CommitLog, "put", late)
+        return put(log, content, after)
+
+    monkeypatch.setattr(CommitLog, "put", late)
+    # Another alias is set in between, which is no conflict; then this very one.
+    with pytest.raises(RuntimeError, match="has changed"):
+        set_alias(spark, root, "a", "t4")
+    others.clear()
+    assert read_alias(spark, root, "a") == "t3" and read_alias(spark, root, "b") == "t2"
+    others.append(("c", "t5"))
+    assert set_alias(spark, root, "a", "t6") and read_alias(spark, root, "a") == "t6" and read_alias(spark, root, "c") == "t5"

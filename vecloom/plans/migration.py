@@ -14,8 +14,8 @@ from vecloom.operators.embed import HashEmbedder, embed_texts
 from vecloom.operators.mutate import copy_vector
 from vecloom.plans import bindings as b
 from vecloom.plans.registry import query
-from vecloom.session import scratch_path
-from vecloom.sources.aliases import read_alias, sync_aliases
+from vecloom.session import scratch_path, written
+from vecloom.sources.aliases import read_aliases, sync_aliases
 from vecloom.sources.events import append_events, read_events
 from vecloom.sources.tables import PointTable, migration_source
 from vecloom.spec import CollectionSpec
@@ -199,11 +199,11 @@ def alias_targets(spark, sf_dir):
     """Aliases that last: set from the states of the collections that were cut over or rolled back, read back from where they are kept."""
     root = scratch_path(spark, "aliases")
     states = m.current_state(b.migration_events(spark, sf_dir)).filter(F.col("state").isin("live", "rollback"))
+    states = written(states.select("logical_name", "read_target"), "states")
     # The configured collections.
-    names = [row["logical_name"] for row in states.select("logical_name").collect()]
-    sync_aliases(spark, root, states, {name: f"{name}_now" for name in names})
-    kept = [(f"{name}_now", read_alias(spark, root, f"{name}_now")) for name in names]
-    return spark.createDataFrame(kept, "alias string, read_target string")
+    names = states.select("logical_name", F.concat(F.coalesce("logical_name", F.lit("None")), F.lit("_now")).alias("alias"))
+    sync_aliases(spark, root, states, names)
+    return names.select("alias").join(read_aliases(spark, root).withColumnRenamed("table", "read_target"), "alias", "left")
 
 
 @query(
