@@ -236,3 +236,18 @@ def test_aliases_set_at_the_same_time(spark, tmp_path, monkeypatch):
     assert read_alias(spark, root, "a") == "t3" and read_alias(spark, root, "b") == "t2"
     others.append(("c", "t5"))
     assert set_alias(spark, root, "a", "t6") and read_alias(spark, root, "a") == "t6" and read_alias(spark, root, "c") == "t5"
+
+
+def test_a_large_bucket_is_written_in_more_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("vecloom.sources.tables.PIECE_BYTES", 8000, raising=False)
+    table = PointTable(spark, str(tmp_path), CollectionSpec("kb", 2, payload_types=(("text", "string"),), buckets=2))
+    table.ensure()
+    # As many tasks as pieces, and an id twice.
+    rows = spark.range(1500).select((F.col("id") % 1499).cast("string").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.col("id").alias("n"))
+    assert table.upsert(rows, "n") == 1499
+    files = table.read().groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).collect()
+    assert len(files) > 4 and max(r["n"] for r in files) < 350
+    assert table.upsert(rows.limit(0).select("id", "text").unionByName(spark.createDataFrame([("7", "new"), ("x", "new")], "id string, text string"))) == 2
+    after = table.read()
+    assert after.count() == after.select("id").distinct().count() == 1500 and after.filter("text = 'new'").count() == 2
+    assert after.filter("id = '0'").head()["text"] == rows.filter("n = 1499").head()["text"]

@@ -66,6 +66,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of all files that ``df`` reads, as they are stored; 0 if it reads none."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    path_of, uri_of = jvm.org.apache.hadoop.fs.Path, jvm.java.net.URI
+    paths = [path_of(uri_of(file)) for file in set(df.inputFiles())]
+    return sum(path.getFileSystem(conf).getFileStatus(path).getLen() for path in paths)
+
+
 _shipped: set[str] = set()
 
 

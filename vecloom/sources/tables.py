@@ -26,18 +26,21 @@ from vecloom.operators.mutate import fold_patches, last_wins, merge_json, sparse
 from vecloom.operators.search import check_limit
 from vecloom.operators.validate import dense_of as named_dense
 from vecloom.operators.validate import split, vector_rules
-from vecloom.session import written
+from vecloom.session import input_bytes, written
 from vecloom.sources.aliases import set_alias
 from vecloom.sources.commits import CommitLog
 from vecloom.spec import CollectionSpec
 
 BUCKET = "bucket"
+PIECE = "_piece"
 EXTRA = "extra"
 # The columns of a batch that hold vectors without a name: every target puts them under its own.
 DENSE, SPARSE = "dense", "sparse"
 SPARSE_TYPE = "struct<indices: array<int>, values: array<double>>"
 # Up to this many ids are looked up as literals, which reach the Bloom filters and statistics of the files.
 LITERAL_IDS = 1000
+# A task writes what comes from about so many bytes of files, so that its memory does not follow the table's size.
+PIECE_BYTES = 16 << 20
 # So many folders of term counts are folded into one.
 TERM_FOLDERS = 16
 
@@ -141,7 +144,7 @@ class PointTable:
             raise ValueError(f"table {self.spec.name} is not empty")
         fixed = self._numbered(_with_terms(points, [self]), None)
         folder = self._folder(number)
-        self._save(self._placed(fixed).drop("_file"), folder)
+        self._save(self._placed(fixed, input_bytes(points)).drop(PIECE), folder)
         done = self.spark.read.schema(schema_of(self.spec)).parquet(f"{self.path}/data/v={folder}")
         buckets = {str(row[BUCKET]): folder for row in done.select(BUCKET).distinct().collect()}
         terms = self._save_terms(self._terms(done, 1), commit, folder)
@@ -156,10 +159,10 @@ class PointTable:
             old = self._read(commit, [row[BUCKET] for row in touched])
             both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
             # Shuffled once, by what the files are cut by; the newer row of an id is picked within the task.
-            by = W.partitionBy(BUCKET, "_file", "id").orderBy(F.col("_new").desc())
-            newest = self._placed(both).withColumn("_n", F.row_number().over(by)).filter("_n = 1")
+            by = W.partitionBy(PIECE, "id").orderBy(F.col("_new").desc())
+            newest = self._placed(both, input_bytes(both)).withColumn("_n", F.row_number().over(by)).filter("_n = 1")
             folder = self._folder(number)
-            self._save(newest.drop("_n", "_new", "_file"), folder)
+            self._save(newest.drop("_n", "_new", PIECE), folder)
             terms = commit["terms"]
             if self.spec.idf:
                 replaced = old.join(new.select("id"), "id", "left_semi")
@@ -208,10 +211,13 @@ class PointTable:
         # Named apart, so that a writer that fails or comes second never meets another one's files.
         return f"{number + 1}-{uuid.uuid4().hex[:8]}"
 
-    def _placed(self, df: DataFrame) -> DataFrame:
-        # A bucket is written by several tasks, so that it may be larger than a task.
-        file = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(self.spec.files_per_bucket))
-        return df.withColumn("_file", file).repartition(BUCKET, "_file")
+    def _placed(self, df: DataFrame, size: int) -> DataFrame:
+        """Deal rows, which come from files of ``size`` bytes, to the tasks that write them."""
+        # A bucket is written by several tasks, so that it may be larger than a task; by more of them the larger it is.
+        files = max(self.spec.files_per_bucket, -(-size // (self.spec.buckets * PIECE_BYTES)))
+        piece = F.col(BUCKET) * files + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(files))
+        placed = df.withColumn(PIECE, piece.cast("int"))
+        return placed.repartition(PIECE) if files == self.spec.files_per_bucket else placed.repartitionById(self.spec.buckets * files, F.col(PIECE))
 
     def _numbered(self, df: DataFrame, vectors: Sequence[str] | None) -> DataFrame:
         return self._shaped(df, vectors).withColumn(BUCKET, bucket_of(self.spec))
