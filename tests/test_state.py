@@ -71,6 +71,18 @@ def test_stream_in_any_order(spark, tmp_path, seed, shards):
     assert rows(latest_state(spark, str(tmp_path / "mark"))) == rows(current_state(frame(spark, log)))
 
 
+def test_only_a_busy_collection_has_many_keys(spark, tmp_path):
+    log = [e for k in range(12) for e in [boot(100 * k, f"c{k}", "v1"), *[event(100 * k + i, f"c{k}", "verify") for i in range(1, 40)]]]
+    log += [boot(9000, "busy", "v1"), *[event(9000 + i, "busy", "dual_write", next_target=f"v{i % 5}") for i in range(1, 600)]]
+    seen = []
+    parts = [log[::2], log[1::2]]
+    query = state_stream(stream(spark, str(tmp_path / "log"), parts), str(tmp_path / "mark"), on_batch=lambda changed, n: seen.append(changed.collect()))
+    query.awaitTermination()
+    keys = {(r["logical_name"], r["shard"]) for rows_ in seen for r in rows_}
+    assert len([k for k in keys if k[0] != "busy"]) == 12 and len([k for k in keys if k[0] == "busy"]) == 8
+    assert rows(latest_state(spark, str(tmp_path / "mark"))) == rows(current_state(frame(spark, log)))
+
+
 def test_restart_and_replay(spark, tmp_path):
     log = random_log(11, 3, 10)
     parts = [log[20:], log[:10], log[10:20]]

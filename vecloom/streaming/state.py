@@ -9,9 +9,12 @@ that comes twice counts once.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +24,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from vecloom.operators.migration import BASES, EVENT_SCHEMA, ORIGINS, compact, current_state
 from vecloom.session import ship_package
 
-# A collection's events are dealt over this many keys of the store, so that a busy one is not a single task's work.
+# A busy collection's events are dealt over this many keys of the store, so that it is not a single task's work.
 SHARDS = 8
+# Events a task has of a busy collection, more than; and events that a task holds at a time, about.
+BUSY = 64
+PACKED_ROWS = 100_000
 _COLUMNS = [field.split(" ")[0] for field in EVENT_SCHEMA.split(", ")]
 _NAMES = [name for name in _COLUMNS if name != "logical_name"]
 
@@ -45,18 +51,44 @@ def deciding(rows: Iterable[tuple]) -> list[tuple]:
     return [tuple(found[event_id].values()) for event_id in sorted(keep)]
 
 
-def _plain(value):
-    """Pandas holds arrays as numpy arrays and may hold missing values as NaN."""
-    if value is None or isinstance(value, float):
-        return None
-    return value if isinstance(value, str) else [str(v) for v in value]
+def _packed(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task's events leave of each collection, as one row for each key of the store: a key costs far more than a row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys: dict[tuple[str, int], list[tuple]] = {}
+            for name, rows in held.items():
+                kept = deciding(rows)
+                # Only a busy collection is dealt over its keys; what each of them holds is put together when it is read.
+                for row in kept:
+                    keys.setdefault((name, row[0] % shards if len(kept) > BUSY else 0), []).append(row)
+            names, numbers = [name for name, _ in keys], [shard for _, shard in keys]
+            parts = pa.array([pickle.dumps(rows) for rows in keys.values()], pa.binary())
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(numbers, pa.int32()), parts], ["logical_name", "shard", "part"])
+
+        for batch in batches:
+            columns = [batch.column(name).to_pylist() for name in _NAMES]
+            targets = _NAMES.index("write_targets")
+            columns[targets] = [None if value is None else [str(v) for v in value] for value in columns[targets]]
+            for name, row in zip(batch.column("logical_name").to_pylist(), zip(*columns)):
+                held.setdefault(name, []).append(row)
+            size += len(batch)
+            if size > PACKED_ROWS:
+                yield from out()
+                held, size = {}, 0
+        yield from out()
+
+    return pack
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     kept = [tuple(row) for row in state.get[0]] if state.exists else []
     for batch in batches:
-        columns = [batch["event_id"].tolist(), *[[_plain(v) for v in batch[name]] for name in _NAMES[1:]]]
-        kept = deciding([*kept, *zip(*columns)])
+        kept = deciding(chain(kept, *map(pickle.loads, batch["part"])))
     state.update((kept,))
     yield pd.DataFrame({"logical_name": [key[0]], "shard": [key[1]], "kept": [len(kept)]})
 
@@ -73,8 +105,8 @@ def state_stream(
     known = events.select(*_COLUMNS).where("event_id is not null and logical_name is not null")
     fields = [field for field in known.schema if field.name != "logical_name"]
     store = T.StructType([T.StructField("kept", T.ArrayType(T.StructType(fields)))])
-    dealt = known.withColumn("shard", F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int"))
-    changed = dealt.groupBy("logical_name", "shard").applyInPandasWithState(
+    packed = known.mapInArrow(_packed(shards), "logical_name string, shard int, part binary")
+    changed = packed.groupBy("logical_name", "shard").applyInPandasWithState(
         _fold, "logical_name string, shard int, kept int", store, "update", GroupStateTimeout.NoTimeout
     )
     out = changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
