@@ -78,3 +78,18 @@ def test_sparse(spark, texts, tmp_path, idf):
         assert found.scored <= found.pairs and found.read <= index.blocks
     few = pruned_sparse_search(queries, index, 1, statistics=statistics)
     assert few.scored < few.pairs * 0.8
+
+
+def test_building_makes_the_terms_once(spark, tmp_path):
+    """Terms may be expensive: each row's are made once, not for the filter, the classes and the blocks anew."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf(KIND)
+    def terms(n):
+        made.add(1)
+        return ([n % 7], [1.0 + n % 5]) if n % 10 else ([], [])
+
+    points = spark.range(100).select(F.col("id").cast("string").alias("id"), terms("id").alias("sparse"))
+    index = build_sparse_index(points, str(tmp_path / "once"), block_rows=30)
+    assert index.points.count() == 90
+    assert made.value == 100

@@ -95,7 +95,12 @@ def _split(points: DataFrame, by: str, rows: int) -> DataFrame:
 
 
 def build_sparse_index(points: DataFrame, path: str, *, using: str = "sparse", block_rows: int = BLOCK_ROWS) -> SparseIndex:
-    """Store the points that have terms under ``path``, cut by the size of their largest weight: a quarter of a doubling a class."""
+    """Store the points that have terms under ``path``, cut by the size of their largest weight: a quarter of a doubling a class.
+
+    The points are written first.  The filter on their terms and the class would else make the terms anew each time they read them,
+    the filter below any shuffle of the points, where a small file is one task.
+    """
+    points = written(points, "points")
     values = F.col(using).getField("values")
     size = F.greatest(F.array_max(values), -F.array_min(values))
     # Far apart weights share the outer classes, so their number is fixed.
