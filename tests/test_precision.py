@@ -5,11 +5,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vecloom.functions.prefix import render
 from vecloom.operators.embed import HashEmbedder, embed_by_model
 from vecloom.operators.mutate import payload_patch
+from vecloom.operators.scoring import SparseBlock
 from vecloom.operators.search import dense_search, sparse_search
 from vecloom.sources.tables import PointTable, patch_payload_all, set_payload_all
 from vecloom.spec import CollectionSpec, Model, PrefixPart, PrefixPolicy
@@ -105,3 +107,25 @@ def test_payload_of_stored_tables(spark, tmp_path):
     assert one == two and len(one) == 9
     assert one["k1"] == ([1.0, 1.0], {"lang": "de", "seen": True}) and one["k2"][1] == {"lang": "fr", "seen": True, "place": 2}
     assert one["k8"][1] == {"lang": "en", "place": 80} and one["k0"][1] == {"lang": "en", "place": 0}
+
+
+def test_sparse_scoring_stays_small():
+    """What a task holds beside a batch follows neither the batch's rows nor how many queries share a term."""
+    import tracemalloc
+
+    rows, terms, asked = 10_000, 40, 200
+
+    def column(n, value):
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * terms + 1, terms, dtype=np.int32)), value)
+
+    def vectors(n):
+        return column(n, pa.array(np.tile(np.arange(terms, dtype=np.int32), n))), column(n, pa.array(np.tile(np.arange(1, terms + 1) / 1e6 * 1000, n)))
+
+    block = SparseBlock(pa.table(dict(zip(["query_id", "indices", "values"], [pa.array(np.arange(asked)), *vectors(asked)]))))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(rows)]), *vectors(rows)], ["id", "indices", "values"])
+    tracemalloc.start()
+    scores = block.scores(batch.slice(0, block.rows_at_once()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert (scores == sum(x * x for x in range(1, terms + 1)) / 1e6).all()

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 # Scores carry six decimals, the precision of the term weights; ties are broken by id.
 SCALE = 1_000_000.0
-# Cells of one score matrix held at a time in a task (float64).
-CELLS = 4_000_000
+# Cells of one score matrix, and matches of query terms, held at a time in a task (some ten arrays of 8 bytes each).
+CELLS = 500_000
 # Squared distances below this share of the squared lengths are taken from the differences.
 NEAR = 1e-3
 
@@ -106,9 +106,10 @@ class SparseBlock:
         index = lists.flatten().to_numpy(zero_copy_only=False)
         value = as_array(batch.column("values")).flatten().to_numpy(zero_copy_only=False)
         whole_value, is_whole = millionths(value.astype(np.float64))
+        all_whole = bool(is_whole.all() and self.whole.all())
         total = np.zeros(shape[0] * shape[1])
-        rest = np.zeros(shape[0] * shape[1])
-        shared = np.zeros(shape[0] * shape[1], dtype=np.int64)
+        rest = np.zeros(1 if all_whole else len(total))
+        shared = np.zeros(len(total), dtype=bool)
         at = np.searchsorted(self.terms, index)
         at[at == len(self.terms)] = 0
         known = np.flatnonzero(self.terms[at] == index)
@@ -120,17 +121,20 @@ class SparseBlock:
                 continue
             term = at[matched]
             n = self.counts[term]
-            posting = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[term], n)
-            cell = np.repeat(row[matched], n) * shape[1] + self.owner[posting]
-            exact = np.repeat(is_whole[matched], n) & self.whole[posting]
+            posting = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.starts[term], n)
+            # Matches come row by row, so a slice touches the cells of a few rows.
+            low, high = row[matched[0]] * shape[1], (row[matched[-1]] + 1) * shape[1]
+            cell = np.repeat(row[matched] * shape[1] - low, n) + self.owner[posting]
             product = np.repeat(whole_value[matched], n) * self.millionths[posting]
-            total += np.bincount(cell, weights=np.where(exact, product, 0.0), minlength=len(total))
-            if not exact.all():
-                product = np.repeat(value[matched], n) * self.weight[posting]
-                rest += np.bincount(cell, weights=np.where(exact, 0.0, product), minlength=len(total))
-            shared += np.bincount(cell, minlength=len(total))
+            if not all_whole:
+                exact = np.repeat(is_whole[matched], n) & self.whole[posting]
+                other = np.repeat(value[matched], n) * self.weight[posting]
+                rest[low:high] += np.bincount(cell, weights=np.where(exact, 0.0, other), minlength=high - low)
+                product = np.where(exact, product, 0.0)
+            total[low:high] += np.bincount(cell, weights=product, minlength=high - low)
+            shared[low:high][cell] = True
         score = np.where(rest == 0, np.floor((total + SCALE / 2) / SCALE) / SCALE, round6(total / SCALE**2 + rest))
-        return np.where(shared > 0, score, np.nan).reshape(shape).T
+        return np.where(shared, score, np.nan).reshape(shape).T
 
 
 class BestK:
