@@ -248,8 +248,8 @@ def _grid(queries, rows, width, numbers, answer, schema, block_numbers) -> DataF
     return left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(score_cell, schema)
 
 
-def ranked(candidates: DataFrame, k: int, larger_is_better: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Best ``k`` candidates per query with their rank; ``keep`` names further columns.
+def ranked(candidates: DataFrame, k: int, larger_is_better: bool = True, keep: tuple[str, ...] = (), per: tuple[str, ...] = ()) -> DataFrame:
+    """Best ``k`` candidates per query (and ``per``) with their rank; ``keep`` names further columns.
 
     With many point tasks a query has (tasks x k) candidates; they are first cut to k within each of
     several groups so that no single task has to sort them all.
@@ -258,11 +258,11 @@ def ranked(candidates: DataFrame, k: int, larger_is_better: bool = True, keep: t
     groups = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64
     if groups > 1:
         salted = candidates.withColumn("_group", F.pmod(F.xxhash64("id"), F.lit(groups)))
-        first = F.row_number().over(W.partitionBy("query_id", "_group").orderBy(*by))
+        first = F.row_number().over(W.partitionBy("query_id", *per, "_group").orderBy(*by))
         candidates = salted.withColumn("_r", first).filter(F.col("_r") <= k).drop("_r", "_group")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*by))
+    rank = F.row_number().over(W.partitionBy("query_id", *per).orderBy(*by))
     return candidates.withColumn("rank", rank).filter(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("bigint").alias("rank"), "id", "score", *keep
+        "query_id", *per, F.col("rank").cast("bigint").alias("rank"), "id", "score", *keep
     )
 
 

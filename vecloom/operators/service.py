@@ -125,10 +125,10 @@ def search_service(
     if not hits:
         none = limits.withColumns({"rank": F.lit(0).cast("bigint"), "id": F.lit(""), "score": F.lit(0.0)}).filter(F.lit(False))
         return none.select("query_id", "collection", "mode", "rank", "id", "score"), rejects
-    # Each branch of a request is ranked and cut to the request's own limit.
-    branches = [reduce(DataFrame.unionByName, hits).filter(F.col("branch") == b) for b in ("dense", "sparse")]
-    best = [ranked(b.select("query_id", "id", F.col("key").alias("score"), "shown"), MAX_LIMIT, keep=("shown",)) for b in branches]
-    merged = reduce(DataFrame.unionByName, best).drop("score").withColumnRenamed("shown", "score").join(limits, "query_id").filter("rank <= limit")
+    # Each branch of a request is ranked and cut to the request's own limit; both in one pass, as a second one would scan the points again.
+    candidates = reduce(DataFrame.unionByName, hits).select("query_id", "branch", "id", F.col("key").alias("score"), "shown")
+    best = ranked(candidates, MAX_LIMIT, keep=("shown",), per=("branch",)).drop("branch", "score")
+    merged = best.withColumnRenamed("shown", "score").join(limits, "query_id").filter("rank <= limit")
     answers = merge_branches(merged.drop("collection"), rrf_k).join(limits.select("query_id", "collection"), "query_id")
     return answers.select("query_id", "collection", "mode", "rank", "id", "score"), rejects
 
