@@ -16,14 +16,14 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    # The row of the smallest neighbour itself becomes the node's own link to it.
+    moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+    return down.join(_least(down), "u").select(moved.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,7 +32,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _edges(links: DataFrame) -> DataFrame:
-    return links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    return links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
 def contracted(links: DataFrame, label: str = "contracted") -> DataFrame:
@@ -54,7 +54,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     Each round is a written table, so a lost executor costs one round.  Rows with a null end, and links of a node
     with itself, are left out.
     """
-    edges = written(_edges(links), label)
+    edges = written(_edges(links).distinct(), label)
     before = _state(edges)
     while before[0]:
         last, edges = edges, written(_small(_large(edges)), label)
