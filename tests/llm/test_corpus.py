@@ -408,3 +408,41 @@ def test_one_of_each_keeps_any_column(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _text_key int, _id int, _key int, row int")
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted([rows[1], rows[2], rows[3]])
+
+
+def test_one_of_each_moves_texts_once(spark, docs):
+    """Dropping repeated rows and keeping one of each component take one shuffle of the rows together, not one each."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = jaccard.one_of_each(docs)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set(key, before)
+    # From the filter of texts that are not blank upwards: what stands further to the left in a line above takes its rows.
+    at = next(i for i, line in enumerate(plan) if "NOT RLIKE" in line)
+    depth, shuffles = len(plan[at]), 0
+    for line in plan[at::-1]:
+        here = re.match(r"[ :+-]*", line).end()
+        if here < depth:
+            depth, shuffles = here, shuffles + line[here:].startswith("Exchange")
+    assert shuffles == 1, plan
+
+
+def test_jaccard_leaves_no_tokens_behind(spark, monkeypatch):
+    """Of the tables written on the way only those stay that the result reads, and none of them holds tokens or prefixes."""
+    labels = {}
+
+    def noted(df, label, real=jaccard.written):
+        out = real(df, label)
+        labels[out.inputFiles()[0].rsplit("/", 1)[0]] = (label, out)
+        return out
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    passage = words(81, 60).split()
+    found = jaccard.jaccard_join(spark.createDataFrame(list(enumerate(family(6, 30, 20, passage))), "doc_id long, text string"))
+    files = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    left = {label for path, (label, _) in labels.items() if files(path).getFileSystem(conf).exists(files(path))}
+    assert left == {"jaccard-texts", "jaccard-classes"}
+    assert found.count() == 30

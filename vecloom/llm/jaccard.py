@@ -342,11 +342,15 @@ def _homes(cells: DataFrame) -> DataFrame:
     return held.join(wide, "token").groupBy("cluster").agg(F.max_by("token", F.struct("holders", "token")).alias("home"))
 
 
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Classes with their tokens, gathered by ``home`` in blocks of about ``BLOCK_TOKENS``: ``home, part, parts, name``."""
-    parts = written(rows.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts")), "jaccard-parts")
+def _parts(rows: DataFrame) -> DataFrame:
+    """Into how many blocks of about ``BLOCK_TOKENS`` the classes of each ``home`` go: ``home, parts``."""
+    return written(rows.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts")), "jaccard-parts")
+
+
+def _blocks(rows: DataFrame, parts: DataFrame, active: DataFrame, name: str) -> DataFrame:
+    """Classes with their tokens, gathered by ``home`` in blocks: ``home, part, name``.  They are dealt first, so that few shuffles move tokens."""
     dealt = _of_each(rows, parts, "home", "class").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
-    return dealt.groupBy("home", "part", "parts").agg(F.collect_list(F.struct("class", "size", "cluster", "tokens")).alias(name))
+    return dealt.join(active, "class").groupBy("home", "part").agg(F.collect_list(F.struct("class", "size", "cluster", "tokens")).alias(name))
 
 
 def _open_groups(cells: DataFrame, need: DataFrame, clusters: DataFrame, active: DataFrame, percent: int) -> DataFrame:
@@ -361,9 +365,8 @@ def _open_groups(cells: DataFrame, need: DataFrame, clusters: DataFrame, active:
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
     sizes = written(_homes(cells).join(sizes, "cluster"), "jaccard-sizes")
     rank = F.struct("size", "cluster")
-    groups = sizes.groupBy("home").agg(
-        F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max"), F.max(rank).alias("highest")
-    )
+    groups = sizes.groupBy("home").agg(F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max"), F.max(rank).alias("highest"))
+    groups = written(groups, "jaccard-groups")
     placed = _of_each(cells, sizes.select("cluster", "home", "size"), "cluster", "token")
     matrix = placed.select("token", "home").distinct()
     # A class that asks is not met under its own group's tokens only: its group may hold other clusters.
@@ -375,20 +378,23 @@ def _open_groups(cells: DataFrame, need: DataFrame, clusters: DataFrame, active:
         .where(F.col("hits") >= _needed("n", percent))
     )
     opened = (
-        _of_each(opened, written(groups, "jaccard-groups"), "home", "class")
+        _of_each(opened, groups, "home", "class")
         .where((F.col("highest") > F.col("rank")) & (F.col("n_max") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_min") * percent))
         .select("class", "n", "home", "rank.size", "rank.cluster")
     )
     opened = written(opened, "jaccard-opened")
     wanted = opened.select("home").distinct()
     held = _of_each(members, sizes.select("cluster", "home", "size").join(wanted, "home", "left_semi"), "cluster", "class")
-    blocks = _blocks(held.join(active, "class"), "block").drop("parts")
-    blocks = written(blocks, "jaccard-blocks")
+    parts, parts_asked = _parts(held), _parts(opened)
+    blocks = written(_blocks(held, parts, active, "block"), "jaccard-blocks")
     lasts = blocks.groupBy("home").agg(F.max("part").alias("last"))
-    asked = _blocks(opened.join(active, "class"), "asked").select("home", "asked").join(lasts, "home")
+    asked = _blocks(opened, parts_asked, active, "asked").select("home", "asked").join(lasts, "home")
     # Every block that asks goes to every block of the group: dealt by both, so that a large group is many tasks.
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    return asked.join(blocks, ["home", "part"]).select("asked", "block").mapInArrow(lambda it: _linked_blocks(it, percent), "a long, b long")
+    pairs = asked.join(blocks, ["home", "part"]).select("asked", "block")
+    found = written(pairs.mapInArrow(lambda it: _linked_blocks(it, percent), "a long, b long"), "jaccard-found")
+    discard(members, sizes, groups, opened, parts, parts_asked, blocks)
+    return found
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -410,18 +416,21 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         ),
         "jaccard-sets",
     )
-    real = sets.where("n_shingles > 0")
-    classes = written(
-        real.groupBy("class", "check", "n_shingles").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least")),
-        "jaccard-classes",
-    )
-
     by_token = Window.partitionBy("token")
-    tokens = real.select("class", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
+    tokens = sets.where("n_shingles > 0").select("class", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
     shared = written(
         tokens.withColumn("_low", F.min("class").over(by_token)).withColumn("_high", F.max("class").over(by_token)).where("_low <> _high").drop("_low", "_high"),
         "jaccard-tokens",
     )
+    # Nothing reads the prefixes any more, which are nearly all of the table.
+    texts = written(sets.drop("prefix"), "jaccard-texts")
+    discard(sets)
+    classes = written(
+        texts.where("n_shingles > 0")
+        .groupBy("class", "check", "n_shingles")
+        .agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least")),
+        "jaccard-classes",
+    )
 
     # A class has no more shared tokens than its prefix is long, however many copies or tasks it comes from.
     count = classes.select("class", F.col("n_shingles").alias("n"), "text_key")
@@ -443,13 +452,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             break
         before = max(before, now)
     across = written(_across(cells, groups), "jaccard-cells")
-    opened = written(_open_groups(across, need, groups, active, percent), "jaccard-opened")
+    opened = _open_groups(across, need, groups, active, percent)
+    discard(active, across, held)
     roots = components(links.unionByName(opened))
-    discard(active, across, links, held)
+    discard(links, opened)
 
     rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "check", "root", "component_id")
-    found = sets.drop("prefix").join(named, ["class", "check"], "left")
+    found = texts.join(named, ["class", "check"], "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", alone.alias("component_id"), "text_key", "root")
 
@@ -462,12 +472,18 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """
     joined = jaccard_join(docs, words, percent).where("n_shingles > 0")
     # A struct orders nulls first; a row without an id stands for its component only if no row has one.
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    kept = joined.groupBy("root").agg(F.min(rank).alias("rank")).select(F.col("rank.doc_id").alias("kept_id"), F.col("rank.text_key").alias("kept_key"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key").alias("key"))
+    kept = joined.groupBy("root").agg(F.min(rank).alias("rank")).select("rank.*")
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
     # The row as a whole is one column, so no name of it can clash.
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), blank.alias("blank")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").isNull().alias("none"),
+        F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.xxhash64("text").alias("key"),
+        blank.alias("blank"),
     )
-    stay = rows.where(~F.col("blank")).join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
-    return stay.dropDuplicates(["id", "key"]).unionByName(rows.where("blank")).select("row.*")
+    # Repeated rows go before the join and by the same columns, none of which is null: so one shuffle of the texts does for both.
+    by = ["none", "id", "key"]
+    stay = rows.where(~F.col("blank")).dropDuplicates(by).join(kept, by, "left_semi")
+    return stay.select("row").unionByName(rows.where("blank").select("row")).select("row.*")
