@@ -24,6 +24,8 @@ from vecloom.llm.toxicity import score_toxicity  # noqa: E402
 from vecloom.session import written  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Words that a worker remembers in the last stage; the workers also serve other stages, whose memory theirs stands beside.
+REMEMBERED_WORDS = 300_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, one row for each document; a null or empty text has none."""
-    encoded = bpe_encode(docs.select("doc_id", "text", "lang", "source", "n_chars"), tokenizer_path())
+    encoded = bpe_encode(docs.select("doc_id", "text", "lang", "source", "n_chars"), tokenizer_path(), REMEMBERED_WORDS)
     return encoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -4,11 +4,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vecloom.llm import bpe, chat, decontaminate, fingerprints, graph, html, jaccard, language, quality, secrets, toxicity
+from vecloom.llm.base import flat
 from vecloom.llm.queries import SQL, op6_chat, op7_fingerprints
 from vecloom.llm.trigrams import ALL, trigram_query
 
@@ -137,6 +140,26 @@ def test_bpe_matches_the_library(docs, rows, spark):
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_remembers_within_bounds():
+    """What a worker keeps after a task, beside the work of later stages, does not grow with its tasks; ids stay right."""
+    encoder = bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), 3_000)
+    common = "the cost of one word is paid once".split()
+    held, learned = [], []
+    for task in range(12):
+        texts = [" ".join([*common, *(f"q{task}x{k}y{n}" for n in range(400))]) for k in range(3)] + ["", "end"]
+        for text in texts:
+            data, offsets = flat(pa.array([text]))
+            with np.errstate(over="ignore"):
+                ids, at = encoder.encode(data, offsets)
+            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids and at.tolist() == [0, len(ids)]
+        encoder.rest()
+        held.append(len(encoder.numbers))
+        learned.append(all(word.encode() in encoder.numbers for word in common[:-1]))
+        assert not encoder.chunks and not encoder.chunk_bytes
+    # A bound is checked before a text, so one more text's words may stand above it.
+    assert max(held) <= 3_000 + 500 and min(held[6:]) < 3_000 and all(learned)
+
+
 def test_bpe_refuses_a_tokenizer_that_keeps_spaces(tmp_path):
     from tokenizers import AddedToken, Tokenizer, models, pre_tokenizers
 

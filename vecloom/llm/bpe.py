@@ -6,7 +6,8 @@ splits large groups), and a worker encodes each different chunk once.  A chunk's
 ends; at a join the words on both sides of the cut are encoded anew as one, and the window grows over whole chunks up
 to white space.  Agreement is not compared: the tokenizer must drop ASCII white space and never look across it, which is
 checked when it is loaded.
-Within a chunk, words met before are not encoded again.
+Within a chunk, words met before are not encoded again.  A worker outlives the stage, and what it remembers stays beside the
+work of later stages: chunks go at the end of a task, and when there are too many words only those met time and again stay.
 
 The vocabulary is read from the given path by every task, so the file must be on the workers.
 """
@@ -29,7 +30,7 @@ from vecloom.llm.base import SPACE, _BYTE, _power, flat, list_array, mix, slices
 # A cut every so many bytes in the mean, from a hash over so many bytes.
 CHUNK_BYTES = 512
 ROLL_BYTES = 24
-# What a worker remembers: words and their bytes, and bytes of chunks.
+# What a worker remembers: words (some 200 bytes each) and their bytes, and bytes of chunks.
 MOST_WORDS = 1_200_000
 MOST_WORD_BYTES = 32 << 20
 MOST_CHUNK_BYTES = 32 << 20
@@ -84,13 +85,14 @@ def _room(values: np.ndarray, n: int) -> np.ndarray:
 class ChunkEncoder:
     """Encodes texts chunk by chunk and remembers words and chunks within bounds."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self._check_spaces(path)
+        self.most_words = most_words
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = 0
         self._forget()
@@ -115,18 +117,39 @@ class ChunkEncoder:
             raise ValueError(f"{path}: the tokenizer keeps white space or looks across it, which encoding word by word does not allow")
 
     def _forget(self) -> None:
-        """Number of each word; the ids of all words in a row, and where each word's begin."""
+        """Number of each word; the ids of all words in a row, where each word's begin, and whether it was met since it was learned."""
         self.numbers: dict[bytes, int] = {}
         self.word_bytes = 0
-        self.ids, self.begins = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.ids, self.begins, self.again = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+
+    def _forget_rare(self) -> None:
+        """Keep the words that were met again, if they fill at most half of what may be remembered.  They have to be met anew to stay longer."""
+        kept = [(word, number) for word, number in self.numbers.items() if self.again[number]]
+        size = sum(len(word) for word, _ in kept)
+        if 2 * len(kept) > self.most_words or 2 * size > MOST_WORD_BYTES:
+            kept, size = [], 0
+        ids, at = self._spelled(np.fromiter((number for _, number in kept), np.int64, len(kept)))
+        self._forget()
+        self.ids, self.begins = _room(self.ids, len(ids)), _room(self.begins, len(at))
+        self.again = _room(self.again, len(kept))
+        self.ids[: len(ids)], self.begins[: len(at)] = ids, at
+        self.numbers = {word: number for number, (word, _) in enumerate(kept)}
+        self.word_bytes = size
+
+    def rest(self) -> None:
+        """At the end of a task: near copies came to it together, so other tasks hardly meet its chunks."""
+        self.chunks, self.chunk_bytes = {}, 0
 
     def _learn(self, words: set[bytes]) -> None:
-        new = list(words - self.numbers.keys())
+        # A set less a dictionary's keys would go through all of these.
+        new = [word for word in words if word not in self.numbers]
+        self.again[[self.numbers[word] for word in words if word in self.numbers]] = True
         if not new:
             return
         codes = [c.ids for c in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
         known, ends = len(self.numbers), self.begins[len(self.numbers)] + np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))
         self.ids, self.begins = _room(self.ids, int(ends[-1])), _room(self.begins, known + len(new) + 1)
+        self.again = _room(self.again, known + len(new))
         self.ids[self.begins[known] : ends[-1]] = np.fromiter(chain.from_iterable(codes), np.int32)
         self.begins[known + 1 : known + 1 + len(new)] = ends
         self.numbers.update(zip(new, range(known, known + len(new)), strict=True))
@@ -143,13 +166,12 @@ class ChunkEncoder:
         """The ids of all texts in a row, and where each text's begin."""
         raw = data.tobytes()
         cuts, _ = chunk_cuts(data, offsets)
-        if len(self.numbers) > MOST_WORDS or self.word_bytes > MOST_WORD_BYTES:
-            self._forget()
+        if len(self.numbers) > self.most_words or self.word_bytes > MOST_WORD_BYTES:
+            self._forget_rare()
         if self.chunk_bytes > MOST_CHUNK_BYTES:
-            self.chunks.clear()
-            self.chunk_bytes = 0
+            self.chunks, self.chunk_bytes = {}, 0
         pieces = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        fresh = {p: self._split(p) for p in set(pieces) - self.chunks.keys()}
+        fresh = {p: self._split(p) for p in set(pieces) if p not in self.chunks}
         ends = {p: (head, tail) for p, (head, _, tail) in fresh.items()}
         first = np.searchsorted(cuts[:-1], offsets).tolist()
         plans = [self._joins(pieces[a:b], ends) for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -210,42 +232,47 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> ChunkEncoder:
-    """One for each Python worker: what it remembers serves the worker's later tasks too, within the same bounds."""
+def _encoder(path: str, most_words: int) -> ChunkEncoder:
+    """One for each Python worker: the tokenizer and its words serve the worker's later tasks too, within the same bounds."""
     # A task has one core; threads of the library's own would only wait for it.
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, most_words)
 
 
-def _coded(docs: DataFrame, path: str, keep: list[str], decoded: bool) -> DataFrame:
+def _coded(docs: DataFrame, path: str, keep: list[str], decoded: bool, most_words: int = MOST_WORDS) -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``ids`` and, if asked for, ``decoded``; texts pass Python once."""
     small_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     made = ", ".join([f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in keep] + ["ids array<int>"] + ["decoded string"] * decoded)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for piece in slices(batch):
-                    ids, at = encoder.encode(*flat(piece.column("text")))
-                    new = [list_array(ids, at, pa.int32())]
-                    if decoded:
-                        new.append(pa.array([encoder.decode(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()))
-                    names = ["ids", "decoded"][: len(new)]
-                    yield pa.RecordBatch.from_arrays([*(piece.column(name) for name in keep), *new], [*keep, *names])
+        encoder = _encoder(path, most_words)
+        try:
+            with np.errstate(over="ignore"):
+                for batch in batches:
+                    for piece in slices(batch):
+                        ids, at = encoder.encode(*flat(piece.column("text")))
+                        new = [list_array(ids, at, pa.int32())]
+                        if decoded:
+                            new.append(pa.array([encoder.decode(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()))
+                        names = ["ids", "decoded"][: len(new)]
+                        yield pa.RecordBatch.from_arrays([*(piece.column(name) for name in keep), *new], [*keep, *names])
+        finally:
+            encoder.rest()
 
     placed = docs.mapInArrow(_place, f"{fields}, _place long").hint("rebalance", "_place").drop("_place")
     return placed.mapInArrow(encode, made)
 
 
-def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, most_words: int = MOST_WORDS) -> DataFrame:
     """``docs`` with ``ids``: the token ids of the whole text, as the tokenizers library gives them without special tokens.
 
+    ``most_words`` is how many words a worker remembers; fewer take less memory, there and beside later stages, and more time.
+
     A null text is empty and has no ids; each row is encoded, also repeated ones and those without an id.  ``docs`` must
     have a column ``text`` and no column ``ids`` or ``_place``; other columns stay as they are.
     """
-    return _coded(docs, path, docs.columns, decoded=False)
+    return _coded(docs, path, docs.columns, decoded=False, most_words=most_words)
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -254,7 +281,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, MOST_WORDS)
         for batch in batches:
             for at in range(0, len(batch), 100):
                 piece = batch.slice(at, 100)
