@@ -1,6 +1,7 @@
 """Stored tables: a write that fails leaves the table as it was, ids find their buckets, term counts follow the upserts."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,3 +252,77 @@ def test_a_large_bucket_is_written_in_more_files(spark, tmp_path, monkeypatch):
     after = table.read()
     assert after.count() == after.select("id").distinct().count() == 1500 and after.filter("text = 'new'").count() == 2
     assert after.filter("id = '0'").head()["text"] == rows.filter("n = 1499").head()["text"]
+
+
+def in_scratch(spark):
+    from vecloom.session import scratch_root
+
+    folder = Path(scratch_root(spark).removeprefix("file:"))
+    return {f.name for f in folder.iterdir()}
+
+
+def test_upsert_shuffles_only_its_own_rows_and_leaves_no_batch(spark, table, tmp_path, monkeypatch):
+    table.upsert(batch(spark, [(f"k{i}", "old words") for i in range(200)]))
+    real, plans, before = PointTable._save, [], in_scratch(spark)
+
+    def seen(self, df, folder):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        real(self, df, folder)
+
+    monkeypatch.setattr(PointTable, "_save", seen)
+    assert table.upsert(batch(spark, [(f"k{i}", "new") for i in range(150, 250)] + [(None, "none")])) == 101
+    # What the new rows replace is left out of the old files where it stands.
+    assert "Exchange hashpartitioning" not in plans[-1] and "REPARTITION" not in plans[-1] and "old words" not in texts(table)["k150"]
+    assert write_all(batch(spark, [(None, "again"), ("k7", "two"), ("k7", "three")]), [table]) == {"kb": 2}
+    assert in_scratch(spark) == before
+    held = {f"k{i}": "old words" if i < 150 else "new" for i in range(250)} | {None: "again", "k7": "three"}
+    assert texts(table) == held and table.read().count() == 251 and stats(table.statistics()) == counted(spark, held)
+
+
+def test_shuffle_files_go_with_the_write(spark, table):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in manager.getAllBlocks().mkString(" ").split() if f.startswith("shuffle")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key, None), shuffled()
+    for _ in range(2):
+        table.upsert(batch(spark, [(f"k{i}", "some words") for i in range(200)]))
+    left = [f for f in shuffled() - before if f.endswith("data") or "_0_0" in f]
+    # Only counts and the like have been shuffled beside the writes.
+    assert len(left) < 10 and spark.conf.get(key, None) == setting
+
+
+def test_many_rows_in_a_file(spark, tmp_path):
+    table = PointTable(spark, str(tmp_path), CollectionSpec("one", 2, payload_types=(("n", "bigint"),), buckets=1, files_per_bucket=1))
+    table.ensure()
+    table.load(spark.range(100_000).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("n")))
+    # One partition, in which every id comes twice, its larger ordinal at times first.
+    new = spark.range(0, 80_000, 1, 1).select(
+        (F.col("id") % 40_000 * 3).cast("string").alias("id"), F.col("id").alias("n"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("at")
+    )
+    assert table.upsert(new, "at") == 40_000
+    best = {r["id"]: r["n"] for r in new.groupBy("id").agg(F.max_by("n", "at").alias("n")).collect()}
+    got = {r["id"]: r["n"] for r in table.read().collect()}
+    assert len(got) == table.read().count() == 100_000 + 40_000 - 33_334
+    assert all(n == best.get(i, 0) for i, n in got.items())
+
+
+def test_files_of_a_bucket_stay_few(spark, tmp_path):
+    table = PointTable(spark, str(tmp_path), CollectionSpec("kb", 2, payload_types=(("text", "string"),), buckets=2))
+    table.ensure()
+    for turn in range(12):
+        table.upsert(batch(spark, [(f"k{turn}-{i}", str(turn)) for i in range(20)] + [("k", str(turn))]))
+        assert len(table.read().inputFiles()) <= 16
+    assert texts(table)["k"] == "11" and table.read().count() == 241
+
+
+def test_a_large_batch_is_shuffled_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("vecloom.sources.tables.PART_BYTES", 2000, raising=False)
+    real, sizes = PointTable._save, []
+    monkeypatch.setattr(PointTable, "_save", lambda self, df, folder: (sizes.append(df.count()), real(self, df, folder)))
+    tables = [PointTable(spark, str(tmp_path), CollectionSpec(name, 2, payload_types=(("text", "string"),), buckets=b)) for name, b in (("a", 1), ("b", 5))]
+    for t in tables:
+        t.ensure()
+    rows = [(f"k{i % 900}", str(i)) for i in range(1000)]
+    assert write_all(batch(spark, rows), tables) == {"a": 900, "b": 900}
+    assert len(sizes) > 2 and max(sizes) < 900 and sum(sizes) == 1800
+    assert texts(tables[0]) == texts(tables[1]) == dict(rows)

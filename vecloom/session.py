@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +68,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go when it is written, not when the driver comes to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def packed(df: DataFrame, label: str) -> DataFrame:
+    """Like ``written``, for whole rows of points: takes less disk, and leaves no shuffle files."""
+    path = scratch_path(df.sparkSession, label)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` or ``packed`` that nothing reads any more: neither a later step nor a step that may run again."""
+    for one in tables:
+        files = one.inputFiles()
+        if files:
+            jvm = one.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])).getParent()
+            folder.getFileSystem(one.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of all files that ``df`` reads, as they are stored; 0 if it reads none."""
     spark = df.sparkSession

@@ -1,8 +1,9 @@
 """Collections at rest: Parquet folders of points, cut by a hash bucket of the id, and a commit that names them.
 
 Declared payload fields are columns, so filters on them reach the scan; everything else of the payload is one JSON object in
-``extra``.  An upsert reads the buckets its ids fall into, writes them anew to a folder of its own, and only then commits: until
-that moment, and if it fails before, readers see the table as it was.  Writing the same batch again gives the same
+``extra``.  An upsert writes its rows, and beside them what it leaves of the buckets its ids fall into, to a folder of its own, and only
+then commits: until that moment, and if it fails before, readers see the table as it was.  Stored rows are not shuffled for it: a bit
+for each says whether it is replaced, and the files are copied without these.  Writing the same batch again gives the same
 table, so a failed job is simply run again.  Folders no commit needs any more go by ``expire``.
 
 A collection whose sparse vectors are weighted by IDF keeps its term counts: each upsert adds what its vectors bring and takes
@@ -16,37 +17,44 @@ import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.functions.vectors import metric_name
 from vecloom.operators.filters import apply_filter
-from vecloom.operators.mutate import fold_patches, last_wins, merge_json, sparse_from_payload
+from vecloom.operators.mutate import fold_patches, merge_json, sparse_from_payload
 from vecloom.operators.search import check_limit
 from vecloom.operators.validate import dense_of as named_dense
 from vecloom.operators.validate import split, vector_rules
-from vecloom.session import input_bytes, written
+from vecloom.session import discard, input_bytes, packed, shuffles_dropped, written
 from vecloom.sources.aliases import set_alias
 from vecloom.sources.commits import CommitLog
 from vecloom.spec import CollectionSpec
 
 BUCKET = "bucket"
-PIECE = "_piece"
 EXTRA = "extra"
+# Where a row stands: its file, and its number in there; a batch that is written down numbers all its rows.
+FILE, ROW = "_file", "_row"
+CHUNK, BITS = "_chunk", "_bits"
 # The columns of a batch that hold vectors without a name: every target puts them under its own.
 DENSE, SPARSE = "dense", "sparse"
 SPARSE_TYPE = "struct<indices: array<int>, values: array<double>>"
 # Up to this many ids are looked up as literals, which reach the Bloom filters and statistics of the files.
 LITERAL_IDS = 1000
 # A task writes what comes from about so many bytes of files, so that its memory does not follow the table's size.
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
+# A batch is shuffled in up to so many parts of about so many bytes at least, one after the other: only one part's shuffle files are there at once.
+PARTS, PART_BYTES = 4, 64 << 20
+# Buckets of more than so many times the files they need are written in as few as they need again.
+CROWDED = 4
+# The bits of 2 ** 15 rows are one value, as Spark's bitmaps hold.
+CHUNK_POWER = 15
 # So many folders of term counts are folded into one.
 TERM_FOLDERS = 16
 
 
 def bucket_of(spec: CollectionSpec, key: str = "id"):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(spec.buckets)).cast("int")
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spec.buckets)).cast("int")
 
 
 def schema_of(spec: CollectionSpec) -> T.StructType:
@@ -97,7 +105,7 @@ class PointTable:
     def read(self) -> DataFrame:
         return self._read(self._commit()[1]).drop(BUCKET)
 
-    def _read(self, commit: dict, buckets: Iterable[int] | None = None) -> DataFrame:
+    def _read(self, commit: dict, buckets: Iterable[int] | None = None, located: bool = False) -> DataFrame:
         """The points of a commit, or of some of its buckets: other buckets' folders are not even listed."""
         held = commit["buckets"]
         wanted = held if buckets is None else [str(bucket) for bucket in buckets if str(bucket) in held]
@@ -107,7 +115,8 @@ class PointTable:
         if not paths:
             return self.spark.createDataFrame([], schema)
         found = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths)
-        return found.select(*schema.names)
+        where = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)] if located else []
+        return found.select(*schema.names, *where)
 
     def retrieve(self, ids: DataFrame, *, with_payload: bool = True, with_vectors: bool = False) -> DataFrame:
         """Points with the given ids; unknown ids are silently absent.
@@ -135,40 +144,62 @@ class PointTable:
         Of rows with one id the one with the highest ``ordinal`` counts, without one the last in the batch's own order.  The batch
         is written down first: it is read more than once, and may come from a model.
         """
-        return self._merge(fixed_batch(batch, [self], ordinal), vectors)
+        rows, tables = _latest(batch, ordinal)
+        # Terms are made behind the shuffle, which so carries texts only.
+        n = self._merge(rows, vectors, parts=PARTS, terms=True)
+        discard(*tables)
+        return n
 
     def load(self, points: DataFrame) -> None:
         """First load of an empty table, straight from the source; ids must be unique."""
         number, commit = self._commit()
         if commit["buckets"]:
             raise ValueError(f"table {self.spec.name} is not empty")
-        fixed = self._numbered(_with_terms(points, [self]), None)
         folder = self._folder(number)
-        self._save(self._placed(fixed, input_bytes(points)).drop(PIECE), folder)
-        done = self.spark.read.schema(schema_of(self.spec)).parquet(f"{self.path}/data/v={folder}")
+        placed = self._placed(points, self._files(input_bytes(points), self.spec.buckets))
+        self._save(self._numbered(_with_terms(placed, [self]), None), folder)
+        done = self._saved(folder)
         buckets = {str(row[BUCKET]): folder for row in done.select(BUCKET).distinct().collect()}
         terms = self._save_terms(self._terms(done, 1), commit, folder)
         self.commits.put({**commit, "buckets": buckets, "terms": terms}, number)
 
-    def _merge(self, batch: DataFrame, vectors: Sequence[str] | None) -> int:
+    def _merge(self, batch: DataFrame, vectors: Sequence[str] | None, parts: int = 1, terms: bool = False) -> int:
+        """Put rows, one for an id, in place of those with the same id.  With ``parts`` the batch is read several times."""
         number, commit = self._commit()
-        new = self._numbered(batch, vectors)
+        folder = self._folder(number)
+        size = input_bytes(batch)
+        files = self._files(size, self.spec.buckets)
+        parts = max(1, min(parts, size // PART_BYTES))
+        for part in range(parts):
+            some = batch if parts == 1 else batch.filter(F.pmod(self._piece(files), F.lit(parts)) == part)
+            placed = self._placed(some, files)
+            self._save(self._numbered(_with_terms(placed, [self]) if terms else placed, vectors), folder)
+        done = self._saved(folder)
         # At most ``spec.buckets`` numbers.
-        touched = new.groupBy(BUCKET).agg(F.count("*").alias("n")).collect()
+        touched = done.groupBy(BUCKET).agg(F.count("*").alias("n")).collect()
         if touched:
-            old = self._read(commit, [row[BUCKET] for row in touched])
-            both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-            # Shuffled once, by what the files are cut by; the newer row of an id is picked within the task.
-            by = W.partitionBy(PIECE, "id").orderBy(F.col("_new").desc())
-            newest = self._placed(both, input_bytes(both)).withColumn("_n", F.row_number().over(by)).filter("_n = 1")
-            folder = self._folder(number)
-            self._save(newest.drop("_n", "_new", PIECE), folder)
-            terms = commit["terms"]
-            if self.spec.idf:
-                replaced = old.join(new.select("id"), "id", "left_semi")
-                terms = self._save_terms(self._terms(new, 1).unionByName(self._terms(replaced, -1)), commit, folder)
+            old = self._read(commit, [row[BUCKET] for row in touched], located=True)
+            held = old.inputFiles()
+            delta = self._terms(done, 1)
+            if held:
+                # Ids only are joined.
+                met = old.select("id", FILE, ROW).join(done.select(F.col("id").alias("_id")), F.expr("id <=> _id"), "left_semi")
+                with shuffles_dropped(self.spark):
+                    gone = written(_bits(met, FILE, ROW), "gone")
+                if self.spec.idf:
+                    delta = delta.unionByName(self._terms(_marked(old, gone, FILE, ROW, True), -1))
+            stored = self._save_terms(delta, commit, folder)
+            if held:
+                kept = _marked(old, gone, FILE, ROW, False).select(*schema_of(self.spec).names)
+                needed = self._files(size + input_bytes(old), len(touched))
+                if len(held) + len(done.inputFiles()) > CROWDED * needed * len(touched):
+                    kept = self._placed(kept, needed)
+                self._save(kept, folder)
+                discard(gone)
             buckets = commit["buckets"] | {str(row[BUCKET]): folder for row in touched}
-            self.commits.put({**commit, "buckets": buckets, "terms": terms}, number)
+            self.commits.put({**commit, "buckets": buckets, "terms": stored}, number)
+        else:
+            self.commits.delete(f"{self.path}/data/v={folder}")
         return sum(row["n"] for row in touched)
 
     def _rows_of(self, ids: DataFrame) -> DataFrame:
@@ -211,13 +242,18 @@ class PointTable:
         # Named apart, so that a writer that fails or comes second never meets another one's files.
         return f"{number + 1}-{uuid.uuid4().hex[:8]}"
 
-    def _placed(self, df: DataFrame, size: int) -> DataFrame:
-        """Deal rows, which come from files of ``size`` bytes, to the tasks that write them."""
-        # A bucket is written by several tasks, so that it may be larger than a task; by more of them the larger it is.
-        files = max(self.spec.files_per_bucket, -(-size // (self.spec.buckets * PIECE_BYTES)))
-        piece = F.col(BUCKET) * files + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(files))
-        placed = df.withColumn(PIECE, piece.cast("int"))
-        return placed.repartition(PIECE) if files == self.spec.files_per_bucket else placed.repartitionById(self.spec.buckets * files, F.col(PIECE))
+    def _files(self, size: int, buckets: int) -> int:
+        """Files of each bucket, for rows that come from files of ``size`` bytes: a large bucket is written by several tasks."""
+        return max(self.spec.files_per_bucket, -(-size // (buckets * PIECE_BYTES)))
+
+    def _piece(self, files: int) -> Column:
+        file = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(files))
+        return (bucket_of(self.spec) * files + file).cast("int")
+
+    def _placed(self, df: DataFrame, files: int) -> DataFrame:
+        """Deal rows to the tasks that write them, by bucket and file."""
+        piece = self._piece(files)
+        return df.repartition(piece) if files == self.spec.files_per_bucket else df.repartitionById(self.spec.buckets * files, piece)
 
     def _numbered(self, df: DataFrame, vectors: Sequence[str] | None) -> DataFrame:
         return self._shaped(df, vectors).withColumn(BUCKET, bucket_of(self.spec))
@@ -255,9 +291,14 @@ class PointTable:
 
     def _save(self, df: DataFrame, folder: str) -> None:
         # In the order of the ids, so that a file's row groups have id ranges that tell them apart.
-        writer = df.sortWithinPartitions(BUCKET, "id").write.partitionBy(BUCKET)
+        writer = df.sortWithinPartitions(BUCKET, "id").write.partitionBy(BUCKET).mode("append").option("compression", "zstd")
         writer = writer.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
-        writer.parquet(f"{self.path}/data/v={folder}")
+        with shuffles_dropped(df.sparkSession):
+            writer.parquet(f"{self.path}/data/v={folder}")
+
+    def _saved(self, folder: str) -> DataFrame:
+        """What has been written to a folder so far."""
+        return self.spark.read.schema(schema_of(self.spec)).parquet(f"{self.path}/data/v={folder}")
 
     # --- term counts ------------------------------------------------------------------------------------
 
@@ -274,7 +315,8 @@ class PointTable:
         fold = len(commit["terms"]) + 1 >= TERM_FOLDERS
         if fold:
             delta = delta.unionByName(self._stored_terms(commit))
-        delta.groupBy("index").agg(F.sum("df").alias("df")).filter("df <> 0").write.parquet(f"{self.path}/terms/{folder}")
+        with shuffles_dropped(self.spark):
+            delta.groupBy("index").agg(F.sum("df").alias("df")).filter("df <> 0").write.parquet(f"{self.path}/terms/{folder}")
         return [folder] if fold else [*commit["terms"], folder]
 
     def _stored_terms(self, commit: dict) -> DataFrame:
@@ -342,12 +384,41 @@ def _with_terms(batch: DataFrame, targets: Sequence[PointTable]) -> DataFrame:
     return batch if own - {SPARSE} else sparse_from_payload(batch, SPARSE)
 
 
+def _bits(rows: DataFrame, file: str | None, row: str) -> DataFrame:
+    """Which rows of a table ``rows`` are: one bit for each row of the table, in chunks that are named by file and row number."""
+    found = rows.groupBy(*([file] if file else []), F.shiftright(row, CHUNK_POWER).alias(CHUNK))
+    return found.agg(F.bitmap_construct_agg(F.col(row) % (1 << CHUNK_POWER)).alias(BITS))
+
+
+def _marked(table: DataFrame, bits: DataFrame, file: str | None, row: str, hit: bool) -> DataFrame:
+    """The rows of a table that have a bit set, or those that have none; no row is shuffled."""
+    at = F.col(row) % (1 << CHUNK_POWER)
+    byte = F.conv(F.hex(F.substring(F.col(BITS), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    chunked = table.withColumn(CHUNK, F.shiftright(row, CHUNK_POWER))
+    joined = chunked.join(F.broadcast(bits), [*([file] if file else []), CHUNK], "left")
+    return joined.filter(is_set == hit).select(*table.columns)
+
+
+def _latest(batch: DataFrame, ordinal: str | None) -> tuple[DataFrame, list[DataFrame]]:
+    """The batch, written down as it comes, and of that the last row of each id; and the tables behind it.
+
+    Ids, ordinals and row numbers are all that is shuffled, and they combine on the map side.
+    """
+    whole = packed(batch.withColumn(ROW, F.monotonically_increasing_id()), "batch")
+    last = F.max(ROW) if ordinal is None else F.max_by(ROW, F.struct(ordinal, ROW))
+    with shuffles_dropped(batch.sparkSession):
+        bits = written(_bits(whole.groupBy("id").agg(last.alias(ROW)), None, ROW), "last")
+    others = [c for c in batch.columns if c not in ("id", ordinal)]
+    return _marked(whole, bits, None, ROW, True).select("id", *others), [whole, bits]
+
+
 def fixed_batch(batch: DataFrame, targets: Sequence[PointTable], ordinal: str | None) -> DataFrame:
     """The batch with one row per id, written down: its ids and vectors are the same for all targets."""
-    if ordinal is None:
-        # The order the rows come in.
-        batch, ordinal = batch.withColumn("_order", F.monotonically_increasing_id()), "_order"
-    return written(_with_terms(last_wins(batch, ordinal), targets), "batch")
+    rows, tables = _latest(batch, ordinal)
+    fixed = packed(_with_terms(rows, targets), "batch")
+    discard(*tables)
+    return fixed
 
 
 def write_all(
@@ -359,7 +430,9 @@ def write_all(
     the columns of a batch whose vectors have names.
     """
     fixed = fixed_batch(batch, targets, ordinal)
-    return {target.spec.name: target._merge(fixed, vectors) for target in targets}
+    done = {target.spec.name: target._merge(fixed, vectors, parts=PARTS) for target in targets}
+    discard(fixed)
+    return done
 
 
 def write_checked(
@@ -373,8 +446,10 @@ def write_checked(
     fixed = fixed_batch(batch, targets, ordinal)
     rules = [rule for t in targets for rule in vector_rules(t.spec, t.dense_of(fixed, vectors))]
     valid, rejected = split(fixed, rules)
-    valid = written(valid, "batch")
-    return {target.spec.name: target._merge(valid, vectors) for target in targets}, rejected
+    valid = packed(valid, "batch")
+    done = {target.spec.name: target._merge(valid, vectors, parts=PARTS) for target in targets}
+    discard(valid)
+    return done, rejected
 
 
 def spread(scan: DataFrame) -> DataFrame:
