@@ -83,16 +83,16 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def packed(df: DataFrame, label: str) -> DataFrame:
-    """Like ``written``, for whole rows of points: takes less disk, and leaves no shuffle files."""
+def packed(df: DataFrame, label: str, by: str) -> tuple[str, DataFrame]:
+    """Like ``written``, for whole rows of points, in a folder for each value of ``by``: takes less disk, and leaves no shuffle files."""
     path = scratch_path(df.sparkSession, label)
     with shuffles_dropped(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        df.write.option("compression", "zstd").partitionBy(by).parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``written`` or ``packed`` that nothing reads any more: neither a later step nor a step that may run again."""
+    """Delete tables, each in one folder, that nothing reads any more: neither a later step nor a step that may run again."""
     for one in tables:
         files = one.inputFiles()
         if files:

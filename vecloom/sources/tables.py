@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,7 @@ from vecloom.sources.commits import CommitLog
 from vecloom.spec import CollectionSpec
 
 BUCKET = "bucket"
+PIECE = "_piece"
 EXTRA = "extra"
 # Where a row stands: its file, and its number in there; a batch that is written down numbers all its rows.
 FILE, ROW = "_file", "_row"
@@ -43,10 +45,13 @@ SPARSE_TYPE = "struct<indices: array<int>, values: array<double>>"
 LITERAL_IDS = 1000
 # A task writes what comes from about so many bytes of files, so that its memory does not follow the table's size.
 PIECE_BYTES = 8 << 20
-# A batch is shuffled in up to so many parts of about so many bytes at least, one after the other: only one part's shuffle files are there at once.
-PARTS, PART_BYTES = 4, 64 << 20
+# A batch is written down in so many parts by its ids.  One with parts of about so many bytes is shuffled part by part: only one part's shuffle
+# files are there at once, and a part goes when the last target has it.
+PART, PARTS, PART_BYTES = "_part", 4, 32 << 20
 # Buckets of more than so many times the files they need are written in as few as they need again.
 CROWDED = 4
+# Rows, and the table that they are read from.
+Part = tuple[DataFrame, DataFrame | None]
 # The bits of 2 ** 15 rows are one value, as Spark's bitmaps hold.
 CHUNK_POWER = 15
 # So many folders of term counts are folded into one.
@@ -144,9 +149,9 @@ class PointTable:
         Of rows with one id the one with the highest ``ordinal`` counts, without one the last in the batch's own order.  The batch
         is written down first: it is read more than once, and may come from a model.
         """
-        rows, tables = _latest(batch, ordinal)
+        rows, parts, tables = _latest(batch, ordinal)
         # Terms are made behind the shuffle, which so carries texts only.
-        n = self._merge(rows, vectors, parts=PARTS, terms=True)
+        n = self._merge(rows, vectors, parts, used_up=True, terms=True)
         discard(*tables)
         return n
 
@@ -163,17 +168,26 @@ class PointTable:
         terms = self._save_terms(self._terms(done, 1), commit, folder)
         self.commits.put({**commit, "buckets": buckets, "terms": terms}, number)
 
-    def _merge(self, batch: DataFrame, vectors: Sequence[str] | None, parts: int = 1, terms: bool = False) -> int:
-        """Put rows, one for an id, in place of those with the same id.  With ``parts`` the batch is read several times."""
+    def _merge(
+        self, batch: DataFrame, vectors: Sequence[str] | None, parts: Sequence[Part] = (), *, used_up: bool = False, terms: bool = False
+    ) -> int:
+        """Put rows in place of those with the same id.  A batch in parts has one row for an id, of others one is taken; a large batch is taken part by
+        part, and if it is used up, deleted so."""
         number, commit = self._commit()
         folder = self._folder(number)
         size = input_bytes(batch)
         files = self._files(size, self.spec.buckets)
-        parts = max(1, min(parts, size // PART_BYTES))
-        for part in range(parts):
-            some = batch if parts == 1 else batch.filter(F.pmod(self._piece(files), F.lit(parts)) == part)
-            placed = self._placed(some, files)
+        unique = bool(parts)
+        if parts and size >= PARTS * PART_BYTES:
+            # A multiple, so that no file has rows of two parts.
+            files = -(-files // PARTS) * PARTS
+        else:
+            parts = [(batch, None)]
+        for rows, table in parts:
+            placed = self._placed(rows, files, unique)
             self._save(self._numbered(_with_terms(placed, [self]) if terms else placed, vectors), folder)
+            if used_up and table is not None:
+                discard(table)
         done = self._saved(folder)
         # At most ``spec.buckets`` numbers.
         touched = done.groupBy(BUCKET).agg(F.count("*").alias("n")).collect()
@@ -182,12 +196,17 @@ class PointTable:
             held = old.inputFiles()
             delta = self._terms(done, 1)
             if held:
-                # Ids only are joined.
-                met = old.select("id", FILE, ROW).join(done.select(F.col("id").alias("_id")), F.expr("id <=> _id"), "left_semi")
+                # Ids only are shuffled.
+                each = old.select("id", FILE, ROW).unionByName(done.select("id"), allowMissingColumns=True)
+                by = W.partitionBy("id")
+                ranked = each.withColumns({
+                    "_n": F.row_number().over(by.orderBy(F.col(ROW).asc_nulls_first(), FILE)), "_met": F.bool_or(F.col(ROW).isNull()).over(by)
+                }).filter(F.col(ROW).isNotNull())
                 with shuffles_dropped(self.spark):
-                    gone = written(_bits(met, FILE, ROW), "gone")
-                if self.spec.idf:
-                    delta = delta.unionByName(self._terms(_marked(old, gone, FILE, ROW, True), -1))
+                    gone = written(_bits(ranked.filter("_n > 1"), FILE, ROW), "gone")
+                    if self.spec.idf:
+                        replaced = written(_bits(ranked.filter("_met"), FILE, ROW), "replaced")
+                        delta = delta.unionByName(self._terms(_marked(old, replaced, FILE, ROW, True), -1))
             stored = self._save_terms(delta, commit, folder)
             if held:
                 kept = _marked(old, gone, FILE, ROW, False).select(*schema_of(self.spec).names)
@@ -195,7 +214,7 @@ class PointTable:
                 if len(held) + len(done.inputFiles()) > CROWDED * needed * len(touched):
                     kept = self._placed(kept, needed)
                 self._save(kept, folder)
-                discard(gone)
+                discard(gone, *([replaced] if self.spec.idf else []))
             buckets = commit["buckets"] | {str(row[BUCKET]): folder for row in touched}
             self.commits.put({**commit, "buckets": buckets, "terms": stored}, number)
         else:
@@ -247,13 +266,16 @@ class PointTable:
         return max(self.spec.files_per_bucket, -(-size // (buckets * PIECE_BYTES)))
 
     def _piece(self, files: int) -> Column:
-        file = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(files))
-        return (bucket_of(self.spec) * files + file).cast("int")
+        return (bucket_of(self.spec) * files + _share(files)).cast("int")
 
-    def _placed(self, df: DataFrame, files: int) -> DataFrame:
-        """Deal rows to the tasks that write them, by bucket and file."""
-        piece = self._piece(files)
-        return df.repartition(piece) if files == self.spec.files_per_bucket else df.repartitionById(self.spec.buckets * files, piece)
+    def _placed(self, df: DataFrame, files: int, unique: bool = True) -> DataFrame:
+        """Deal rows to the tasks that write them, by bucket and file; unless ids are unique, one row of each is taken there."""
+        pieces = df.withColumn(PIECE, self._piece(files))
+        placed = pieces.repartition(PIECE) if files == self.spec.files_per_bucket else pieces.repartitionById(self.spec.buckets * files, F.col(PIECE))
+        if not unique:
+            by = W.partitionBy(PIECE, "id").orderBy("id")
+            placed = placed.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n")
+        return placed.drop(PIECE)
 
     def _numbered(self, df: DataFrame, vectors: Sequence[str] | None) -> DataFrame:
         return self._shaped(df, vectors).withColumn(BUCKET, bucket_of(self.spec))
@@ -400,25 +422,51 @@ def _marked(table: DataFrame, bits: DataFrame, file: str | None, row: str, hit:
     return joined.filter(is_set == hit).select(*table.columns)
 
 
-def _latest(batch: DataFrame, ordinal: str | None) -> tuple[DataFrame, list[DataFrame]]:
-    """The batch, written down as it comes, and of that the last row of each id; and the tables behind it.
+def _share(n: int) -> Column:
+    """One of ``n`` shares of the ids, whatever the bucket; shares of a multiple of ``n`` are parts of these."""
+    return F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(n)).cast("int")
+
+
+def _in_parts(df: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``df`` as a table in the shared folder, and each of its parts as one that can be deleted by itself."""
+    path, whole = packed(df.withColumn(PART, _share(PARTS)), "batch", PART)
+    names = sorted({file.rsplit("/", 2)[-2] for file in whole.inputFiles()})
+    return whole.select(*df.columns), [df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}") for name in names]
+
+
+def _latest(batch: DataFrame, ordinal: str | None) -> tuple[DataFrame, list[Part], list[DataFrame]]:
+    """The batch, written down as it comes, and of that the last row of each id, whole and in parts; and the tables behind it.
 
     Ids, ordinals and row numbers are all that is shuffled, and they combine on the map side.
     """
-    whole = packed(batch.withColumn(ROW, F.monotonically_increasing_id()), "batch")
+    whole, parts = _in_parts(batch.withColumn(ROW, F.monotonically_increasing_id()))
     last = F.max(ROW) if ordinal is None else F.max_by(ROW, F.struct(ordinal, ROW))
     with shuffles_dropped(batch.sparkSession):
         bits = written(_bits(whole.groupBy("id").agg(last.alias(ROW)), None, ROW), "last")
-    others = [c for c in batch.columns if c not in ("id", ordinal)]
-    return _marked(whole, bits, None, ROW, True).select("id", *others), [whole, bits]
+    names = ["id", *[c for c in batch.columns if c not in ("id", ordinal)]]
+    found = [_marked(table, bits, None, ROW, True).select(*names) for table in (whole, *parts)]
+    return found[0], list(zip(found[1:], parts)), [*parts, bits]
+
+
+def _fixed(batch: DataFrame, targets: Sequence[PointTable], ordinal: str | None) -> tuple[DataFrame, list[DataFrame]]:
+    rows, _, tables = _latest(batch, ordinal)
+    whole, parts = _in_parts(_with_terms(rows, targets))
+    discard(*tables)
+    return whole, parts
 
 
 def fixed_batch(batch: DataFrame, targets: Sequence[PointTable], ordinal: str | None) -> DataFrame:
     """The batch with one row per id, written down: its ids and vectors are the same for all targets."""
-    rows, tables = _latest(batch, ordinal)
-    fixed = packed(_with_terms(rows, targets), "batch")
-    discard(*tables)
-    return fixed
+    return _fixed(batch, targets, ordinal)[0]
+
+
+def _merge_all(targets: Sequence[PointTable], batch: DataFrame, parts: list[DataFrame], vectors: Sequence[str] | None) -> dict[str, int]:
+    """Merge a batch that nothing else reads into every target; it is deleted."""
+    pairs = [(part, part) for part in parts]
+    last = len(targets) - 1
+    done = {target.spec.name: target._merge(batch, vectors, pairs, used_up=at == last) for at, target in enumerate(targets)}
+    discard(*parts)
+    return done
 
 
 def write_all(
@@ -429,10 +477,7 @@ def write_all(
     The batch is materialised once.  A dense vector without a name (column ``dense``) goes under each target's own name; ``vectors`` names
     the columns of a batch whose vectors have names.
     """
-    fixed = fixed_batch(batch, targets, ordinal)
-    done = {target.spec.name: target._merge(fixed, vectors, parts=PARTS) for target in targets}
-    discard(fixed)
-    return done
+    return _merge_all(targets, *_fixed(batch, targets, ordinal), vectors)
 
 
 def write_checked(
@@ -446,10 +491,7 @@ def write_checked(
     fixed = fixed_batch(batch, targets, ordinal)
     rules = [rule for t in targets for rule in vector_rules(t.spec, t.dense_of(fixed, vectors))]
     valid, rejected = split(fixed, rules)
-    valid = packed(valid, "batch")
-    done = {target.spec.name: target._merge(valid, vectors, parts=PARTS) for target in targets}
-    discard(valid)
-    return done, rejected
+    return _merge_all(targets, *_in_parts(valid), vectors), rejected
 
 
 def spread(scan: DataFrame) -> DataFrame:
