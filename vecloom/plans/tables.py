@@ -244,6 +244,8 @@ def stored_statistics(spark, sf_dir):
         "id", F.when(F.col("quality") == 0, "gone").when(F.col("quality") == 1, F.concat("text", F.lit(" seen"))).otherwise(F.col("text")).alias("text")
     )
     table.upsert(changed)
+    # Nothing reads the table as it was loaded any more.
+    table.expire()
     table.upsert(changed)
     return table.statistics()
 
